@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from candlewick.llm import quality_rules, url_filter
+from candlewick.llm import quality_rules, secrets, url_filter
 
 
 def queries() -> dict:
     return {
         "op5_url_filter": url_filter.op5_url_filter,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op10_secret_scan": secrets.op10_secret_scan,
     }
 
 
@@ -16,4 +17,5 @@ def oracle_sql() -> dict:
     return {
         "op5_url_filter": url_filter.oracle_sql(),
         "op7_quality_rules": quality_rules.ORACLE_SQL,
+        "op10_secret_scan": secrets.oracle_sql(),
     }
