@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import gif, mixing, quality_rules, secrets, url_filter
+from candlewick.llm import gif, mixing, quality_rules, secrets, simhash, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_gif_media": gif.op3_gif_media,
         "op5_url_filter": url_filter.op5_url_filter,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_simhash": simhash.op8_simhash,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
