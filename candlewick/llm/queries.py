@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import gif, mixing, quality_rules, secrets, simhash, url_filter
+from candlewick.llm import gif, mixing, quality_rules, secrets, simhash, suffixes, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_url_filter": url_filter.op5_url_filter,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_simhash": simhash.op8_simhash,
+        "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
