@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from candlewick.llm import gif, mixing, quality_rules, secrets, simhash, suffixes, url_filter
+from candlewick.llm import bpe, gif, mixing, quality_rules, secrets, simhash, suffixes, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_bpe": bpe.op2_bpe,
         "op3_gif_media": gif.op3_gif_media,
         "op5_url_filter": url_filter.op5_url_filter,
         "op7_quality_rules": quality_rules.op7_quality_rules,
