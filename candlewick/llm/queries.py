@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import bpe, gif, mixing, quality_rules, secrets, simhash, suffixes, url_filter
+from candlewick.llm import bpe, gif, html_text, mixing, ordinal, quality_rules, secrets, simhash, suffixes, url_filter
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_mixing": mixing.op1_mixing,
         "op2_bpe": bpe.op2_bpe,
         "op3_gif_media": gif.op3_gif_media,
+        "op4_html_text": html_text.op4_html_text,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_ordinal_quality": ordinal.op6_ordinal_quality,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_simhash": simhash.op8_simhash,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
