@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import materialize
+from candlewick.llm.common import materialize, parts
+
+SPARE = 16  # partitions of the session to one of a table of links or labels
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,17 +18,22 @@ def components(links: DataFrame) -> DataFrame:
     length. A node with very many links costs a partial minimum, not a list. Labels are written to the
     shared folder each round.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
+    spark = links.sparkSession
+    # rows of two numbers: a fraction of the partitions that texts need is enough for them, and makes few files
+    few = max(1, parts(spark) // SPARE)
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = materialize(both.coalesce(few), "links")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root"))
+    labels = materialize(labels.coalesce(few), "labels")
     while True:
         # the smallest label of a node's neighbours goes to the node and to the root that it has now
         seen = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         own = labels.join(seen, "node")
         lower = own.where("near < root").groupBy(F.col("root").alias("node")).agg(F.min("near").alias("via"))
-        stepped = own.join(lower, "node", "left").select("node", F.least("root", "near", "via").alias("root"))
+        stepped = own.join(lower, "node", "left").select("node", F.least("root", "near", "via").alias("root"), F.col("root").alias("old"))
         up = stepped.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        new = materialize(stepped.join(up, "root").select("node", F.least("root", "top").alias("root")), "labels")
-        changed = new.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
-        labels = new
-        if not changed:
+        new = stepped.join(up, "root").select("node", F.least("root", "top").alias("root"), (F.least("root", "top") < F.col("old")).alias("moved"))
+        new = materialize(new.coalesce(few), "labels")
+        labels = new.select("node", "root")
+        if not new.where("moved").limit(1).count():
             return labels

@@ -74,7 +74,7 @@ def _masks() -> list[int]:
 
 
 def forest(left: np.ndarray, right: np.ndarray | None, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """Links of at most ``distance`` bits that span what all such links connect: within left, or across both."""
+    """Pairs (smallest, other) that connect what all links of at most ``distance`` bits connect: within left, or across both."""
     every = left if right is None else np.concatenate([left, right])
     root = np.arange(len(every))
 
@@ -84,7 +84,6 @@ def forest(left: np.ndarray, right: np.ndarray | None, distance: int = DISTANCE)
             i = root[i]
         return i
 
-    out = []
     for i in range(len(left)):
         against = every[i + 1 :] if right is None else right
         near = np.flatnonzero(np.bitwise_count(against ^ left[i]) <= distance) + (i + 1 if right is None else len(left))
@@ -95,8 +94,11 @@ def forest(left: np.ndarray, right: np.ndarray | None, distance: int = DISTANCE)
                 if a != b:
                     root[max(a, b)] = min(a, b)
                     a = min(a, b)
-                    out.append((int(every[i]), int(every[j])))
-    return out
+    top = [find(i) for i in range(len(every))]
+    least: dict[int, int] = {}
+    for i, t in enumerate(top):
+        least[t] = min(least.get(t, int(every[i])), int(every[i]))
+    return [(least[t], int(v)) for t, v in zip(top, every.tolist(), strict=True) if least[t] != v]
 
 
 def _compare(frame: pd.DataFrame) -> pd.DataFrame:
@@ -140,11 +142,11 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     marked = materialize(docs.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")).coalesce(max(1, parts(docs.sparkSession) // 4)), "distinct")
     found = components(links(distinct))
     grouped = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = grouped.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = materialize(grouped.join(smallest, "root").select("fp", "component_id"), "components")
+    named = materialize(grouped.join(smallest, "root").select("fp", "component_id").coalesce(max(1, parts(docs.sparkSession) // 4)), "components")
     return marked.join(named, "fp")
 
 
