@@ -9,7 +9,7 @@ Byte pair encoding never crosses the borders of pre-tokens ("words"), so a word'
 3. A chunk splits its texts again and puts the words' ids in their places. Decoding joins ids with the pieces
    of the vocabulary, by id; each distinct word's bytes are looked up once.
 
-The texts are shuffled once and that shuffle is read twice. Chunks and buckets are as many as shuffle
+The texts are shuffled once, compressed, and that shuffle is read twice. Chunks and buckets are as many as shuffle
 partitions, so memory in a task stays as the data grow; a very frequent word is one row of each chunk. The
 vocabulary file has a fixed size and is broadcast.
 
@@ -28,13 +28,17 @@ import json
 import os
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.llm.common import parts, table
 
@@ -138,25 +142,21 @@ class Vocabulary:
         """Ids of one word: the pair of the lowest rank is merged, the leftmost first, until none is known."""
         if word in self.special:
             return [self.special[word]]
-        parts_ = [self.letters[b] for b in word.encode()]
-        rank, never = self.rank, len(self.rank)
-        while len(parts_) > 1:
-            ranks = [rank.get(p, never) for p in zip(parts_, parts_[1:], strict=False)]
+        rank, never = self.rank.get, len(self.rank)
+        p = [self.letters[b] for b in word.encode()]
+        ranks = [rank(x, never) for x in zip(p, p[1:], strict=False)]
+        while ranks:
             best = min(ranks)
             if best == never:
                 break
             i = ranks.index(best)
-            a, b = parts_[i], parts_[i + 1]
-            merged, k = [], 0
-            while k < len(parts_):
-                if parts_[k] == a and k + 1 < len(parts_) and parts_[k + 1] == b:
-                    merged.append(a + b)
-                    k += 2
-                else:
-                    merged.append(parts_[k])
-                    k += 1
-            parts_ = merged
-        return [self.ids[p] for p in parts_]
+            p[i] += p.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((p[i - 1], p[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank((p[i], p[i + 1]), never)
+        return [self.ids[x] for x in p]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.pieces[i] for i in ids])
@@ -182,17 +182,21 @@ def _vocabulary(sent) -> Vocabulary:
 
 
 class Words:
-    """The distinct words of a chunk by bucket, in an order that a second look gives again."""
+    """The distinct words of a chunk by bucket, in an order that a second look gives again.
+
+    codes: for each text its words as places among ``found``, the words in the order of their first sight.
+    """
 
     def __init__(self, texts: list[str], splitter: Splitter, buckets: int) -> None:
-        found: dict[str, None] = {}
-        for t in texts:
-            found.update(dict.fromkeys(splitter.words(t)))
-        raw = [w.encode() for w in found]
-        bucket = [zlib.crc32(r) % buckets for r in raw]
-        self.order = sorted(range(len(raw)), key=lambda k: (bucket[k], raw[k]))
-        self.raw = [raw[k] for k in self.order]
-        self.bucket = np.array([bucket[k] for k in self.order], dtype=np.int64)
+        index: dict[str, int] = defaultdict(count().__next__)
+        place = index.__getitem__
+        self.codes = [np.array(list(map(place, splitter.words(t))), dtype=np.uint32) for t in texts]
+        names = sorted(index)
+        bucket = np.array([zlib.crc32(w.encode()) % buckets for w in names], dtype=np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.bucket = bucket[order]
+        self.names = [names[k] for k in order.tolist()]
+        self.place = [index[w] for w in self.names]
 
     def runs(self) -> Iterator[tuple[int, int, int]]:
         if len(self.bucket):
@@ -201,18 +205,41 @@ class Words:
                 yield int(self.bucket[a]), a, z
 
 
+def _pack(numbers: list[int]) -> bytes:
+    """Numbers in the fewest bytes each that hold them all; the first byte says how many."""
+    a = np.array(numbers, dtype=np.uint32)
+    wide = 1 if not len(a) or a.max() < 256 else 2 if a.max() < 65536 else 4
+    return bytes([wide]) + a.astype(f"<u{wide}").tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype=f"<u{packed[0]}", offset=1).astype(np.int64)
+
+
+@F.arrow_udf(T.BinaryType())
+def _squeezed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Texts as they go through the shuffle: their length and Zstandard's form of them."""
+    codec = pa.Codec("zstd", 3)
+    for batch in texts:
+        yield pa.array([None if x is None else len(x).to_bytes(5, "little") + codec.compress(x, asbytes=True) for x in batch.cast(pa.binary()).to_pylist()], type=pa.binary())
+
+
 SENT = "chunk long, bucket long, sizes binary, words binary"
 CODED = "chunk long, bucket long, counts binary, ids binary"
 
 
 def _texts(frame: pd.DataFrame) -> list[str]:
-    return [x if isinstance(x, str) else "" for x in frame["text"]]
+    codec = pa.Codec("zstd")
+    return ["" if x is None else codec.decompress(x[5:], int.from_bytes(x[:5], "little"), asbytes=True).decode() for x in frame["text"]]
 
 
 def _send_words(sent, buckets: int):
     def send(frame: pd.DataFrame) -> pd.DataFrame:
         words = Words(_texts(frame), Splitter(list(_vocabulary(sent).special)), buckets)
-        rows = [(int(frame["chunk"].iat[0]), b, np.array([len(w) for w in words.raw[i:j]], dtype=np.uint32).tobytes(), b"".join(words.raw[i:j])) for b, i, j in words.runs()]
+        rows = []
+        for b, i, j in words.runs():
+            raw = [w.encode() for w in words.names[i:j]]
+            rows.append((int(frame["chunk"].iat[0]), b, _pack([len(w) for w in raw]), b"".join(raw)))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "sizes", "words"])
 
     return send
@@ -223,47 +250,46 @@ def _encode_words(sent):
         vocabulary, known = _vocabulary(sent), {}
         counts, ids = [], []
         for sizes, words in zip(frame["sizes"], frame["words"], strict=True):
-            ends = np.cumsum(np.frombuffer(sizes, dtype=np.uint32)).tolist()
+            ends = np.cumsum(_unpack(sizes)).tolist()
             here = []
             for a, z in zip([0, *ends], ends, strict=False):
                 w = words[a:z]
                 if w not in known:
-                    known[w] = np.array(vocabulary.encode(w.decode()), dtype=np.uint32)
+                    known[w] = vocabulary.encode(w.decode())
                 here.append(known[w])
-            counts.append(np.array([len(x) for x in here], dtype=np.uint32).tobytes())
-            ids.append(np.concatenate(here).tobytes())
+            counts.append(_pack([len(x) for x in here]))
+            ids.append(_pack(list(chain.from_iterable(here))))
         return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "counts": counts, "ids": ids})
 
     return encode
 
 
-def _put_back(sent, buckets: int, texts_too: bool):
+def _put_back(sent, buckets: int, whole: bool):
     def put(docs: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
         vocabulary = _vocabulary(sent)
-        splitter = Splitter(list(vocabulary.special))
-        texts = _texts(docs)
-        words = Words(texts, splitter, buckets)
-        ids_of: dict[str, list[int]] = {}
+        words = Words(_texts(docs), Splitter(list(vocabulary.special)), buckets)
+        ids_of: list[list[int]] = [[]] * len(words.names)
         by_bucket = {b: (c, i) for b, c, i in zip(coded["bucket"].tolist(), coded["counts"], coded["ids"], strict=True)}
         for b, i, j in words.runs():
-            counts, ids = (np.frombuffer(x, dtype=np.uint32) for x in by_bucket[b])
-            ends = np.cumsum(counts).tolist()
-            ids = ids.tolist()
-            for w, a, z in zip(words.raw[i:j], [0, *ends], ends, strict=False):
-                ids_of[w.decode()] = ids[a:z]
+            counts, ids = by_bucket[b]
+            ends = np.cumsum(_unpack(counts)).tolist()
+            ids = _unpack(ids).tolist()
+            for k, a, z in zip(words.place[i:j], [0, *ends], ends, strict=False):
+                ids_of[k] = ids[a:z]
         out = []
-        if texts_too:
-            for d, t in zip(docs["doc_id"], texts, strict=True):
-                out.append((None if pd.isna(d) else int(d), [i for w in splitter.words(t) for i in ids_of[w]]))
+        names = [None if pd.isna(d) else int(d) for d in docs["doc_id"]]
+        if whole:
+            for d, own in zip(names, words.codes, strict=True):
+                out.append((d, list(chain.from_iterable(map(ids_of.__getitem__, own.tolist())))))
             return pd.DataFrame(out, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
         # digests straight from the words: the ids as digits, the pieces as bytes
-        digits = {w: ",".join(map(str, i)) for w, i in ids_of.items()}
-        pieces = {w: vocabulary.decode(i) for w, i in ids_of.items()}
-        number = {w: len(i) for w, i in ids_of.items()}
-        for d, t in zip(docs["doc_id"], texts, strict=True):
-            own = splitter.words(t)
-            decoded = b"".join([pieces[w] for w in own]).decode("utf-8", "replace")
-            out.append((None if pd.isna(d) else int(d), sum([number[w] for w in own]), hashlib.sha256(",".join([digits[w] for w in own]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+        digits = [",".join(map(str, i)) for i in ids_of].__getitem__
+        pieces = [vocabulary.decode(i) for i in ids_of].__getitem__
+        number = np.array([len(i) for i in ids_of], dtype=np.int64)
+        for d, own in zip(names, words.codes, strict=True):
+            at = own.tolist()
+            decoded = b"".join(map(pieces, at)).decode("utf-8", "replace")
+            out.append((d, int(number[own].sum()), hashlib.sha256(",".join(map(digits, at)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
     return put
@@ -278,14 +304,14 @@ def _vocabulary_text(path: str | None) -> str:
         return f.read()
 
 
-def _coded(docs: DataFrame, path: str | None, texts_too: bool, schema: str) -> DataFrame:
+def _coded(docs: DataFrame, path: str | None, whole: bool, schema: str) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     n = parts(spark)
     sent = spark.sparkContext.broadcast(_vocabulary_text(path))
-    texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"))
+    texts = docs.select("doc_id", _squeezed("text").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"))
     words = texts.groupBy("chunk").applyInPandas(_send_words(sent, n), SENT)
     coded = words.groupBy("bucket").applyInPandas(_encode_words(sent), CODED)
-    return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(_put_back(sent, n, texts_too), schema)
+    return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(_put_back(sent, n, whole), schema)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
