@@ -290,7 +290,7 @@ _add(
     f"WITH {f.BARS}, {_ALL}, k AS (SELECT l, r, rank() OVER (PARTITION BY l, r ORDER BY a) + (count(*) OVER (PARTITION BY l, r, a) - 1) / 2 AS a, rank() OVER (PARTITION BY l, r ORDER BY b) + (count(*) OVER (PARTITION BY l, r, b) - 1) / 2 AS b FROM al) {_names_} round(corr(a, b), 6) AS corr FROM k GROUP BY 1, 2",
 )
 _add("t11_kendall", lambda s, d: _rounded(R.correlations(f.daily_bars(s, d), "kendall"), 6))
-_add("t12_rolling_correlation", lambda s, d: _rounded(R.rolling_correlation(_pair(s, d).where("instrument_id <> 1")), 4, *ID, "corr"), f"WITH {f.BARS}, {PAIR} SELECT instrument_id, ts, round(CASE WHEN count(*) {_frame(60)} = 60 THEN corr(a, b) {_frame(60)} END, 4) AS corr FROM pair WHERE instrument_id <> 1")
+_add("t12_rolling_correlation", lambda s, d: _rounded(R.rolling_correlation(_pair(s, d).where("instrument_id <> 1")), 4, *ID, "corr"), f"WITH {f.BARS}, {PAIR} SELECT instrument_id, ts, round(CASE WHEN count(*) {_frame(60)} = 60 THEN corr(a, b) {_frame(60)} END, 4) + 0.0 AS corr FROM pair WHERE instrument_id <> 1")
 _add(
     "t13_lead_lag",
     lambda s, d: _rounded(R.lead_lag(_pair(s, d), 5), 6),
@@ -302,7 +302,7 @@ _ind(
     "t16_confirmed_move", R.confirmed_move, ["confirmed"], 0,
     f"WITH {f.BARS}, m AS (SELECT *, CASE WHEN count(volume) {_frame(20)} = 20 THEN quantile_cont(volume, 0.5) {_frame(20)} END AS m, lag(close) OVER (PARTITION BY instrument_id ORDER BY ts) AS pc FROM bars) SELECT instrument_id, ts, CASE WHEN volume > m THEN CASE WHEN coalesce(close > pc, false) THEN 1 ELSE -1 END ELSE 0 END AS confirmed FROM m",
 )
-_ind("t17_dollar_volume", R.dollar_volume, {"dollar_volume": _roll("avg", "close * volume", 20)}, 3)
+_ind("t17_dollar_volume", R.dollar_volume, {"dollar_volume": _roll("avg", "close * volume", 20)}, 6)
 _ind("t18_zscore", R.zscore, {"z": "(close - avg(close) OVER (PARTITION BY instrument_id)) / nullif(stddev_samp(close) OVER (PARTITION BY instrument_id), 0)"}, 4)
 _ind("t18_rolling_zscore", lambda b: R.zscore(b, p=60), {"z": f"(close - ({_roll('avg', 'close', 60)})) / nullif({_roll('stddev_samp', 'close', 60)}, 0)"}, 4)
 _ind(
@@ -328,7 +328,7 @@ _add(
     lambda s, d: (lambda b: _rounded(TS.residuals(b, TS.ols(b, "a", ["b"]), "a", ["b"]), 5, *ID, "residual"))(_both(s, d)),
     f"WITH {f.BARS}, {LR}, p AS (SELECT a.instrument_id, a.ts, a.lr AS a, b.lr AS b FROM lr a JOIN lr b ON a.ts = b.ts WHERE b.instrument_id = 1 AND a.instrument_id <> 1 AND a.lr IS NOT NULL AND b.lr IS NOT NULL) SELECT instrument_id, ts, round(a - regr_intercept(a, b) OVER z - regr_slope(a, b) OVER z * b, 5) AS residual FROM p WINDOW z AS (PARTITION BY instrument_id)",
 )
-_add("m2_rolling_beta", lambda s, d: _rounded(TS.rolling_beta(_pair(s, d)), 4, *ID, "beta"), f"WITH {f.BARS}, {PAIR} SELECT instrument_id, ts, round(CASE WHEN count(*) {_frame(60)} = 60 THEN covar_samp(a, b) {_frame(60)} / nullif(var_pop(b) {_frame(60)}, 0) END, 4) AS beta FROM pair")
+_add("m2_rolling_beta", lambda s, d: _rounded(TS.rolling_beta(_pair(s, d)), 4, *ID, "beta"), f"WITH {f.BARS}, {PAIR} SELECT instrument_id, ts, round(CASE WHEN count(*) {_frame(60)} = 60 THEN covar_samp(a, b) {_frame(60)} / nullif(var_pop(b) {_frame(60)}, 0) END, 4) + 0.0 AS beta FROM pair")
 _add("m3_adf", lambda s, d: _rounded(TS.adf_test(f.daily_bars(s, d)), 6))
 _add("m4_granger", lambda s, d: _rounded(TS.granger(_both(s, d)), 6))
 _add("m5_cointegration", lambda s, d: _rounded(TS.cointegration(_pair(s, d).where("instrument_id <> 1")), 6))
@@ -368,7 +368,7 @@ SIGNAL = f"""sg AS (SELECT *, CASE WHEN row_number() OVER w < 50 THEN 0 WHEN avg
 po AS (SELECT *, coalesce(lag(signal) OVER w, 0)::DOUBLE AS pos, coalesce(close / lag(close) OVER w - 1, 0) AS pr FROM sg WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)),
 sr AS (SELECT *, pos * pr - abs(pos - coalesce(lag(pos) OVER w, 0)) * 0.0015 AS sr FROM po WINDOW w AS (PARTITION BY instrument_id ORDER BY ts))"""
 _run = lambda s, d: bt.run_backtest(bt.cross_signal(f.daily_bars(s, d)), short=True)
-_add("b1_backtest", lambda s, d: _rounded(_run(s, d).withColumn("log_equity", F.ln("equity")), 5, *ID, "position", "price_return", "strategy_return", "log_equity"), f"WITH {f.BARS}, {SIGNAL} SELECT instrument_id, ts, pos AS position, round(pr, 5) AS price_return, round(sr, 5) AS strategy_return, round(ln(10000) + sum(ln(1 + sr)) {RUN}, 5) AS log_equity FROM sr")
+_add("b1_backtest", lambda s, d: _rounded(_run(s, d).withColumn("log_equity", F.ln(F.abs("equity"))), 5, *ID, "position", "price_return", "strategy_return", "log_equity"), f"WITH {f.BARS}, {SIGNAL} SELECT instrument_id, ts, pos AS position, round(pr, 5) AS price_return, round(sr, 5) AS strategy_return, round(ln(10000) + sum(ln(abs(1 + sr))) {RUN}, 5) AS log_equity FROM sr")
 TRADES = f"""ch AS (SELECT *, sign(pos) AS side, coalesce(sign(pos) <> lag(sign(pos)) OVER (PARTITION BY instrument_id ORDER BY ts), true) AS new FROM sr),
 ru AS (SELECT instrument_id, ts AS entry, close AS entry_price, side, lead(ts) OVER w AS exit, lead(close) OVER w AS exit_price FROM ch WHERE new WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)),
 trd AS (SELECT instrument_id, entry, exit, CASE WHEN side > 0 THEN 'long' ELSE 'short' END AS side, entry_price, exit_price, side * (exit_price / entry_price - 1) - 0.003 AS pnl FROM ru WHERE side <> 0 AND exit IS NOT NULL)"""

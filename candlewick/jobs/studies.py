@@ -6,7 +6,7 @@ bar, and its last bars as an array. Every study is an expression on that row, so
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +51,7 @@ def _study(name: str, group: str, value: Column, signal: Column, score: Column,
 
 
 def facts(bars: DataFrame, bench: DataFrame | None = None) -> DataFrame:
-    """One row an instrument: fields of the last bar, and ``tail``, the last bars in order."""
+    """One row an instrument: fields of the last bar, and what the studies read from the bars before it."""
     w, whole = ordered(), Window.partitionBy(KEY)
     before = lambda p: w.rowsBetween(-p, -1)
     df = ind.recursive_set(bars).withColumn("n", F.count("*").over(whole)).withColumn("rn", F.row_number().over(w))
@@ -78,7 +78,7 @@ def facts(bars: DataFrame, bench: DataFrame | None = None) -> DataFrame:
         F.corr("log_ret", "log_ret_1").alias("ac1"),
         F.count("vol20").alias("vols"),
     )
-    one = one.select(KEY, "x.*", "tail", "ac1", "vols")
+    one = _from_tail(one.select(KEY, "x.*", "tail", "ac1", "vols"))
     if bench is None:
         return one.withColumn("rs", F.lit(None).cast("double")).withColumn("common", F.lit(None).cast("long"))
     b = bench.select(TIME, F.col("close").alias("b"), F.col(KEY).alias("bench"))
@@ -99,54 +99,76 @@ def _rising(x: Column) -> Column:
     return F.when(F.size(x) >= 2, F.get(x, F.size(x) - 1) > F.get(x, F.size(x) - 2)).otherwise(F.lit(False))
 
 
-def hurst(x: Column) -> Column:
-    """Slope of log mean rescaled range on log segment length over an array of log prices; null with under three lengths."""
-    zero = F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(0.0).alias("square"), F.lit(False).alias("begun"))
+LAGS = (2, 4, 8, 16, 32)
 
-    def scaled(seg: Column, lag: int) -> Column:
-        mean = F.aggregate(seg, F.lit(0.0), lambda a, v: a + v) / lag
+
+def _scaled(seg: Column, lag: int) -> Column:
+    """Range of the running sum of a segment's deviations over their sample deviation; null where they don't vary."""
+    zero = F.struct(F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(0.0).alias("square"))
+
+    def of(x: Column) -> Column:
+        mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / lag
+        centred = F.transform(x, lambda v: v - mean)
 
         def add(a: Column, v: Column) -> Column:
-            at = a["at"] + v - mean
-            low = F.when(a["begun"], F.least(a["low"], at)).otherwise(at)
-            high = F.when(a["begun"], F.greatest(a["high"], at)).otherwise(at)
-            return F.struct(at.alias("at"), low.alias("low"), high.alias("high"), (a["square"] + (v - mean) * (v - mean)).alias("square"), F.lit(True).alias("begun"))
+            at = a["at"] + v
+            return F.struct(at.alias("at"), F.least(a["low"], at).alias("low"), F.greatest(a["high"], at).alias("high"), (a["square"] + v * v).alias("square"))
+
+        return F.aggregate(centred, zero, add, lambda a: F.when(a["square"] > 0, (a["high"] - a["low"]) / F.sqrt(a["square"] / (lag - 1))))
+
+    return of(seg)
+
+
+def with_hurst(df: DataFrame, logs: str = "logs") -> DataFrame:
+    """df with ``hurst``: slope of log mean rescaled range on log segment length over an array of log prices.
+
+    Null with fewer than three lengths. Each step is a column, so that nothing is computed twice.
+    """
+    x = F.col(logs)
+    starts = {k: F.when(F.size(x) > k, F.sequence(F.lit(0), F.size(x) - k - 1, F.lit(k))).otherwise(F.array().cast("array<int>")) for k in LAGS}
+    df = df.withColumns({f"_seg{k}": _slices(starts[k], x, k) for k in LAGS})
+    df = df.withColumns({f"_rs{k}": F.filter(_each(F.col(f"_seg{k}"), k), lambda v: v.isNotNull()) for k in LAGS})
+    df = df.withColumns({f"_y{k}": F.when(F.size(f"_rs{k}") > 0, F.ln(F.aggregate(f"_rs{k}", F.lit(0.0), lambda a, v: a + v) / F.size(f"_rs{k}"))) for k in LAGS})
+    total = lambda f: sum((F.when(F.col(f"_y{k}").isNotNull(), f(math.log(k), F.col(f"_y{k}"))).otherwise(0.0) for k in LAGS), F.lit(0.0))
+    df = df.withColumns({"_k": total(lambda a, y: F.lit(1.0)), "_sx": total(lambda a, y: F.lit(a)), "_sy": total(lambda a, y: y), "_sxy": total(lambda a, y: a * y), "_sxx": total(lambda a, y: F.lit(a * a))})
+    slope = ratio(F.col("_k") * F.col("_sxy") - F.col("_sx") * F.col("_sy"), F.col("_k") * F.col("_sxx") - F.col("_sx") * F.col("_sx"))
+    df = df.withColumn("hurst", F.when(F.col("_k") >= 3, slope))
+    return df.drop(*(f"{p}{k}" for p in ("_seg", "_rs", "_y") for k in LAGS), "_k", "_sx", "_sy", "_sxy", "_sxx")
+
+
+def _slices(starts: Column, x: Column, lag: int) -> Column:
+    return F.transform(starts, lambda i: F.slice(x, i + 1, F.lit(lag)))
 
-        return F.aggregate(seg, zero, add, lambda a: F.when(a["square"] > 0, (a["high"] - a["low"]) / F.sqrt(a["square"] / (lag - 1))))
 
-    points = []
-    for lag in (2, 4, 8, 16, 32):
-        starts = F.when(F.size(x) > lag, F.sequence(F.lit(0), F.size(x) - lag - 1, F.lit(lag))).otherwise(F.array().cast("array<int>"))
-        rs = F.filter(_each(starts, x, lag, scaled), lambda v: v.isNotNull())
-        mean = F.aggregate(rs, F.lit(0.0), lambda a, v: a + v) / F.size(rs)
-        points.append(F.when(F.size(rs) > 0, F.struct(F.ln(F.lit(float(lag))).alias("x"), F.ln(mean).alias("y"))))
-    got = F.filter(F.array(*points), lambda p: p.isNotNull())
+def _each(segments: Column, lag: int) -> Column:
+    return F.transform(segments, lambda seg: _scaled(seg, lag))
 
-    def slope(p: Column) -> Column:
-        s = lambda f: F.aggregate(p, F.lit(0.0), lambda a, v: a + f(v))
-        k = F.size(p)
-        sx, sy, sxy, sxx = s(lambda v: v["x"]), s(lambda v: v["y"]), s(lambda v: v["x"] * v["y"]), s(lambda v: v["x"] * v["x"])
-        return F.when(k >= 3, ratio(k * sxy - sx * sy, k * sxx - sx * sx))
 
-    return slope(got)
+def _from_tail(one: DataFrame) -> DataFrame:
+    """Columns that studies read from the last bars, step by step; the arrays themselves go."""
+    tail = F.col("tail")
 
+    def newest(k: int, field: str) -> Column:
+        return F.transform(F.slice(tail, -F.least(F.size(tail), F.lit(k)), F.lit(k)), lambda t: t[field])
 
-def _each(starts: Column, x: Column, lag: int, f: Callable[[Column, int], Column]) -> Column:
-    return F.transform(starts, lambda i: f(F.slice(x, i + 1, F.lit(lag)), lag))
+    one = one.withColumns({"_c60": newest(60, "close"), "_rsi10": newest(10, "rsi"), "_vols": newest(252, "vol20"), "logs": F.transform(tail, lambda t: F.ln(t["close"]))}).drop("tail")
+    one = one.withColumns({"_high": _peaks(F.col("_c60"), True), "_low": _peaks(F.col("_c60"), False), "hot": F.size(F.filter("_rsi10", lambda v: v > 70))})
+    one = one.withColumn("vol_rank", F.when(F.col("vols") < 30, F.lit(0.5)).when(F.forall("_vols", lambda v: v.isNotNull()), ret.rank_in(F.col("_vols"), 252)))
+    one = one.withColumns({"hh": _rising(F.col("_high")), "hl": _rising(F.col("_low"))}).drop("_c60", "_rsi10", "_vols", "_high", "_low")
+    return with_hurst(one).drop("logs")
 
 
 def registry(bench: bool = True) -> list[Column]:
     """All studies in their order, as expressions on a row of facts()."""
     c = F.col
-    close, tail = c("close"), c("tail")
-    closes = lambda k: F.transform(F.slice(tail, -F.least(F.size(tail), F.lit(k)), F.lit(k)), lambda t: t["close"])
+    close = c("close")
     known = [p for p in (10, 20, 50, 100, 200)]
     above = sum((F.coalesce((close > c(f"sma{p}")).cast("int"), F.lit(0)) for p in known), F.lit(0))
     have = sum((c(f"sma{p}").isNotNull().cast("int") for p in known), F.lit(0))
     stack = F.when(have > 0, above / have).otherwise(0.5)
     pct200 = (ratio(close, c("sma200")) - 1) * 100
     slope = ratio(c("sma50") - c("sma50_4"), c("sma50_4")) * 100
-    hh, hl = _rising(_peaks(closes(60), True)), _rising(_peaks(closes(60), False))
+    hh, hl, hot, vol, h = c("hh"), c("hl"), c("hot"), c("vol_rank"), c("hurst")
     plus = c("plus_di") > c("minus_di")
     trending = c("adx") > 25
     top, low = F.greatest("senkou_a", "senkou_b"), F.least("senkou_a", "senkou_b")
@@ -168,12 +190,8 @@ def registry(bench: bool = True) -> list[Column]:
     stretched = F.when(pct200 > 30, "bear").when(pct200 > 0, "bull").otherwise("neutral")
     band = c("bb_pct")
     far = F.when(c("atr") > 0, ratio(close - c("sma50"), c("atr"))).otherwise(0.0)
-    hot = F.size(F.filter(F.slice(tail, -F.least(F.size(tail), F.lit(10)), F.lit(10)), lambda t: t["rsi"] > 70))
-    vols = F.transform(F.slice(tail, -F.least(F.size(tail), F.lit(252)), F.lit(252)), lambda t: t["vol20"])
-    vol = F.when(c("vols") < 30, F.lit(0.5)).when(F.forall(vols, lambda v: v.isNotNull()), ret.rank_in(vols, 252))
     fall = (ratio(close, c("top_all")) - 1) * 100
     flow = ratio(c("obv") - c("obv_20"), F.greatest(F.abs("obv_20"), F.lit(1.0)))
-    h = hurst(F.transform(tail, lambda t: F.ln(t["close"])))
     risk = close - F.least(c("low_22"), close - 2 * c("atr"))
     rr = F.when(risk > 0, ratio(2 * risk, risk))
     note = F.when(c("rsi") > 70, "Overbought").when(c("rsi") < 30, "Oversold").otherwise("")
