@@ -392,8 +392,8 @@ fo AS (SELECT instrument_id, unnest(range(0, (max(n) - 504) // 126)) AS fold FRO
 c AS (SELECT n.instrument_id, fold, i >= 504 + fold * 126 AS oos, ts, close, CASE WHEN signal > 0 THEN 1.0 ELSE 0.0 END AS s FROM n JOIN fo USING (instrument_id) WHERE i < 504 + (fold + 1) * 126),
 p AS (SELECT *, coalesce(lag(s) OVER w, 0) AS pos, coalesce(close / lag(close) OVER w - 1, 0) AS pr FROM c WINDOW w AS (PARTITION BY instrument_id, fold, oos ORDER BY ts)),
 r AS (SELECT *, pos * pr - abs(pos - coalesce(lag(pos) OVER w, 0)) * 0.0015 AS r FROM p WINDOW w AS (PARTITION BY instrument_id, fold, oos ORDER BY ts)),
-e AS (SELECT *, sum(ln(1 + r)) OVER w AS le, row_number() OVER w AS k, ln(1 + r) AS lr FROM r WINDOW w AS (PARTITION BY instrument_id, fold, oos ORDER BY ts ROWS UNBOUNDED PRECEDING)),
-d AS (SELECT *, exp(le - max(le) OVER (PARTITION BY instrument_id, fold, oos ORDER BY ts ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM e),
+e AS (SELECT *, product(1 + r) OVER w AS eq, row_number() OVER w AS k, CASE WHEN 1 + r > 0 THEN ln(1 + r) END AS lr FROM r WINDOW w AS (PARTITION BY instrument_id, fold, oos ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, eq / max(eq) OVER (PARTITION BY instrument_id, fold, oos ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e),
 g AS (SELECT instrument_id, fold, oos, min(ts) AS a, max(ts) AS z, coalesce(avg(lr) FILTER (k > 1) / nullif(stddev_samp(lr) FILTER (k > 1), 0) * sqrt(252), 0) AS sh, min(dd) AS dd FROM d GROUP BY 1, 2, 3)
 SELECT o.instrument_id, o.fold::INT AS fold, o.a AS fold_start, o.z AS fold_end, round(x.sh, 4) AS is_sharpe, round(o.sh, 4) AS oos_sharpe, round(x.dd, 4) AS is_max_dd, round(o.dd, 4) AS oos_max_dd FROM g o JOIN g x ON o.instrument_id = x.instrument_id AND o.fold = x.fold AND o.oos AND NOT x.oos""".format(bars=f.BARS, signal=SIGNAL)
 _add("b5_walk_forward", lambda s, d: _rounded(V.walk_forward(f.daily_bars(s, d), bt.cross_signal), 4), _WF)
