@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs as struct ``doc`` with ``rid``, a name for each row that a second read gives again.
+
+    It is the row's file and place. What is not read straight from files is written to the shared folder first.
+    """
+    rid = F.concat_ws(":", "_metadata.row_index", "_metadata.file_path").alias("rid")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    try:
+        return docs.select(own, rid)
+    except AnalysisException:  # no file behind the rows
+        return materialize(docs, "rows").select(own, rid)
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session; work that is dealt out by hand grows with it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

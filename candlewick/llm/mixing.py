@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from candlewick.llm.common import WORD, materialize, parts, table
+from candlewick.llm.common import WORD, materialize, numbered, parts, table
 
 CHUNK = 4096  # documents in one flight
 MOST = 3.0  # times its size that a source or document may be taken
@@ -169,7 +169,7 @@ def op1_mixing(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Pipeline stage: each document comes as often as the mix takes it, 0 to 3 times."""
-    kept = materialize(docs.select(F.struct("*").alias("doc")).withColumn("rid", F.monotonically_increasing_id()), "mixing")
+    kept = numbered(docs)
     mixed = sample(kept.select("doc.doc_id", "doc.source", _size("doc.text"), "rid"))
-    copies = mixed.where("copies > 0").select("rid", "copies")
+    copies = mixed.where("copies > 0").select("rid", "copies").hint("merge")  # as many rows as documents: never broadcast
     return kept.join(copies, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")

@@ -22,6 +22,7 @@ MAX_REPEAT = 50  # per cent of words in repeated 3-word windows
 MAX_HOST_RATE = 0.5  # a host whose shrunken failure rate is above goes
 PRIOR_DOCS = 10.0  # strength of the prior where the hosts' rates don't differ
 SYMBOLS = "#*$%&|<>"
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _repeat_words(w: Column) -> Column:
@@ -96,27 +97,38 @@ def beta_prior(k: int, mean: float | None, var: float | None) -> tuple[float, fl
     return mean * strength, (1 - mean) * strength
 
 
-def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE, keep_text: bool = False) -> DataFrame:
-    """Rows of docs as struct ``doc``, their measures, base_failed, host rate and kept.
+def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """(doc_id, measures, base_failed, rate, kept) for every row of docs.
 
-    The measured rows are written to the shared folder once, as both the hosts' counts and the
-    result read them; without keep_text only doc_id and source go along.
+    The measured rows, without texts, are written to the shared folder once: both the hosts' counts and the
+    result read them.
     """
-    measured = measures(docs if keep_text else docs.select("doc_id", "text", "source"))
-    if not keep_text:
-        measured = measured.withColumn("doc", F.struct(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source")))
-    measured = materialize(measured.withColumn("host", F.col("doc.source")), "quality")
-    verdicts = host_verdicts(measured, max_rate).select("host", "rate", "host_ok")
+    measured = measures(docs.select("doc_id", "text", "source"))
+    measured = materialize(measured.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("host"), *MEASURES, "base_failed"), "quality")
+    return _judged(measured, verdicts_of(measured, max_rate))
+
+
+def verdicts_of(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """Host verdicts as a small table, whose size Spark knows when it plans the join."""
+    return materialize(host_verdicts(measured, max_rate).select("host", "rate", "host_ok"), "hosts")
+
+
+def _judged(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
     return measured.join(verdicts, "host", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True)))
 
 
 def op7_quality_rules(spark, sf_dir):
-    return judge(table(spark, sf_dir, "documents")).select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: documents that the rules reject go."""
-    return judge(docs, keep_text=True).where("kept").select("doc.*")
+    """Pipeline stage: documents that the rules reject go.
+
+    The rules run twice, for the hosts' counts and for the rows, which is cheaper than a copy of all texts.
+    """
+    counted = measures(docs.select("text", "source")).select(F.col("doc.source").alias("host"), "base_failed")
+    verdicts = verdicts_of(materialize(counted, "failures"))
+    return _judged(measures(docs).withColumn("host", F.col("doc.source")), verdicts).where("kept").select("doc.*")
 
 
 ORACLE_SQL = f"""

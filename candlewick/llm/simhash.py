@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from candlewick.llm.common import materialize, parts, table
+from candlewick.llm.common import materialize, numbered, parts, table
 from candlewick.llm.components import components
 
 SHINGLE = 3
@@ -157,7 +157,7 @@ def op8_simhash(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Pipeline stage: of each component the document with the smallest id stays, once."""
-    kept = materialize(docs.select(F.struct("*").alias("doc")).withColumn("rid", F.monotonically_increasing_id()), "near")
+    kept = numbered(docs)
     found = near_duplicates(kept.select(F.col("rid").alias("doc_id"), F.col("doc.text").alias("text")))
     # components by row: the row with the smallest doc_id, then the smallest row number
     ids = found.join(kept.select(F.col("rid").alias("doc_id"), F.col("doc.doc_id").alias("id")), "doc_id")
