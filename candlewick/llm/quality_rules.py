@@ -114,7 +114,10 @@ def verdicts_of(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
 
 
 def _judged(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
-    return measured.join(verdicts, "host", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True)))
+    # one expression on both sides of the join: a filter on it isn't pushed below, where the measures would be
+    # written out again inside it
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce("host_ok", F.lit(True)))
+    return measured.join(verdicts, "host", "left").withColumn("kept", kept)
 
 
 def op7_quality_rules(spark, sf_dir):
