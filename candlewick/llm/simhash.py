@@ -39,18 +39,23 @@ BLOCKS = 6
 HOT = 4096  # fingerprints of one key that a task compares with each other
 
 
-def fingerprint(text: bytes) -> int:
-    """64 majority bits over the hashes of a text's shingles, as an unsigned number; ``text`` is UTF-8."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hashes of a text's shingles of ``width`` words; ``text`` is UTF-8."""
     words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    last = max(len(words) - SHINGLE, 0)
-    shingles = [line[a:z] for a, z in zip(starts[: last + 1].tolist(), ends[min(SHINGLE, len(words)) - 1 :].tolist(), strict=True)]
+    last = max(len(words) - width, 0)
+    shingles = [line[a:z] for a, z in zip(starts[: last + 1].tolist(), ends[min(width, len(words)) - 1 :].tolist(), strict=True)]
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.array([hash_of(s, SEED) for s in shingles], dtype="<u8")
+    return np.array([hash_of(s, SEED) for s in shingles], dtype="<u8")
+
+
+def fingerprint(text: bytes) -> int:
+    """64 majority bits over the hashes of a text's shingles, as an unsigned number; ``text`` is UTF-8."""
+    hashes = shingle_hashes(text, SHINGLE)
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -156,7 +161,7 @@ def op8_simhash(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: of each component the document with the smallest id stays, once."""
+    """Of each component of fingerprints the document with the smallest id stays, once; the pipeline has near_copies."""
     kept = numbered(docs)
     found = near_duplicates(kept.select(F.col("rid").alias("doc_id"), F.col("doc.text").alias("text")))
     # components by row: the row with the smallest doc_id, then the smallest row number

@@ -7,12 +7,12 @@ an earlier one rejected.
 
 from __future__ import annotations
 
-from candlewick.llm import bpe, mixing, quality_rules, secrets, simhash
+from candlewick.llm import bpe, mixing, near_copies, quality_rules, secrets
 from candlewick.llm.common import materialize, table
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
-    ("simhash_near_dedup", simhash.stage),
+    ("near_dedup", near_copies.stage),
     ("secret_scan", secrets.stage),
     ("mixing", mixing.stage),
     ("bpe", bpe.stage),
