@@ -15,9 +15,11 @@ anchor's suffix, with up to LEFT bytes before it.
 5. A chunk marks its windows whose smallest doc_id is below their own and cuts the bytes they cover.
 
 All steps are one job; the texts are shuffled once and that shuffle is read three times. Buckets and chunks are
-as many as the session's shuffle partitions or a multiple, so a task's memory stays as the data grow. A passage
-that very many documents share is one row for each chunk in its bucket. Hashes only bring candidates
-together: bytes are compared.
+as many as the session's shuffle partitions or a multiple, so a task's memory stays as the data grow. A hash that
+more than HOT chunks have is hot: its surroundings would all meet in one bucket, and nearly all are unlike where a
+short line stands in very many documents. Of hot hashes the windows are sent instead, each distinct one of a chunk
+once and to a bucket of its own hash; equal windows have equal anchors and so are all sent that way. A window that
+very many documents share is one row for each chunk. Hashes only bring candidates together: bytes are compared.
 
 Defined cases: a null text is empty; a null doc_id is above all others, so its bytes go if any numbered document
 has them, and never vice versa; rows with one doc_id are one document and don't touch each other; an empty table
@@ -41,6 +43,7 @@ LEFT = LENGTH - GRAM  # an anchor's window starts at most so far before it
 AROUND = LEFT + LENGTH
 SHALLOW = 24
 CHUNKS = 4  # chunks to a shuffle partition
+HOT = 256  # an anchor's hash that more chunks have is hot
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -230,10 +233,10 @@ def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, of
 
 
-def earliest(around: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each row of surroundings and each offset the smallest id among rows with an equal window there.
+def earlier(around: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row of surroundings the offsets at which a row of a smaller id has an equal window, as bits.
 
-    Column o is for the window that starts o bytes before the anchor.
+    Bit o is for the window that starts o bytes before the anchor.
     """
     one, of = distinct(around)
     least = np.full(len(one), LAST)
@@ -247,21 +250,32 @@ def earliest(around: np.ndarray, ids: np.ndarray) -> np.ndarray:
         rank[order] = np.arange(len(order))
         sides.append((rank[which], lcp))
     (right, right_lcp), (left, left_lcp) = sides
-    out = np.empty((len(one), LEFT + 1), dtype=np.int64)
+    bits = np.zeros(len(ids), dtype=np.uint64)
     for o in range(LEFT + 1):
         run = np.cumsum(right_lcp < LENGTH - o)[right] * (len(left_lcp) + 1) + np.cumsum(left_lcp < o)[left]
         order = np.argsort(run, kind="stable")
         new = np.ones(len(run), dtype=bool)
         new[1:] = run[order[1:]] != run[order[:-1]]
-        out[order, o] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    return out[of]
+        best = np.empty(len(one), dtype=np.int64)
+        best[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        bits |= (best[of] < ids).astype(np.uint64) << np.uint64(o)
+    return bits
+
+
+def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    n = len(data) - LENGTH + 1
+    h = np.zeros(len(starts), dtype=np.uint64)
+    for i, k in enumerate([*range(0, LENGTH - 7, 8), LENGTH - 8]):
+        h = (h ^ np.ndarray(n, dtype="<u8", buffer=data, offset=k, strides=(1,))[starts]) * MIX[i % 4]
+        h ^= h >> np.uint64(29)
+    return h * MIX[3] ^ h >> np.uint64(32)
 
 
 # ---- the five steps
 
 HASHES = "chunk long, bucket long, tails binary, several binary"
-SHARED = "chunk long, bucket long, shared binary"
-PLACES = "chunk long, bucket long, around binary, ids binary, counts binary, places binary, later binary"
+SHARED = "chunk long, bucket long, shared binary, hot binary"
+PLACES = "chunk long, bucket long, width int, around binary, ids binary, counts binary, places binary, later binary"
 FOUND = "chunk long, bucket long, places binary, offsets binary"
 KEPT = "doc_id long, text string, kept binary, n_bytes long, spans array<struct<start:long,end:long>>"
 
@@ -282,55 +296,76 @@ def _find_shared(frame: pd.DataFrame) -> pd.DataFrame:
     values, of, counts = np.unique(every, return_inverse=True, return_counts=True)
     shared = counts > 1
     shared[of[np.concatenate(several)]] = True
-    shared = shared[of]
+    shared, hot = shared[of], (counts > HOT)[of]
     out, at = [], 0
     for t in tails:
-        out.append(np.packbits(shared[at : at + len(t)]).tobytes())
+        out.append([np.packbits(x[at : at + len(t)]).tobytes() for x in (shared, hot)])
         at += len(t)
-    return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "shared": out})
+    return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "shared": [x for x, _ in out], "hot": [x for _, x in out]})
 
 
 def _send_places(buckets: int):
     def send(docs: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
         rows = []
+
+        def add(bucket: int, strings: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
+            first, of = distinct(strings)
+            least = np.full(len(first), LAST)
+            np.minimum.at(least, of, ids)
+            order = np.argsort(of, kind="stable")
+            rows.append((int(docs["chunk"].iat[0]), bucket, strings.shape[1], strings[first].tobytes(), least.tobytes(), np.bincount(of, minlength=len(first)).astype(np.uint32).tobytes(), at[order].astype(np.uint32).tobytes(), np.packbits(ids[order] > least[of[order]]).tobytes()))
+
         if len(docs) and len(masks):
             chunk = Chunk(docs)
             a = Anchors(chunk, buckets)
-            mask_of = dict(zip(masks["bucket"].tolist(), masks["shared"], strict=True))
-            shared = np.zeros(len(a.tail), dtype=bool)
-            for b, i, j in _runs(a.bucket):
-                shared[i:j] = np.unpackbits(np.frombuffer(mask_of[b], dtype=np.uint8), count=j - i)
-            on = shared[a.of]
+            shared, hot = np.zeros(len(a.tail), dtype=bool), np.zeros(len(a.tail), dtype=bool)
+            for name, marks in (("shared", shared), ("hot", hot)):
+                mask_of = dict(zip(masks["bucket"].tolist(), masks[name], strict=True))
+                for b, i, j in _runs(a.bucket):
+                    marks[i:j] = np.unpackbits(np.frombuffer(mask_of[b], dtype=np.uint8), count=j - i)
+            on = (shared & ~hot)[a.of]
             place, row, bucket = a.place[on], a.row[on], a.bucket[a.of[on]]
             windows = np.lib.stride_tricks.sliding_window_view(chunk.data, AROUND)
             for b, i, j in _runs(bucket):
-                at, ids = place[i:j], chunk.ids[row[i:j]]
-                around = windows[at - LEFT]
-                first, of = distinct(around)
-                least = np.full(len(first), LAST)
-                np.minimum.at(least, of, ids)
-                order = np.argsort(of, kind="stable")
-                rows.append((int(docs["chunk"].iat[0]), b, around[first].tobytes(), least.tobytes(), np.bincount(of, minlength=len(first)).astype(np.uint32).tobytes(), at[order].astype(np.uint32).tobytes(), np.packbits(ids[order] > least[of[order]]).tobytes()))
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "around", "ids", "counts", "places", "later"])
+                add(b, windows[place[i:j] - LEFT], place[i:j], chunk.ids[row[i:j]])
+            # windows of hot anchors go by themselves, dealt by their own hash
+            starts = np.zeros(len(chunk.data), dtype=bool)
+            for o in range(LEFT + 1):
+                starts[a.place[hot[a.of]] - o] = True
+            place = np.flatnonzero(starts & chunk.valid)
+            bucket = (window_hashes(chunk.data, place) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            place, bucket = place[order], bucket[order]
+            windows = np.lib.stride_tricks.sliding_window_view(chunk.data, LENGTH)
+            for b, i, j in _runs(bucket):
+                add(b, windows[place[i:j]], place[i:j], chunk.ids[chunk.row_of(place[i:j])])
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "width", "around", "ids", "counts", "places", "later"])
 
     return send
 
 
 def _find_earlier(frame: pd.DataFrame) -> pd.DataFrame:
-    around = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(-1, AROUND) for x in frame["around"]])
-    ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in frame["ids"]])
-    below = earliest(around, ids) < ids[:, None]
-    bits = (below.astype(np.uint64) << np.arange(LEFT + 1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    out, at = [], 0
-    for c, p, late in zip(frame["counts"], frame["places"], frame["later"], strict=True):
-        counts = np.frombuffer(c, dtype=np.uint32)
-        each = np.repeat(bits[at : at + len(counts)], counts)
-        at += len(counts)
-        # a later document of the chunk has all of it from the chunk's first
-        each[np.unpackbits(np.frombuffer(late, dtype=np.uint8), count=len(each)).astype(bool)] = (1 << LEFT + 1) - 1
-        on = each > 0
-        out.append((np.frombuffer(p, dtype=np.uint32)[on].tobytes(), each[on].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (LEFT + 8) // 8].tobytes()))
-    return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "places": [p for p, _ in out], "offsets": [b for _, b in out]})
+    found = []
+    for width, part in frame.groupby("width", sort=False):
+        around = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(-1, width) for x in part["around"]])
+        ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in part["ids"]])
+        if width == AROUND:
+            bits, every = earlier(around, ids), (1 << LEFT + 1) - 1
+        else:  # a window for itself: offset 0
+            first, of = distinct(around)
+            least = np.full(len(first), LAST)
+            np.minimum.at(least, of, ids)
+            bits, every = (least[of] < ids).astype(np.uint64), 1
+        at = 0
+        for k, b, c, p, late in zip(part["chunk"], part["bucket"], part["counts"], part["places"], part["later"], strict=True):
+            counts = np.frombuffer(c, dtype=np.uint32)
+            each = np.repeat(bits[at : at + len(counts)], counts)
+            at += len(counts)
+            # a later document of the chunk has all of it from the chunk's first
+            each[np.unpackbits(np.frombuffer(late, dtype=np.uint8), count=len(each)).astype(bool)] = every
+            on = each > 0
+            found.append((k, b, np.frombuffer(p, dtype=np.uint32)[on].tobytes(), each[on].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (LEFT + 8) // 8].tobytes()))
+    return pd.DataFrame(found, columns=["chunk", "bucket", "places", "offsets"])
 
 
 def _cut(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:

@@ -91,3 +91,32 @@ def test_whole_operator_against_brute_force(spark, monkeypatch, chunks):
 def test_empty_table(spark):
     assert suffixes.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert len(suffixes._cut(pd.DataFrame({"doc_id": [], "text": []}), pd.DataFrame({"places": [], "offsets": []}))) == 0
+
+
+def line_rows():
+    """A line of 53 bytes in many documents, with other bytes around it in each."""
+    draw = random.Random(6)
+    some = lambda n: "".join(draw.choice("abcdefghij klm") for _ in range(n))
+    line = some(53)
+    return [(i, some(draw.randint(60, 150)) + line + some(draw.randint(60, 150))) for i in range(400)]
+
+
+@pytest.mark.parametrize("hot", [1, 2])
+def test_hot_anchors_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rows = made_rows() + line_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(suffixes.LAST if r.doc_id is None else r.doc_id, r.text.encode(), [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in suffixes.repeats(docs, keep_text=True).collect()]
+    assert sorted(got) == sorted(brute(rows))
+
+
+def test_a_common_line_does_not_fill_one_bucket(monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 4, raising=False)
+    rows, buckets = line_rows(), 16
+    chunks = [pd.DataFrame([(k, *r) for r in rows[k::20]], columns=["chunk", "doc_id", "text"]) for k in range(20)]
+    hashes = pd.concat([suffixes._send_hashes(buckets)(c) for c in chunks])
+    shared = pd.concat([suffixes._find_shared(g) for _, g in hashes.groupby("bucket")])
+    send = suffixes._send_places(buckets)
+    places = pd.concat([send(c, shared[shared["chunk"] == k]) for k, c in enumerate(chunks)])
+    strings = places["ids"].map(len).groupby(places["bucket"]).sum() // 8
+    assert len(strings) == buckets and strings.max() < 2 * strings.median()
