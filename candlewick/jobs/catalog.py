@@ -415,7 +415,7 @@ def _deflated(s, d):
 
 _add("b7_b8_deflated_sharpe", _deflated)
 _add("b9_pbo", lambda s, d: _rounded(V.pbo(f.daily_bars(s, d), bt.cross_signal), 6))
-_add("b10_monte_carlo", lambda s, d: _rounded(V.monte_carlo(_run(s, d), sims=200), 2))
+_add("b10_monte_carlo", lambda s, d: _rounded(V.monte_carlo(_run(s, d)), 2))
 
 # ---- studies and report
 
