@@ -275,7 +275,7 @@ def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 HASHES = "chunk long, bucket long, tails binary, several binary"
 SHARED = "chunk long, bucket long, shared binary, hot binary"
-PLACES = "chunk long, bucket long, width int, around binary, ids binary, counts binary, places binary, later binary"
+PLACES = "chunk long, bucket long, wide int, around binary, ids binary, counts binary, places binary, later binary"
 FOUND = "chunk long, bucket long, places binary, offsets binary"
 KEPT = "doc_id long, text string, kept binary, n_bytes long, spans array<struct<start:long,end:long>>"
 
@@ -306,14 +306,14 @@ def _find_shared(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _send_places(buckets: int):
     def send(docs: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        held: dict[int, list[tuple]] = {}
 
         def add(bucket: int, strings: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
             first, of = distinct(strings)
             least = np.full(len(first), LAST)
             np.minimum.at(least, of, ids)
             order = np.argsort(of, kind="stable")
-            rows.append((int(docs["chunk"].iat[0]), bucket, strings.shape[1], strings[first].tobytes(), least.tobytes(), np.bincount(of, minlength=len(first)).astype(np.uint32).tobytes(), at[order].astype(np.uint32).tobytes(), np.packbits(ids[order] > least[of[order]]).tobytes()))
+            held.setdefault(bucket, []).append((strings[first], least, np.bincount(of, minlength=len(first)).astype(np.uint32), at[order].astype(np.uint32), ids[order] > least[of[order]]))
 
         if len(docs) and len(masks):
             chunk = Chunk(docs)
@@ -339,33 +339,41 @@ def _send_places(buckets: int):
             windows = np.lib.stride_tricks.sliding_window_view(chunk.data, LENGTH)
             for b, i, j in _runs(bucket):
                 add(b, windows[place[i:j]], place[i:j], chunk.ids[chunk.row_of(place[i:j])])
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "width", "around", "ids", "counts", "places", "later"])
+        rows = []  # one for each bucket: its ``wide`` surroundings, then its windows
+        for b, both in held.items():
+            strings, ids, counts, at, later = zip(*both, strict=True)
+            wide = sum(len(x) for x in strings if x.shape[1] == AROUND)
+            rows.append((int(docs["chunk"].iat[0]), b, wide, b"".join(x.tobytes() for x in strings), *(np.concatenate(x).tobytes() for x in (ids, counts, at)), np.packbits(np.concatenate(later)).tobytes()))
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "wide", "around", "ids", "counts", "places", "later"])
 
     return send
 
 
 def _find_earlier(frame: pd.DataFrame) -> pd.DataFrame:
-    found = []
-    for width, part in frame.groupby("width", sort=False):
-        around = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(-1, width) for x in part["around"]])
-        ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in part["ids"]])
-        if width == AROUND:
-            bits, every = earlier(around, ids), (1 << LEFT + 1) - 1
-        else:  # a window for itself: offset 0
-            first, of = distinct(around)
-            least = np.full(len(first), LAST)
-            np.minimum.at(least, of, ids)
-            bits, every = (least[of] < ids).astype(np.uint64), 1
-        at = 0
-        for k, b, c, p, late in zip(part["chunk"], part["bucket"], part["counts"], part["places"], part["later"], strict=True):
-            counts = np.frombuffer(c, dtype=np.uint32)
-            each = np.repeat(bits[at : at + len(counts)], counts)
-            at += len(counts)
-            # a later document of the chunk has all of it from the chunk's first
-            each[np.unpackbits(np.frombuffer(late, dtype=np.uint8), count=len(each)).astype(bool)] = every
-            on = each > 0
-            found.append((k, b, np.frombuffer(p, dtype=np.uint32)[on].tobytes(), each[on].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (LEFT + 8) // 8].tobytes()))
-    return pd.DataFrame(found, columns=["chunk", "bucket", "places", "offsets"])
+    wide = frame["wide"].tolist()
+    bytes_of = [np.frombuffer(x, dtype=np.uint8) for x in frame["around"]]
+    ids_of = [np.frombuffer(x, dtype=np.int64) for x in frame["ids"]]
+    around = np.concatenate([x[: k * AROUND] for k, x in zip(wide, bytes_of, strict=True)]).reshape(-1, AROUND)
+    ids = np.concatenate([x[:k] for k, x in zip(wide, ids_of, strict=True)])
+    bits = earlier(around, ids) if len(ids) else np.zeros(0, dtype=np.uint64)
+    windows = np.concatenate([x[k * AROUND :] for k, x in zip(wide, bytes_of, strict=True)]).reshape(-1, LENGTH)
+    ids = np.concatenate([x[k:] for k, x in zip(wide, ids_of, strict=True)])
+    first, of = distinct(windows) if len(ids) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    least = np.full(len(first), LAST)
+    np.minimum.at(least, of, ids)
+    alone = (least[of] < ids).astype(np.uint64)  # a window for itself: offset 0
+    found, at, at_alone = [], 0, 0
+    for k, c, p, late in zip(wide, frame["counts"], frame["places"], frame["later"], strict=True):
+        counts = np.frombuffer(c, dtype=np.uint32)
+        more = len(counts) - k
+        each = np.repeat(np.concatenate([bits[at : at + k], alone[at_alone : at_alone + more]]), counts)
+        every = np.repeat(np.array([(1 << LEFT + 1) - 1, 1], dtype=np.uint64), [int(counts[:k].sum()), int(counts[k:].sum())])
+        at, at_alone = at + k, at_alone + more
+        # a later document of the chunk has all of it from the chunk's first
+        each = np.where(np.unpackbits(np.frombuffer(late, dtype=np.uint8), count=len(each)).astype(bool), every, each)
+        on = each > 0
+        found.append((np.frombuffer(p, dtype=np.uint32)[on].tobytes(), each[on].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (LEFT + 8) // 8].tobytes()))
+    return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "places": [p for p, _ in found], "offsets": [b for _, b in found]})
 
 
 def _cut(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:

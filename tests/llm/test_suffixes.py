@@ -120,3 +120,16 @@ def test_a_common_line_does_not_fill_one_bucket(monkeypatch):
     places = pd.concat([send(c, shared[shared["chunk"] == k]) for k, c in enumerate(chunks)])
     strings = places["ids"].map(len).groupby(places["bucket"]).sum() // 8
     assert len(strings) == buckets and strings.max() < 2 * strings.median()
+
+
+def test_a_chunk_sends_a_bucket_one_row(monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 4)
+    draw = random.Random(7)
+    rows, buckets = line_rows(), 4
+    rows += [(1000 + i, "".join(draw.choice("nopqrstuvw") for _ in range(300))) for i in range(4)] * 2  # in two chunks: shared, not hot
+    chunks = [pd.DataFrame([(k, *r) for r in rows[k::20]], columns=["chunk", "doc_id", "text"]) for k in range(20)]
+    hashes = pd.concat([suffixes._send_hashes(buckets)(c) for c in chunks])
+    shared = pd.concat([suffixes._find_shared(g) for _, g in hashes.groupby("bucket")])
+    send = suffixes._send_places(buckets)
+    places = pd.concat([send(c, shared[shared["chunk"] == k]) for k, c in enumerate(chunks)])
+    assert len(places) == len(places.drop_duplicates(["chunk", "bucket"])) and places["wide"].sum() > 0
