@@ -9,7 +9,7 @@ anchor's suffix, with up to LEFT bytes before it.
 2. A bucket says which hashes more than one document has; only those anchors go on.
 3. A chunk sends the distinct surroundings of these anchors (LEFT bytes before, LENGTH from it on), each with
    the smallest doc_id that has it there, to the hash's bucket.
-4. A bucket sorts the suffixes of the anchors, and the reversed texts before them: multikey quicksort to
+4. A bucket sorts the suffixes of the anchors, and the reversed texts before them: 8-byte MSD sort by lexsort to
    SHALLOW bytes, blind tries for the groups that still share a prefix then. In sorted order, windows at one
    offset are equal exactly where both common prefixes are long enough, so each run gives its smallest doc_id.
 5. A chunk marks its windows whose smallest doc_id is below their own and cuts the bytes they cover.
@@ -180,7 +180,7 @@ def _blind_trie(texts: list[bytes]) -> list[int]:
 def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of distinct rows of bytes, and the common prefix of each with the one before it (0 for the first).
 
-    Shallow: multikey quicksort with eight bytes for a character; all groups of one depth are sorted at once.
+    Shallow: MSD sort by eight bytes at a time (lexsort, no three-way partitioning); all groups of one depth are sorted at once.
     Deep: groups that share SHALLOW bytes are ordered by blind tries.
     """
     n, width = rows.shape
