@@ -6,8 +6,8 @@ Byte pair encoding never crosses the borders of pre-tokens ("words"), so a word'
    by the word's hash.
 2. A bucket gathers the distinct words of all chunks, encodes each once, and returns to each chunk the ids of
    its words, in the order in which they came.
-3. A chunk splits its texts again and puts the words' ids in their places. Decoding joins ids with the pieces
-   of the vocabulary, by id; each distinct word's bytes are looked up once.
+3. A chunk splits its texts again and puts the words' ids in their places. Decoding looks up ids in a dictionary
+   of the vocabulary's pieces, without a join; each distinct word's bytes are looked up once.
 
 The texts are shuffled once, compressed, and that shuffle is read twice. Chunks and buckets are as many as shuffle
 partitions, so memory in a task stays as the data grow; a very frequent word is one row of each chunk. The
@@ -320,7 +320,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """encoded (with ids) with the column ``decoded``: pieces joined by id; an unknown id gives nothing."""
+    """encoded (with ids) with the column ``decoded``: pieces looked up by id; an unknown id gives nothing."""
     spark = encoded.sparkSession
     sent = spark.sparkContext.broadcast(_vocabulary_text(path))
 
