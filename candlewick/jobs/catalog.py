@@ -296,6 +296,7 @@ _add(
     lambda s, d: _rounded(R.lead_lag(_pair(s, d), 5), 6),
     f"WITH {f.BARS}, {PAIR}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts) AS i FROM pair) SELECT a.instrument_id, (b.i - a.i)::INT AS lag, round(corr(a.a, b.b), 6) AS corr FROM n a JOIN n b ON a.instrument_id = b.instrument_id AND b.i - a.i BETWEEN -5 AND 5 GROUP BY 1, 2",
 )
+_add("t13_lead_lag_full", lambda s, d: _rounded(R.lead_lag(_pair(s, d)), 6))
 _ind("t14_volume_zscore", R.volume_zscore, {"volume_z": f"(volume - ({_roll('avg', 'volume', 20)})) / nullif({_roll('stddev_samp', 'volume', 20)}, 0)"}, 4)
 _ind("t15_divergence", R.divergence, {"divergence": "close / lag(close, 20) OVER w - volume / nullif(lag(volume, 20) OVER w, 0)"}, 4)
 _ind(

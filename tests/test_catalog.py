@@ -17,3 +17,13 @@ def test_monte_carlo_query_has_a_thousand_paths(spark):
     want = np.percentile(validation.CAPITAL * np.cumprod(1 + r[at], axis=1), [5, 25, 50, 75, 95], axis=0).T
     got = catalog.queries()["b10_monte_carlo"](spark, SF).where(F.col("instrument_id") == one).orderBy("step").collect()
     assert np.array([x[2:] for x in got]) == pytest.approx(want, rel=1e-9, abs=0.006)
+
+
+def test_lead_lag_has_all_lags_of_the_default(spark):
+    pair = catalog._pair(spark, SF).where("a is not null and b is not null").orderBy("instrument_id", "ts").toPandas()
+    one = pair["instrument_id"].max()
+    a, b = (pair.loc[pair["instrument_id"] == one, c].to_numpy() for c in "ab")
+    got = {r.lag: r["corr"] for r in catalog.queries()["t13_lead_lag_full"](spark, SF).where(F.col("instrument_id") == int(one)).collect()}
+    n = len(a)
+    want = {k: np.corrcoef(a[max(0, -k) : n - max(0, k)], b[max(0, k) : n + min(0, k)])[0, 1] for k in range(-20, 21)}
+    assert got == pytest.approx(want, abs=2e-6)
