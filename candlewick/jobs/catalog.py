@@ -310,6 +310,7 @@ _ind(
     "t19_percentile_rank", lambda b: R.percentile_rank(b, p=60), ["pct_rank"], 6,
     f"WITH {f.BARS}, l AS (SELECT instrument_id, ts, close, list(close) {_frame(60)} AS l FROM bars), c AS (SELECT *, len(list_filter(l[1:59], lambda x: x < close)) AS b, len(list_filter(l[1:59], lambda x: x <= close)) AS u FROM l) SELECT instrument_id, ts, CASE WHEN len(l) = 60 THEN round((b + u + (u > b)::INT) * 50.0 / 59 / 100, 6) END AS pct_rank FROM c",
 )
+_add("t19_percentile_rank_full", lambda s, d: _rounded(R.percentile_rank(f.daily_bars(s, d), p=252), 6, *ID, "pct_rank"))
 _add(
     "t20_macro_changes",
     lambda s, d: _rounded(R.change_over(R.change_over(f.macro(s, d).withColumnRenamed("series_id", "instrument_id"), "value", 252, "yoy"), "value", 21, "mom"), 6, *ID, "yoy", "mom"),

@@ -27,3 +27,15 @@ def test_lead_lag_has_all_lags_of_the_default(spark):
     n = len(a)
     want = {k: np.corrcoef(a[max(0, -k) : n - max(0, k)], b[max(0, k) : n + min(0, k)])[0, 1] for k in range(-20, 21)}
     assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_percentile_rank_has_the_window_of_the_default(spark):
+    bars = catalog.f.daily_bars(spark, SF)
+    one = bars.agg(F.max("instrument_id")).first()[0]
+    close = np.array([r.close for r in bars.where(F.col("instrument_id") == one).orderBy("ts").collect()])
+    got = [r.pct_rank for r in catalog.queries()["t19_percentile_rank_full"](spark, SF).where(F.col("instrument_id") == one).orderBy("ts").collect()]
+    assert len(close) > 252 and got[:251] == [None] * 251
+    for i in range(251, len(close)):
+        rest = close[i - 251 : i]
+        below, upto = (rest < close[i]).sum(), (rest <= close[i]).sum()
+        assert got[i] == pytest.approx((below + upto + (upto > below)) * 50 / 251 / 100, abs=2e-6)
