@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,36 +22,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (one machine)."""
+    """The folder that driver and executors share; a temporary one only where none is set and one machine does all."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[[^]]*\])?$", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+    found = tempfile.mkdtemp(prefix="spark-shared-")
+    spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
-    It cuts the lineage: a lost executor costs its running tasks, not the work behind this table.
+    It cuts the lineage: a lost executor costs its running tasks, not the work behind this table. instead_of: a
+    table of this function that nothing reads any more; it is removed. The others go with :func:`clean`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if instead_of is not None:
+        for old in {x.rpartition("/")[0] for x in instead_of.inputFiles()}:
+            _delete(spark, old)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove all that this application's operators wrote to the shared folder; their results can't be read afterwards."""
+    _delete(spark, _own(spark))
+
+
+def _of_files(docs: DataFrame) -> bool:
+    """Is docs one read of distinct files, filtered or projected at most? Then a row's file and place are its own."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Filter", "Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or not hasattr(plan.relation(), "location"):
+        return False
+    roots = plan.relation().location().rootPaths()
+    paths = sorted(roots.apply(i).toString().rstrip("/") + "/" for i in range(roots.length()))
+    return all(not b.startswith(a) for a, b in zip(paths, paths[1:], strict=False))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs as struct ``doc`` with ``rid``, a name for each row that a second read gives again.
 
-    It is the row's file and place. What is not read straight from files is written to the shared folder first.
+    It is the row's file and place. Rows that don't come straight from files, each read once, are written to the
+    shared folder first: behind a join, union or explode one place of a file is several rows.
     """
     rid = F.concat_ws(":", "_metadata.row_index", "_metadata.file_path").alias("rid")
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
-    try:
-        return docs.select(own, rid)
-    except AnalysisException:  # no file behind the rows
-        return materialize(docs, "rows").select(own, rid)
+    if "_metadata" not in docs.columns and _of_files(docs):
+        try:
+            return docs.select(own, rid)
+        except AnalysisException:  # files of a format without places
+            pass
+    return materialize(docs.select(own), "rows").select("doc", rid)
+
+
+def deals(docs: DataFrame, text: str, each: int) -> int:
+    """Groups of about ``each`` bytes of text that docs make: they follow the data, and are one for each shuffle
+    partition of the session at least."""
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(parts(docs.sparkSession), -(-total // each))
 
 
 def parts(spark: SparkSession) -> int:

@@ -27,7 +27,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from candlewick.llm.common import materialize, numbered, parts, table
 from candlewick.llm.components import components
@@ -55,7 +54,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def fingerprint(text: bytes) -> int:
     """64 majority bits over the hashes of a text's shingles, as an unsigned number; ``text`` is UTF-8."""
-    hashes = shingle_hashes(text, SHINGLE)
+    return majority(shingle_hashes(text, SHINGLE))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Of 64 bits those that over half the hashes have, as an unsigned number."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -129,7 +132,9 @@ def links(distinct: DataFrame) -> DataFrame:
     spark = distinct.sparkSession
     masks = _masks()
     keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("mask", "key"))
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("mask", "key"))).where("n > 1")
+    # counted by partial sums, so a hot key is one row of each task; the keys that several have are few
+    several = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keyed.join(several, ["mask", "key"])
     # a hot key's fingerprints fall into splits by hash; every pair of splits is a group
     split = F.ceil(F.col("n") / HOT).cast("int")
     mine = F.pmod(F.xxhash64("fp"), split).cast("int")
@@ -147,11 +152,11 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     marked = materialize(docs.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")).coalesce(max(1, parts(docs.sparkSession) // 4)), "distinct")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
     found = components(links(distinct))
     grouped = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = grouped.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = materialize(grouped.join(smallest, "root").select("fp", "component_id").coalesce(max(1, parts(docs.sparkSession) // 4)), "components")
+    named = materialize(grouped.join(smallest, "root").select("fp", "component_id"), "components")
     return marked.join(named, "fp")
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from candlewick.llm import simhash
 from candlewick.llm.components import components
@@ -91,3 +92,14 @@ def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(0, 300)] + [(1000, k) for k in range(1001, 1100)] + [(-5, 1050)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(301)) and all(got[k] == -5 for k in [*range(1000, 1100), -5])
+
+
+def test_stage_on_rows_that_come_from_no_file_place_of_their_own(spark, tmp_path):
+    """Exploded, doubled and joined rows: of exact copies one row stays."""
+    draw = random.Random(8)
+    rows = [(i, " ".join(draw.choice("abcdefghijklmnop") * draw.randint(1, 4) for _ in range(60)), i) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, n int").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    for df in (docs.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))), docs.union(docs), docs.join(docs.select("doc_id"), "doc_id"), spark.read.parquet(f"{tmp_path}/d", f"{tmp_path}/d")):
+        got = simhash.stage(spark, df, "")
+        assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(brute_components([(i, brute_fingerprint(t)) for i, t, _ in rows])))
