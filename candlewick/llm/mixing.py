@@ -5,15 +5,16 @@ with probability 0.4 once more. The cube method draws these fractions so that wo
 all stay what the fractions promise. The flight phase takes three undecided documents, moves their
 probabilities along the direction that changes neither sum until one of them is 0 or 1, and goes on with
 the next; at most two are left. Flights run in parallel over chunks of a source's documents; what the
-chunks leave is flown again, until one small group per source remains, which lands: of the up to four
-ways to decide the last two documents, the one nearest to the promised words is taken.
+chunks leave is flown again, until one small group per source remains. Its last flight leaves HELD documents
+out; they and what it could not decide are the landing problem: of all ways to decide them, among those with
+the right number of documents, the one nearest to the promised words is taken.
 
-Only keys and sizes move, never texts. A hot source is many chunks. Draws depend on the source, the
-chunk and the documents' order by id alone, so reruns agree.
+Only keys and sizes move, never texts. A hot source is many chunks, and so are very many rows of one id and
+size. Draws depend on the source, the chunk and the documents' order by id and place, so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source, the last; a null doc_id is a document
 like others; repeated rows are documents of their own; sources without words have target 0; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored, and the stage carries them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 import random
 import zlib
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from pyspark.sql.window import Window
 from candlewick.llm.common import WORD, materialize, numbered, parts, table
 
 CHUNK = 4096  # documents in one flight
+HELD = 14  # documents that the last flight leaves to the landing
+NEAR = 0.005  # share of a source's target by which the landing may miss it before the number of documents gives way
 MOST = 3.0  # times its size that a source or document may be taken
 WEIGHTS = (1.0, 2.0, 3.0)
 EPS = 1e-9
@@ -59,17 +62,19 @@ def flight(pi: list[float], size: list[float], draw: random.Random) -> None:
             live = [i for i in live if EPS < pi[i] < 1 - EPS]
 
 
-def landing(pi: list[float], size: list[float]) -> None:
-    """Decide the entries that the flight left: the sums of words, then of documents, stay as near as they can."""
+def landing(pi: list[float], size: list[float], target: float = 0.0) -> None:
+    """Decide the entries that the flight left, all ways tried: the nearest sum of words among the ways with as many
+    documents as pi sums to (rounded up or down); if that misses the target by more than NEAR, among all ways."""
     live = [k for k in range(len(pi)) if EPS < pi[k] < 1 - EPS]
     words, docs = sum(pi[k] * size[k] for k in live), sum(pi[k] for k in live)
-    ways = range(1 << len(live))
-
-    def off(way: int) -> tuple[float, float, int]:
-        on = [k for j, k in enumerate(live) if way >> j & 1]
-        return round(abs(sum(size[k] for k in on) - words), 6), abs(len(on) - docs), way
-
-    best = min(ways, key=off)
+    sums, counts = np.zeros(1), np.zeros(1, dtype=np.int64)
+    for k in live:  # way w takes entry j of live where bit j of w is set
+        sums, counts = np.concatenate([sums, sums + size[k]]), np.concatenate([counts, counts + 1])
+    off = np.round(np.abs(sums - words), 6)
+    right = np.abs(counts - docs) < 1 - EPS if docs % 1 > EPS else counts == round(docs)
+    best = int(np.argmin(np.where(right, off, np.inf)))
+    if not right[best] or off[best] > NEAR * target:
+        best = int(np.lexsort((np.abs(counts - docs), off))[0])
     for j, k in enumerate(live):
         pi[k] = float(best >> j & 1)
 
@@ -107,14 +112,20 @@ def _flown(last: bool, ids: str):
     schema = T.StructType.fromDDL(ids)
 
     def fly(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "size", *(["rid"] if "rid" in frame else [])], kind="stable", na_position="last").reset_index(drop=True)
+        frame = frame.sort_values(["doc_id", "size", "rid"], kind="stable", na_position="last").reset_index(drop=True)
         draw = random.Random(zlib.crc32(f"{frame['key'].iat[0]}|{frame['chunk'].iat[0]}|{len(frame)}".encode()))
         order = list(range(len(frame)))
         draw.shuffle(order)
         pi, size = [frame["pi"].iat[k] for k in order], [float(frame["size"].iat[k]) for k in order]
+        held = [k for k in range(len(pi)) if EPS < pi[k] < 1 - EPS][:HELD] if last else []
+        kept = [pi[k] for k in held]
+        for k in held:
+            pi[k] = 0.0
         flight(pi, size, draw)
+        for k, p in zip(held, kept, strict=True):
+            pi[k] = p
         if last:
-            landing(pi, size)
+            landing(pi, size, float(frame["target"].iat[0]))
         back = [0.0] * len(pi)
         for k, p in zip(order, pi, strict=True):
             back[k] = p
@@ -124,18 +135,23 @@ def _flown(last: bool, ids: str):
 
 
 def sample(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """sized (doc_id, source, size and possibly a row id rid) with source_size, target and copies."""
+    """sized (doc_id, source, size, and rid, a name for each row) with source_size, target and copies."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
     sized = materialize(sized.withColumn("key", key), "sized")
     goals = targets(sized, weights, most)
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    # rows of one id and size share a chunk; where they are more than it should hold, their places part them
+    same = sized.groupBy("key", "doc_id", "size").agg(F.count("*").alias("same")).where(F.col("same") > CHUNK)
+    same = materialize(same.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "same"), "repeated")
+    part = F.when(F.col("same").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("rid"), F.ceil(F.col("same") / CHUNK)))
     units = (
         sized.join(goals, "key")
+        .join(same, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")) & (F.col("_size") == F.col("size")), "left")
         .withColumn("times", times)
         .withColumn("whole", F.floor("times"))
         .withColumn("pi", F.col("times") - F.col("whole"))
-        .drop("times")
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / CHUNK)))
+        .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", part), F.ceil(F.col("n") / CHUNK)))
+        .drop("times", "same", "_id", "_key", "_size")
     )
     most_left = goals.agg(F.max("n")).first()[0] or 0
     decided = []
@@ -150,7 +166,7 @@ def sample(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
         undecided = F.col("pi").between(EPS, 1 - EPS)
         decided.append(flown.where(~undecided))
         most_left = 2 * -(-most_left // CHUNK)
-        units = flown.where(undecided).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(-(-most_left // CHUNK)).cast("long")))
+        units = flown.where(undecided).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", "rid"), F.lit(-(-most_left // CHUNK)).cast("long")))
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
@@ -162,8 +178,8 @@ def _size(text) -> Column:
 
 
 def op1_mixing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    mixed = sample(docs.select("doc_id", "source", _size("text")))
+    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = sample(docs.select("doc.doc_id", "doc.source", _size("doc.text"), F.xxhash64("rid").alias("rid")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
 
 

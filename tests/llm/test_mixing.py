@@ -3,8 +3,10 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from candlewick.llm import mixing
+from candlewick.llm.common import numbered
 
 
 @settings(max_examples=200, deadline=None)
@@ -43,7 +45,8 @@ def test_mix_meets_its_targets(spark, monkeypatch):
     rows = [(i, " ".join("w" * draw.randint(1, 200)), draw.choice(["a"] * 8 + ["b", "b", "c", "Ä", None]), "x", 1) for i in range(900)]
     rows += [(None, "a b", "b", "x", 1), (7, None, "a", "x", 1), (5, "q q", "a", "x", 1), (5, "q q", "a", "x", 1), (8, "", "empty", "x", 1)]
     docs = docs_of(spark, rows)
-    take = lambda: mixing.sample(docs.select("doc_id", "source", mixing._size("text"))).toPandas()
+    kept = numbered(docs)
+    take = lambda: mixing.sample(kept.select("doc.doc_id", "doc.source", mixing._size("doc.text"), "rid")).toPandas()
     got = take()
     assert len(got) == len(rows) and (got.copies <= 3).all() and (got.copies >= 0).all()
     names = sorted({r[2] for r in rows} - {None}) + [None]
@@ -57,6 +60,61 @@ def test_mix_meets_its_targets(spark, monkeypatch):
     assert got[cols].fillna(-1).sort_values(cols).values.tolist() == take()[cols].fillna(-1).sort_values(cols).values.tolist()
 
 
+def test_landing_finds_the_nearest_words():
+    draw = random.Random(4)
+    for _ in range(20):
+        size = [float(draw.randint(1, 400)) for _ in range(12)]
+        pi = [0.37] * 12
+        words, docs = 0.37 * sum(size), 0.37 * 12
+        ways = [[k for k in range(12) if w >> k & 1] for w in range(1 << 12)]
+        best = min(abs(sum(size[k] for k in way) - words) for way in ways if abs(len(way) - docs) < 1)
+        mixing.landing(pi, size, 1e9)
+        on = [k for k in range(12) if pi[k]]
+        assert abs(sum(size[k] for k in on) - words) == pytest.approx(best) and abs(len(on) - docs) < 1
+
+
+def test_sources_come_within_a_hundredth(spark):
+    draw = random.Random(7)
+    rows = [(i, " ".join("w" * draw.randint(20, 400)), f"s{i % 20}", "x", 1) for i in range(1000)]
+    got = mixing.sample(numbered(docs_of(spark, rows)).select("doc.doc_id", "doc.source", mixing._size("doc.text"), "rid")).toPandas()
+    for _, own in got.groupby("source"):
+        assert abs((own["size"] * own.copies).sum() - own.target.iat[0]) <= 0.01 * own.target.iat[0]
+
+
+def test_very_many_equal_rows_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    rows = [(3, "a b c", "a", "x", 1)] * 600 + [(None, "a b", "a", "x", 1)] * 500 + [(i, "w " * (i % 30), "b", "x", 1) for i in range(300)]
+    largest = []
+    fly = mixing._flown
+
+    def watched(last, ids):
+        inner = fly(last, ids)
+
+        def run(frame):
+            assert len(frame) <= 200, len(frame)
+            return inner(frame)
+
+        largest.append(last)
+        return run
+
+    monkeypatch.setattr(mixing, "_flown", watched)
+    got = mixing.sample(numbered(docs_of(spark, rows)).select("doc.doc_id", "doc.source", mixing._size("doc.text"), "rid")).toPandas()
+    assert len(got) == len(rows) and largest
+    for _, own in got.groupby("source"):
+        assert abs((own["size"] * own.copies).sum() - own.target.iat[0]) <= 0.01 * own.target.iat[0]
+
+
+def test_stage_on_rows_that_come_from_no_file_place_of_their_own(spark, tmp_path):
+    spark.createDataFrame([(i, "one two three", "ab"[i % 2], "x", i) for i in range(40)], "doc_id long, text string, source string, lang string, n int").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    doubled = docs.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    for df, n in ((doubled, 80), (docs.union(docs), 80), (spark.read.parquet(f"{tmp_path}/d", f"{tmp_path}/d"), 80), (docs.join(docs.select("doc_id"), "doc_id"), 40)):
+        out = mixing.stage(spark, df, "")
+        assert out.columns == df.columns and out.count() == n
+        words = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
+        assert abs(words["a"] - n / 3) <= 1
+
+
 def test_stage_repeats_rows_and_empty_tables_stay_empty(spark):
     docs = docs_of(spark, [(i, "one two three", "ab"[i % 2], "x", i) for i in range(40)])
     out = mixing.stage(spark, docs, "")
