@@ -9,21 +9,23 @@ Byte pair encoding never crosses the borders of pre-tokens ("words"), so a word'
 3. A chunk splits its texts again and puts the words' ids in their places. Decoding looks up ids in a dictionary
    of the vocabulary's pieces, without a join; each distinct word's bytes are looked up once.
 
-The texts are shuffled once, compressed, and that shuffle is read twice. Chunks and buckets are as many as shuffle
-partitions, so memory in a task stays as the data grow; a very frequent word is one row of each chunk. The
-vocabulary file has a fixed size and is broadcast.
+The texts are shuffled once, compressed, and that shuffle is read twice. Chunks hold about DEAL bytes each and buckets
+are as many, so memory in a task stays as the data grow, whatever the session's partitions; rows are dealt by their
+place, so repeated ones part; a very frequent word is one row of each chunk. The vocabulary file has a fixed size
+and is broadcast.
 
 Splitting works on code points in numpy: each has a class (letter, number, white space, other) from
 ``unicodedata``, and borders follow from neighbouring classes.
 
 Defined cases: a null text is empty and has no ids; repeated rows return as often as they come; special
-tokens inside a text become their own ids; texts are encoded whole; an empty table gives an empty result;
-other columns are ignored.
+tokens inside a text become their own ids; texts are encoded whole, and a word of any length costs n log n;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import unicodedata
@@ -40,8 +42,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.llm.common import parts, table
+from candlewick.llm.common import deals, numbered, table
 
+DEAL = 12 << 20  # bytes of text in a chunk
+LONG = 256  # bytes of a word from which merges are found by a heap
 VOCABULARY = "byte_bpe_50k.json"
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: White_Space beyond what the categories Zs, Zl and Zp hold.
@@ -144,6 +148,8 @@ class Vocabulary:
             return [self.special[word]]
         rank, never = self.rank.get, len(self.rank)
         p = [self.letters[b] for b in word.encode()]
+        if len(p) > LONG:
+            return self._encode_long(p)
         ranks = [rank(x, never) for x in zip(p, p[1:], strict=False)]
         while ranks:
             best = min(ranks)
@@ -158,6 +164,27 @@ class Vocabulary:
                 ranks[i] = rank((p[i], p[i + 1]), never)
         return [self.ids[x] for x in p]
 
+    def _encode_long(self, p: list[str]) -> list[int]:
+        """The same by a heap of (rank, place) over a linked list of pieces: n log n for a word of n bytes."""
+        rank, n = self.rank.get, len(p)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, i) for i in range(n - 1) if (r := rank((p[i], p[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if not p[i] or j < 0 or rank((p[i], p[j])) != r:
+                continue  # one of the two has been merged since
+            p[i] += p[j]
+            p[j] = ""
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b >= 0 and (r := rank((p[a], p[b]))) is not None:
+                    heapq.heappush(heap, (r, a))
+        return [self.ids[x] for x in p if x]
+
     def decode(self, ids) -> bytes:
         return b"".join([self.pieces[i] for i in ids])
 
@@ -169,13 +196,12 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(0x100 + hidden.index(b)) for b in range(256)]
 
 
-_loaded: dict[int, Vocabulary] = {}
+_loaded: dict[str, Vocabulary] = {}
 
 
 def _vocabulary(sent) -> Vocabulary:
-    """One vocabulary for each broadcast and worker."""
-    source = sent.value
-    key = zlib.crc32(source[:4096].encode()) ^ len(source)
+    """One vocabulary for each file and worker; sent: a broadcast of the file's digest and text."""
+    key, source = sent.value
     if key not in _loaded:
         _loaded[key] = Vocabulary(source)
     return _loaded[key]
@@ -304,11 +330,17 @@ def _vocabulary_text(path: str | None) -> str:
         return f.read()
 
 
+def _sent(spark: SparkSession, path: str | None):
+    text = _vocabulary_text(path)
+    return spark.sparkContext.broadcast((hashlib.sha256(text.encode()).hexdigest(), text))
+
+
 def _coded(docs: DataFrame, path: str | None, whole: bool, schema: str) -> DataFrame:
     spark: SparkSession = docs.sparkSession
-    n = parts(spark)
-    sent = spark.sparkContext.broadcast(_vocabulary_text(path))
-    texts = docs.select("doc_id", _squeezed("text").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"))
+    docs = docs.select("doc_id", "text")
+    n = deals(docs, "text", DEAL)
+    sent = _sent(spark, path)
+    texts = numbered(docs).select("doc.doc_id", _squeezed("doc.text").alias("text"), F.pmod(F.xxhash64("rid"), F.lit(n)).alias("chunk"))
     words = texts.groupBy("chunk").applyInPandas(_send_words(sent, n), SENT)
     coded = words.groupBy("bucket").applyInPandas(_encode_words(sent), CODED)
     return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(_put_back(sent, n, whole), schema)
@@ -321,8 +353,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded (with ids) with the column ``decoded``: pieces looked up by id; an unknown id gives nothing."""
-    spark = encoded.sparkSession
-    sent = spark.sparkContext.broadcast(_vocabulary_text(path))
+    sent = _sent(encoded.sparkSession, path)
 
     @F.pandas_udf("string")
     def join(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -343,5 +374,6 @@ def op2_bpe(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage, the last: every document's ids as counts and digests."""
+    """Pipeline stage, the last: every row's ids as counts and digests, in the cases defined above; the copies that the
+    mix has made are rows like others."""
     return digests(docs)

@@ -1,4 +1,7 @@
 import hashlib
+import json
+import random
+import time
 import unicodedata
 
 import pytest
@@ -41,6 +44,28 @@ def test_classes_of_all_assigned_code_points():
     check("".join("a" + c + "a1" + c + "1." + c + ". " + c for c in chars))
 
 
+def test_very_long_words():
+    draw = random.Random(1)
+    for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3000, 30_000):
+        for letters in ("a", "ab", "etaoinshrdlu", "éü漢a"):
+            check("".join(draw.choice(letters) for _ in range(n)))
+    began = time.perf_counter()
+    OWN.encode("".join(draw.choice("etaoinshrdlu") for _ in range(1_000_000)))
+    assert time.perf_counter() - began < 60
+
+
+def test_vocabularies_that_begin_alike_are_told_apart(spark, tmp_path):
+    source = open(PATH, encoding="utf-8").read()
+    other = json.loads(source)
+    other["model"]["merges"][-1], other["model"]["merges"][0] = other["model"]["merges"][0], other["model"]["merges"][-1]
+    texts = []
+    for k, model in enumerate((json.loads(source), other)):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(model), encoding="utf-8")
+        texts.append([r.ids for r in bpe.encode(spark.createDataFrame([(1, "the then there into the thing")], "doc_id long, text string"), path).collect()])
+    assert texts[0] != texts[1]
+
+
 def rows_of(spark):
     rows = [(1, "It's the <|endoftext|> of\n\n all, isn't it?  "), (2, None), (3, ""), (3, ""), (None, "x " * 400), (5, "<|endoftext|><|endoftext|>"), (6, "été " * 3000 + "🙂"), (1, "other row, same id")]
     return rows, spark.createDataFrame([(d, t, 7, "n") for d, t in rows], "doc_id long, text string, chunk int, n_tokens string")
