@@ -12,9 +12,12 @@ makes is the output of step i and one byte more.
 The payload is stored as 8-bit samples: pixels that index a grey palette, SIDE wide, in frames of at most
 ROWS rows. Both steps are maps over rows: no shuffle, and memory for one batch.
 
+Frames are made one at a time on one canvas, so a film costs the memory of a picture and of its samples.
+
 Defined cases: a null text or payload is empty; an empty one becomes one row of zero samples; repeated
 rows give equal files; long payloads become several frames; an empty table gives an empty result; a file
-that is no GIF gives null; other columns are ignored.
+that is no GIF, is cut off in its header or claims more than PIXELS, gives null; one that is cut off or damaged later gives the frames before
+the damage, and of a frame whose code stream breaks off the rest as zeros; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from candlewick.llm.common import materialize, table
 
 SIDE = 64  # samples in a row, and the payload's padding
 ROWS = 4096  # rows in a frame
+PIXELS = 1 << 26  # a larger picture or frame counts as damage: its memory isn't set aside
 DELAY = 4  # hundredths of a second that a frame stands
 BITS = 8
 CLEAR, END, FIRST = 1 << BITS, (1 << BITS) + 1, (1 << BITS) + 2
@@ -160,51 +164,67 @@ def _interlaced(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_gif(data: bytes) -> list[dict] | None:
-    """The frames of a GIF: delay, place and samples of each, and the whole picture (height x width x RGBA)
-    that shows while it stands. None for what is no GIF."""
+def header(data: bytes) -> tuple[int, int, np.ndarray, int] | None:
+    """(width, height, palette, where the blocks begin); None for what is no GIF or too short for one."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         return None
     wide, high, flags = struct.unpack_from("<HHB", data, 6)
-    at = 13
-    palette = np.frombuffer(GREY, dtype=np.uint8).reshape(-1, 3)
-    if flags & 0x80:
-        n = 2 << (flags & 7)
-        palette = np.frombuffer(data, dtype=np.uint8, count=3 * n, offset=at).reshape(n, 3)
-        at += 3 * n
+    if wide * high > PIXELS:
+        return None
+    if not flags & 0x80:
+        return wide, high, np.frombuffer(GREY, dtype=np.uint8).reshape(-1, 3), 13
+    palette = _palette(data, 13, flags)
+    return (wide, high, palette, 13 + palette.size) if palette is not None else None
+
+
+def _palette(data: bytes, at: int, flags: int) -> np.ndarray | None:
+    n = 2 << (flags & 7)
+    return np.frombuffer(data, dtype=np.uint8, count=3 * n, offset=at).reshape(n, 3) if at + 3 * n <= len(data) else None
+
+
+def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
+    """The blocks' bytes from ``at`` on, and where they end; what a cut-off file lacks is left out."""
+    parts = []
+    while at < len(data) and data[at]:
+        parts.append(data[at + 1 : at + 1 + data[at]])
+        at += data[at] + 1
+    return b"".join(parts), at + 1
+
+
+def shots(data: bytes) -> Iterator[dict]:
+    """The frames of a GIF one by one: delay, place and samples of each, and the whole picture (height x width x RGBA)
+    that shows while it stands, which the next frame changes. Damage ends them."""
+    wide, high, palette, at = header(data)
     canvas = np.zeros((high, wide, 4), dtype=np.uint8)
-    frames, delay, clear_index, disposal = [], 0, None, 0
-    while at < len(data) and data[at] != 0x3B:
+    delay, clear_index, disposal = 0, None, 0
+    while at + 1 < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
-            if data[at + 1] == 0xF9:
-                packed, delay, index = struct.unpack_from("<BHB", data, at + 3)
+            more, end = _sub_blocks(data, at + 2)
+            if data[at + 1] == 0xF9 and len(more) >= 4:
+                packed, delay, index = struct.unpack_from("<BHB", more)
                 disposal, clear_index = packed >> 2 & 7, index if packed & 1 else None
-            at += 2
-            while data[at]:
-                at += data[at] + 1
-            at += 1
+            at = end
             continue
-        if data[at] != 0x2C:
-            break
+        if data[at] != 0x2C or at + 10 > len(data):
+            return
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
         colours = palette
         if flags & 0x80:
-            n = 2 << (flags & 7)
-            colours = np.frombuffer(data, dtype=np.uint8, count=3 * n, offset=at).reshape(n, 3)
-            at += 3 * n
-        bits, parts = data[at], []
-        at += 1
-        while data[at]:
-            parts.append(data[at + 1 : at + 1 + data[at]])
-            at += data[at] + 1
-        at += 1
-        samples = lzw_decode(b"".join(parts), bits, w * h)
+            colours = _palette(data, at, flags)
+            if colours is None:
+                return
+            at += colours.size
+        if at >= len(data) or not 1 <= data[at] <= 8 or w * h > PIXELS:
+            return
+        codes, end = _sub_blocks(data, at + 1)
+        samples = lzw_decode(codes, data[at], w * h)
+        at = end
         pixels = np.frombuffer(samples + bytes(w * h - len(samples)), dtype=np.uint8).reshape(h, w)
         if flags & 0x40:
             pixels = _interlaced(pixels)
-        before = canvas.copy() if disposal == 3 else None
         inside = canvas[top : top + h, left : left + w]
+        before = inside.copy() if disposal == 3 else None
         shown = pixels[: inside.shape[0], : inside.shape[1]]
         rgba = np.full((*shown.shape, 4), 255, dtype=np.uint8)
         rgba[..., :3] = colours[np.minimum(shown, len(colours) - 1)]
@@ -212,20 +232,24 @@ def read_gif(data: bytes) -> list[dict] | None:
             inside[:] = rgba
         else:
             inside[shown != clear_index] = rgba[shown != clear_index]
-        frames.append({"delay": delay * 10, "left": left, "top": top, "samples": pixels, "picture": canvas.copy()})
+        yield {"delay": delay * 10, "left": left, "top": top, "samples": pixels, "picture": canvas}
         if disposal == 2:
             inside[:] = 0
         elif disposal == 3:
-            canvas = before
+            inside[:] = before
         delay, clear_index, disposal = 0, None, 0
-    return frames
+
+
+def read_gif(data: bytes) -> list[dict] | None:
+    """All frames with pictures of their own. None for what is no GIF."""
+    return None if header(data) is None else [f | {"picture": f["picture"].copy()} for f in shots(data)]
 
 
 def histogram(picture: np.ndarray) -> list[int]:
     """Pixels of a picture by colour, four steps for each of red, green and blue; clear pixels don't count."""
-    steps = picture.reshape(-1, 4) >> 6
-    bins = steps[:, 0].astype(np.int64) * 16 + steps[:, 1] * 4 + steps[:, 2]
-    return np.bincount(bins[picture.reshape(-1, 4)[:, 3] > 0], minlength=64).tolist()
+    steps = picture >> 6
+    bins = steps[..., 0] * 16 + steps[..., 1] * 4 + steps[..., 2]
+    return np.bincount(bins[picture[..., 3] > 0], minlength=64).tolist()
 
 
 FRAME = pa.struct([("at_ms", pa.int32()), ("delay_ms", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int32()))])
@@ -250,16 +274,16 @@ def decode(files: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in files:
         payloads, frames = [], []
         for x in batch.to_pylist():
-            found = read_gif(x) if x else None
-            if found is None:
+            if not x or header(x) is None:
                 payloads.append(None)
                 frames.append(None)
                 continue
-            clock, rows = 0, []
-            for f in found:
+            clock, rows, samples = 0, [], []
+            for f in shots(x):
                 rows.append({"at_ms": clock, "delay_ms": f["delay"], "width": f["samples"].shape[1], "height": f["samples"].shape[0], "histogram": histogram(f["picture"])})
                 clock += f["delay"]
-            payloads.append(b"".join(f["samples"].tobytes() for f in found))
+                samples.append(f["samples"].tobytes())
+            payloads.append(b"".join(samples))
             frames.append(rows)
         yield pa.StructArray.from_arrays([pa.array(payloads, type=pa.binary()), pa.array(frames, type=pa.list_(FRAME))], names=["payload", "frames"])
 

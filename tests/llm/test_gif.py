@@ -89,6 +89,26 @@ def test_palette_transparency_disposal_and_interlace():
     assert gif.read_gif(b"nothing") is None
 
 
+def test_damaged_files_give_what_came_before():
+    palette = [0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255]
+    data = picture([(0, 0, [[1] * 4] * 9, 1, None, True), (1, 1, [[2, 0], [0, 2]], 3, 0, False)], palette, (4, 9))
+    whole = gif.read_gif(data)
+    for cut in range(len(data)):
+        got = gif.read_gif(data[:cut])
+        if cut < 25:
+            assert got is None
+            continue
+        assert len(got) <= 2
+        for a, b in zip(got[:-1], whole, strict=False):
+            assert (a["picture"] == b["picture"]).all()
+    draw = np.random.default_rng(4)
+    for _ in range(500):
+        bad = bytearray(data)
+        for at in draw.integers(0, len(data), 3):
+            bad[at] = draw.integers(0, 256) if at > 10 else bad[at]
+        gif.read_gif(bytes(bad[: draw.integers(0, len(data) + 1)]))
+
+
 def test_query_on_odd_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(gif, "ROWS", 3)
     rows = [(1, None, "x"), (2, "", "y"), (3, "é" * 500, "z"), (3, "é" * 500, "z"), (None, "abc", "m"), (5, "x" * 64, "n")]
