@@ -6,13 +6,15 @@ steps with a lasso penalty, so words that say nothing keep weight zero. It gives
 probability, by which documents are selected.
 
 Ratings come from labels: grade 0 for toxic documents, 1 for clean ones of low quality, 2 for the rest. The fit takes
-a sample of at most TRAIN rated documents (those with the smallest hashes of their ids), in one task; every
-document is then scored where it is read, with 2^BITS weights broadcast. No text is shuffled.
+a sample of at most TRAIN ratings (those with the smallest hashes of their ids), in one task; every
+document is then scored where it is read, with the weights that are not zero, at most 2^BITS, sent along with the
+function. No text is shuffled, only the features of the rated documents, one row for each rating.
 
 Defined cases: a null or empty text has only the features of its length; documents without a rating are scored like
-others; ratings that are null, or of no document, don't count, and a document rated twice counts as often; without
-any rating all tail probabilities are 1; repeated rows are scored alike; an empty table gives an empty result;
-other columns are ignored.
+others; ratings that are null, or of no document, don't count; the same rating of a document counts once, unlike ones
+count each; of rows with one rated id the least features count, so that row order and repeated rows change nothing;
+without any rating all tail probabilities are 1; repeated rows are scored alike; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,16 +113,18 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> tuple[np.ndarray, list[float]] | None:
     """The fit on at most ``most`` rated documents; None without any."""
-    rated = labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null and doc_id is not null")
+    rated = labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null and doc_id is not null").distinct()
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most)  # its size is bounded: it may be broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(materialize(sample, "ratings")), "doc_id")
 
     def fitted(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "grade"], kind="stable").head(most)
+        frame = frame.sort_values(["doc_id", "grade"], kind="stable")
         w, cuts = fit([np.array(x, dtype=np.int64) for x in frame["at"]], frame["grade"].tolist())
         return pd.DataFrame({"w": [w.astype("<f4").tobytes()], "cuts": [cuts]})
 
-    got = texts.select("doc_id", "grade", hashed("text").alias("at"), F.lit(0).alias("one")).groupBy("one").applyInPandas(fitted, "w binary, cuts array<double>").collect()
+    # one row for each rating, by partial minima: however often an id is repeated, the fit gets at most ``most`` rows
+    once = texts.groupBy("doc_id", "grade").agg(F.min(hashed("text")).alias("at"))
+    got = once.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fitted, "w binary, cuts array<double>").collect()
     return (np.frombuffer(got[0].w, dtype="<f4"), list(got[0].cuts)) if got else None
 
 

@@ -37,3 +37,15 @@ def test_rows(spark):
     assert sum(k == (i % 5 < 3) for i, k in held.items()) >= 47
     assert all(r.kept and r.tail == 1 for r in ordinal.judge(docs, labels.limit(0)).collect())
     assert ordinal.judge(docs.limit(0), labels).count() == 0
+
+
+def test_repeated_rows_of_a_rated_id_change_nothing(spark):
+    draw = random.Random(5)
+    rows = [(i, made(draw, [2, 2, 1, 0][i % 4])) for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 2), int(i % 4 == 3)) for i in range(80)] * 2, "doc_id long, quality int, toxic int")
+    docs = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    w, cuts = ordinal.train(docs(rows), labels)
+    more = [*rows, *rows[:5] * 300]
+    draw.shuffle(more)
+    again = ordinal.train(docs(more).repartition(7), labels)
+    assert (again[0] == w).all() and again[1] == cuts
