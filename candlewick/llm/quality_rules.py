@@ -1,6 +1,7 @@
 """Operator 7, quality rules: document rules, and verdicts on hosts from shrunken failure rates.
 
-Built-in functions only. The rules look at one text each, so they need no shuffle. A host (the
+Built-in functions only. Windows of words are told apart by 64-bit hashes first and, where hashes are equal, by their
+words. The rules look at one text each, so they need no shuffle. A host (the
 ``source`` column) is then judged by its rate of failing documents: hosts' counts are summed, a beta
 prior is fitted to the hosts' rates by moments, and each rate is drawn towards the prior's mean, so
 that a host with a few documents can't be condemned by them. The verdict is joined back.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import SPACES, materialize, table, words
+from candlewick.llm.common import SPACES, materialize, numbered, table, words
 
 MIN_WORDS = 50  # fewer words fail
 MAX_REPEAT = 50  # per cent of words in repeated 3-word windows
@@ -26,23 +27,20 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words inside 3-word windows that the text holds twice or more, from the array of words.
-
-    Windows are compared by a 64-bit hash: of two different ones in a text of 20,000 words, a pair is
-    taken for equal with a chance of one in 10^11.
-    """
+    """Hashes of a text's 3-word windows, from the array of words."""
     return F.when(
         F.size(w) >= 3,
         F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _covered(windows: Column) -> Column:
-    """From the windows' hashes, words that repeated windows cover."""
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _covered(windows: Column, w: Column) -> Column:
+    """Words that repeated windows cover: equal windows are neighbours when sorted by hash, then words, then place."""
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))))
 
     def repeated(s: Column) -> Column:
-        return F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
+        same = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        return F.filter(s, lambda x, k: same(F.get(s, k - 1), x) | same(F.get(s, k + 1), x))
 
     at = F.sort_array(F.transform(F.element_at(F.transform(F.array(placed), repeated), 1), lambda x: x["i"]))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
@@ -70,7 +68,7 @@ def measures(docs: DataFrame) -> DataFrame:
             F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
             symbols.cast("long").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0)).otherwise(_covered(F.col("windows"))).cast("long").alias("n_repeat_words"),
+            F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0)).otherwise(_covered(F.col("windows"), F.col("w"))).cast("long").alias("n_repeat_words"),
         )
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
     )
@@ -125,13 +123,15 @@ def op7_quality_rules(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: documents that the rules reject go.
+    """Pipeline stage: documents that the rules reject go, in the cases defined above.
 
-    The rules run twice, for the hosts' counts and for the rows, which is cheaper than a copy of all texts.
+    The rules run once: row names and verdicts are written, and the rows kept are joined back to the documents.
     """
-    counted = measures(docs.select("text", "source")).select(F.col("doc.source").alias("host"), "base_failed")
-    verdicts = verdicts_of(materialize(counted, "failures"))
-    return _judged(measures(docs).withColumn("host", F.col("doc.source")), verdicts).where("kept").select("doc.*")
+    kept = numbered(docs)
+    measured = measures(kept.select("rid", F.col("doc.text").alias("text"), F.col("doc.source").alias("source")))
+    measured = materialize(measured.select("doc.rid", F.col("doc.source").alias("host"), "base_failed"), "failures")
+    good = _judged(measured, verdicts_of(measured)).where("kept").select("rid")
+    return kept.join(good.hint("merge"), "rid", "left_semi").select("doc.*")  # as many rows as documents: never broadcast
 
 
 ORACLE_SQL = f"""

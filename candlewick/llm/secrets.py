@@ -341,7 +341,8 @@ def op10_secret_scan(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: secrets are masked; every document stays."""
+    """Pipeline stage: secrets are masked and n_chars counted anew where they are; every row stays, as it was without a
+    secret, null texts and repeated rows among them; other columns are carried."""
     text = F.col("doc.text")
     changed = F.size("secrets") > 0
     new = F.when(changed, masked(text, F.col("secrets"))).otherwise(text)

@@ -38,6 +38,13 @@ def test_rules_and_host_verdicts(spark):
     assert Q.judge(docs.limit(0)).count() == 0
 
 
+def test_windows_with_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(Q.F, "xxhash64", lambda *a: Q.F.lit(7).cast("long"))  # all collide
+    texts = ["a b c d a b c e", "q w e r t y u", "a a a a", "x y z x y z x", "m n m n m n o p q o p q"]
+    got = Q.measures(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id int, text string, source string")).collect()
+    assert {r.doc.doc_id: r.n_repeat_words for r in got} == {i: brute(t)[4] for i, t in enumerate(texts)}
+
+
 def test_prior():
     assert Q.beta_prior(0, None, None) == (1.0, 1.0)
     a, b = Q.beta_prior(3, 0.2, 0.01)
