@@ -9,13 +9,14 @@ anchor's suffix, with up to LEFT bytes before it.
 2. A bucket says which hashes more than one document has; only those anchors go on.
 3. A chunk sends the distinct surroundings of these anchors (LEFT bytes before, LENGTH from it on), each with
    the smallest doc_id that has it there, to the hash's bucket.
-4. A bucket sorts the suffixes of the anchors, and the reversed texts before them: 8-byte MSD sort by lexsort to
-   SHALLOW bytes, blind tries for the groups that still share a prefix then. In sorted order, windows at one
-   offset are equal exactly where both common prefixes are long enough, so each run gives its smallest doc_id.
+4. A bucket sorts the suffixes of the anchors, and the reversed texts before them: multikey quicksort, eight bytes a
+   character, to SHALLOW bytes, and blind tries for the groups that still share a prefix then. In sorted order, windows
+   at one offset are equal exactly where both common prefixes are long enough, so each run gives its smallest doc_id.
 5. A chunk marks its windows whose smallest doc_id is below their own and cuts the bytes they cover.
 
-All steps are one job; the texts are shuffled once and that shuffle is read three times. Buckets and chunks are
-as many as the session's shuffle partitions or a multiple, so a task's memory stays as the data grow. A hash that
+All steps are one job; the texts are shuffled once and that shuffle is read three times. Chunks hold about DEAL bytes
+each and buckets are as many, so a task's memory stays as the data grow, whatever the session's partitions; rows are
+dealt by their place, so repeated ones part. A hash that
 more than HOT chunks have is hot: its surroundings would all meet in one bucket, and nearly all are unlike where a
 short line stands in very many documents. Of hot hashes the windows are sent instead, each distinct one of a chunk
 once and to a bucket of its own hash; equal windows have equal anchors and so are all sent that way. A window that
@@ -35,15 +36,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import parts, table
+from candlewick.llm.common import deals, numbered, table
 
 LENGTH = 50
 GRAM = 20
 LEFT = LENGTH - GRAM  # an anchor's window starts at most so far before it
 AROUND = LEFT + LENGTH
 SHALLOW = 24
-CHUNKS = 4  # chunks to a shuffle partition
-HOT = 256  # an anchor's hash that more chunks have is hot
+DEAL = 12 << 20  # bytes of text in a chunk
+HOT = 64  # an anchor's hash that more chunks have is hot
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -101,6 +102,8 @@ class Chunk:
         order = sorted(range(len(texts)), key=lambda k: (ids[k], texts[k]))
         self.texts, self.ids = [texts[k] for k in order], ids[order]
         part = b"\xff" * AROUND
+        if sum(map(len, self.texts)) + AROUND * (len(texts) + 1) >= 1 << 32:
+            raise OverflowError("a chunk's places are numbers of 32 bits: deal smaller chunks")
         self.data = np.frombuffer(part + part.join(self.texts) + part, dtype=np.uint8)
         size = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.ends = AROUND + np.cumsum(size) + AROUND * np.arange(len(size))
@@ -177,34 +180,66 @@ def _blind_trie(texts: list[bytes]) -> list[int]:
     return out
 
 
+def multikey_quicksort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group) of rows of keys: the sorted order, and for each place in it the first place of the rows equal to it.
+
+    Multikey quicksort: a group is parted by a pivot at its depth into smaller, equal and larger; the equal part goes one
+    key deeper, the others stay. All groups take each step at once, by counting.
+    """
+    n, deep = keys.shape
+    order, group = np.arange(n), np.zeros(n, dtype=np.int64)
+    live = np.arange(n)  # places whose group has more than one row and is not sorted yet
+    depth = np.zeros(n, dtype=np.int64)  # by place
+    while len(live):
+        of, at = order[live], depth[live]
+        key = keys[of, at]
+        new = np.ones(len(live), dtype=bool)
+        new[1:] = group[live[1:]] != group[live[:-1]]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(live)))
+        which = np.cumsum(new) - 1
+        # pivot: the median of a group's first, middle and last key
+        a, b, c = key[start], key[start + size // 2], key[start + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[which]
+        below, above = key < pivot, key > pivot
+        counts = np.stack([np.add.reduceat(below.astype(np.int64), start), size, np.add.reduceat(above.astype(np.int64), start)])
+        counts[1] -= counts[0] + counts[2]
+        ends = np.cumsum(counts, axis=0)
+        to = np.empty(len(live), dtype=np.int64)  # where each row goes, counted from its group's start
+        for side, before in ((below, None), (~(below | above), ends[0]), (above, ends[1])):
+            seen = np.cumsum(side)
+            rank = seen - (seen[start] - side[start])[which] - 1
+            to[side] = (rank if before is None else rank + before[which])[side]
+        moved = start[which] + to
+        order[live[moved]] = of
+        # the parts of each group become groups, named by their first places
+        place = np.arange(len(live)) - start[which]
+        low, high = ends[0][which], ends[1][which]
+        part = np.where(place < low, 0, np.where(place < high, low, high))
+        equal = (place >= low) & (place < high)
+        group[live] = live[start[which] + part]
+        at = depth[live] + equal
+        depth[live] = at
+        width = np.where(place < low, low, np.where(equal, high - low, size[which] - high))
+        live = live[(width > 1) & (at < deep)]
+    return order, group
+
+
 def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of distinct rows of bytes, and the common prefix of each with the one before it (0 for the first).
 
-    Shallow: MSD sort by eight bytes at a time (lexsort, no three-way partitioning); all groups of one depth are sorted at once.
-    Deep: groups that share SHALLOW bytes are ordered by blind tries.
+    Shallow: multikey quicksort of the first SHALLOW bytes, eight a character. Deep: groups that share them are ordered
+    by blind tries.
     """
     n, width = rows.shape
-    order, group = np.arange(n), np.zeros(n, dtype=np.int64)
-    live = np.arange(n)  # places in order whose group has more than one row
-    for depth in range(0, min(SHALLOW, width), 8):
-        if not len(live):
-            break
-        part = np.zeros((len(live), 8), dtype=np.uint8)
-        piece = rows[order[live], depth : depth + 8]
-        part[:, : piece.shape[1]] = piece
-        key = part.view(">u8").ravel().astype(np.uint64)
-        by = np.lexsort((key, group[live]))
-        order[live] = order[live][by]
-        key, own = key[by], group[live]
-        new = np.ones(len(live), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-        group[live] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]  # named by their first place
-        alone = new & np.append(new[1:], True)
-        live = live[~alone]
-    for _, a, z in _runs(group[live]):
-        at = live[a:z]
-        texts = [rows[k, SHALLOW:].tobytes() for k in order[at]]
-        order[at] = order[at][_blind_trie(texts)]
+    shallow = min(SHALLOW, -(-width // 8) * 8)
+    head = np.zeros((n, shallow), dtype=np.uint8)
+    head[:, : min(width, shallow)] = rows[:, :shallow]
+    order, group = multikey_quicksort(head.view(">u8").astype(np.uint64))
+    for _, a, z in _runs(group):
+        if z - a > 1:
+            texts = [rows[k, shallow:].tobytes() for k in order[a:z]]
+            order[a:z] = order[a:z][_blind_trie(texts)]
     lcp = np.zeros(n, dtype=np.int64)
     for a in range(1, n, 1 << 16):
         z = min(a + (1 << 16), n)
@@ -380,33 +415,34 @@ def _cut(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     rows = []
     if len(docs):
         chunk = Chunk(docs)
-        change = np.zeros(len(chunk.data) + 1, dtype=np.int32)
         starts = np.zeros(len(chunk.data), dtype=bool)
         for p, b in zip(found["places"], found["offsets"], strict=True):
             place = np.frombuffer(p, dtype=np.uint32).astype(np.int64)
             small = np.frombuffer(b, dtype=np.uint8).reshape(-1, (LEFT + 8) // 8)
             for o in range(LEFT + 1):
                 starts[place[small[:, o // 8] >> o % 8 & 1 > 0] - o] = True
+        # windows in order: a span goes on while the next one starts inside or at the end of the one before
         at = np.flatnonzero(starts & chunk.valid)
-        change[at] += 1
-        change[at + LENGTH] -= 1
-        gone = np.cumsum(change[:-1]) > 0
-        for t, i, a, z in zip(chunk.texts, chunk.ids.tolist(), chunk.starts.tolist(), chunk.ends.tolist(), strict=True):
-            own = gone[a:z]
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))).reshape(-1, 2)
-            kept = np.frombuffer(t, dtype=np.uint8)[~own].tobytes() if len(edges) else t
-            rows.append((None if i == LAST else i, t.decode(), kept, len(t), [{"start": int(s), "end": int(e)} for s, e in edges]))
+        new = np.append(True, np.diff(at) > LENGTH)[: len(at)]
+        first = np.flatnonzero(new)
+        begin, end = at[first], at[np.append(first[1:], len(at))[: len(first)] - 1] + LENGTH
+        of = np.searchsorted(begin, chunk.starts), np.searchsorted(begin, chunk.ends)
+        for t, i, a, j, k in zip(chunk.texts, chunk.ids.tolist(), chunk.starts.tolist(), *(x.tolist() for x in of), strict=True):
+            spans = [(s - a, e - a) for s, e in zip(begin[j:k].tolist(), end[j:k].tolist(), strict=True)]
+            edges = [0, *(x for s in spans for x in s), len(t)]
+            kept = b"".join(t[edges[x] : edges[x + 1]] for x in range(0, len(edges), 2))
+            rows.append((None if i == LAST else i, t.decode(), kept, len(t), [{"start": s, "end": e} for s, e in spans]))
     return pd.DataFrame(rows, columns=["doc_id", "text", "kept", "n_bytes", "spans"]).astype({"doc_id": "Int64"})
 
 
 def repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept[, text]): removed spans of each text's bytes, and the bytes that stay."""
-    spark = docs.sparkSession
-    buckets, chunks = parts(spark), CHUNKS * parts(spark)
-    texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
-    hashes = texts.groupBy("chunk").applyInPandas(_send_hashes(buckets), HASHES)
+    docs = docs.select("doc_id", "text")
+    n = deals(docs, "text", DEAL)
+    texts = numbered(docs).select("doc.doc_id", "doc.text", F.pmod(F.xxhash64("rid"), F.lit(n)).alias("chunk"))
+    hashes = texts.groupBy("chunk").applyInPandas(_send_hashes(n), HASHES)
     shared = hashes.groupBy("bucket").applyInPandas(_find_shared, SHARED)
-    places = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(_send_places(buckets), PLACES)
+    places = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(_send_places(n), PLACES)
     found = places.groupBy("bucket").applyInPandas(_find_earlier, FOUND)
     cut = texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_cut, KEPT)
     return cut if keep_text else cut.drop("text")

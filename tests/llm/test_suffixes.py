@@ -79,15 +79,25 @@ def made_rows():
     return rows
 
 
-@pytest.mark.parametrize("chunks", [1, 3])
-def test_whole_operator_against_brute_force(spark, monkeypatch, chunks):
-    monkeypatch.setattr(suffixes, "CHUNKS", chunks)
+@pytest.mark.parametrize("each", [1 << 30, 4000])
+def test_whole_operator_against_brute_force(spark, monkeypatch, each):
+    monkeypatch.setattr(suffixes, "DEAL", each)
     rows = made_rows()
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, chunk int, spans string")
     got = [(suffixes.LAST if r.doc_id is None else r.doc_id, r.text.encode(), [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in suffixes.repeats(docs, keep_text=True).collect()]
     assert sorted(got) == sorted(brute(rows))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 400), st.integers(1, 3), st.sampled_from([2, 5, 1 << 62]), st.integers(0, 1 << 30))
+def test_multikey_quicksort(n, deep, most, seed):
+    keys = np.random.default_rng(seed).integers(0, most, (n, deep)).astype(np.uint64)
+    order, group = suffixes.multikey_quicksort(keys)
+    rows = [tuple(keys[k]) for k in order]
+    assert rows == sorted(map(tuple, keys)) and sorted(order) == list(range(n))
+    assert group.tolist() == [rows.index(r) for r in rows]
+
+
 def test_empty_table(spark):
     assert suffixes.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert len(suffixes._cut(pd.DataFrame({"doc_id": [], "text": []}), pd.DataFrame({"places": [], "offsets": []}))) == 0
@@ -104,6 +114,7 @@ def line_rows():
 @pytest.mark.parametrize("hot", [1, 2])
 def test_hot_anchors_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "DEAL", 12_000)
     rows = made_rows() + line_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(suffixes.LAST if r.doc_id is None else r.doc_id, r.text.encode(), [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in suffixes.repeats(docs, keep_text=True).collect()]
