@@ -1,8 +1,8 @@
 """Operator 5, URL filters: host and path rules, and a logistic model for the urls that no rule fits.
 
 Built-in functions only. The model is a logistic regression on hashed character trigrams of host and
-path. It is fitted on the driver to the small labelled table below (its size is fixed by this file) and
-becomes a literal array of BUCKETS whole weights, so scoring is one expression in the scan's stage:
+path. It is fitted on the driver to a small labelled table of urls (its size is fixed by this file: lists of names and
+a rule that makes hosts and paths of them, alike for both labels, so that only the names tell) and becomes a literal array of BUCKETS whole weights, so scoring is one expression in the scan's stage:
 nothing is shuffled or joined.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, which no rule fits and the
@@ -11,8 +11,9 @@ model allows; repeated rows are judged alike; other columns are ignored.
 
 from __future__ import annotations
 
-import math
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,35 +21,48 @@ from candlewick.llm.common import LOWER, UPPER, table
 
 BUCKETS = 2048
 SCALE = 1000  # weights are whole numbers of 1/SCALE, so that sums are exact
-EPOCHS, RATE, DECAY = 200, 0.5, 1e-4
+EPOCHS, RATE, DECAY = 400, 1.0, 1e-4
 #: (host, path, verdict); at most a few hundred, since they become one expression.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
-# The labelled urls, allowed ones first.
-ALLOWED = """
-https://www.example.net/en/1200 https://news.example.net/en/77.html http://m.there.example.com/en/4311
-https://blog.tions.example.net/de/5747 https://docs.python.example.com/es/index.html https://weather.example.net/fr/paris
-https://ththea.example.com/en/7688 http://ththan.example.net/de/9731 https://therin.example.com/es/1812
-https://library.example.net/en/books/12 https://museum.example.com/es/visit http://www.school.example.net/en/news
-https://recipes.example.com/en/soup https://travel.example.net/de/wien https://m.onwhst.example.com/en/839
-https://blog.edhing.example.net/en/2328 https://www.ererth.example.com/es/5592 https://inthou.example.net/en/6229
-https://shnting.example.com/en/1366 https://m.hathat.example.net/fr/3545.html https://oreaat.example.com/en/6886
-https://anerly.example.net/es/318 https://garden.example.com/en/roses https://www.history.example.net/de/rom
-https://science.example.com/en/physics https://music.example.net/en/jazz https://ndouwh.example.com/en/6244
-https://www.tistes.example.net/en/9507 https://blog.lynter.example.com/en/281 https://maps.example.net/es/madrid
-"""
-BLOCKED = """
-https://www.casino-royal.example.com/en/1200 https://casino-win.example.net/en/77 http://m.poker-casino.example.com/es/4311
-https://spam-farm.example.net/en/5747 http://www.spam-mail.example.com/es/9480.html https://link-farm.example.net/en/12
-https://ads-track.example.net/en/1090 http://m.ads-server.example.com/en/1 https://track-ads.example.net/fr/7
-https://free-bets.example.net/en/839 https://www.best-bets.example.com/es/55 http://bets-free.example.net/en/1
-https://cheap-pills.example.net/en/62 https://www.pills-shop.example.com/es/18 http://m.cheap-meds.example.net/en/9
-https://adult-x.example.net/en/13 https://www.adult-cams.example.com/es/35 http://xxx-adult.example.net/fr/86
-https://win-money.example.com/en/66 https://free-money.example.net/en/2 https://viagra-cheap.example.com/es/31
-https://casino-slots.example.net/en/8 https://m.slots-win.example.com/en/44 https://adserver.example.net/en/track
-https://hot-cams-xxx.example.com/en/5 https://free-casino.example.com/es/1 https://bet-win.example.net/en/95
-https://tracker.example.com/en/pixel https://spam.example.net/es/28 https://payday-loans.example.com/en/9
-"""
+# Names of hosts. Those of good ones are whole; each of the bad words is joined with JOINED of the others.
+GOOD = """academy adventure animals archive arsenal artmuseum astronomy bakery balance ballet baseball basketball bettertogether
+biology bookshop botany bridges budapest cambridge cathedral chemistry chess chicago cinema citycouncil classics clinic coffee
+college comedy compass concert cooking cricket culture cycling denmark dentist design dinner docs dublin earth economics
+education energy engineering essex explorer fairtrade family farmersmarket festival finance firefighters football forest
+foundation freedom freelance garden geography github glasgow grammar harvest health helpdesk highschool hiking history hospital
+housing ideas insects institute journal juniors kitchen knitting language laptops lawyers learning library linguistics
+literature london lyrics magazine mail maps marathon markets mathematics medicine melbourne memory meteo mining moneymuseum
+mountains museum music nature networks newspaper novels nursery nutrition observatory ocean opera orchard orchestra painting
+pancakes parliament pharmacyschool philosophy photos physics pillars pilots planets plants poetry pottery prague pumpkin
+python quantum quiltmakers radio rainfall recipes recycling research rivers robotics rowing sailing science seminar shakespeare
+shipping sketches soccer songs spaceflight spanish statistics stockholm students sussex swimming tennis textiles theatre
+tracing trackandfield trains translate travel university vegetables village violin volcano volunteers weather wedding
+wikipages wildlife winchester windows winter wisconsin woodwork writers zoology""".split()
+BAD = """casino poker slots bets jackpot roulette lottery viagra cialis pills meds adult xxx porn cams escorts ads adserver popads
+tracker spam linkfarm warez cracks keygen payday loans gambling replica diet""".split()
+WITH = "win royal online free cheap best king farm x chat net club shop now server bonus hot vip track money".split()
+JOINED = 5
+#: Names without a meaning, of two to four of these syllables.
+SYLLABLES = "th er in on an re he nd st en at or ed ou ti ha sh ble ing ly".split()
+MEANINGLESS = 150
+
+
+def labelled() -> list[tuple[str, int, str]]:
+    """(url, 1 for bad, group): urls of one group have a word in common, and are held out together."""
+    names = [(n, 0, n) for n in GOOD]
+    for k in range(MEANINGLESS):
+        parts = [SYLLABLES[(k * 7 + j * (k // 9 + 3)) % len(SYLLABLES)] for j in range(2 + k % 3)]
+        names.append(("".join(parts), 0, parts[0]))
+    for i, a in enumerate(BAD):
+        for j in range(JOINED):
+            b = WITH[(3 * i + 7 * j) % len(WITH)]
+            names.append(([f"{a}-{b}", f"{b}-{a}", f"{a}{b}"][(i + j) % 3], 1, a))
+    out = []
+    for k, (name, bad, group) in enumerate(names):
+        first, zone, lang = ("", "www.", "m.", "blog.")[k % 4], ("net", "com", "org", "io")[k % 7 % 4], ("en", "es", "fr", "de")[k // 2 % 4]
+        out.append((f"https://{first}{name}.example.{zone}/{lang}/{k * 37 % 10_000}", bad, group))
+    return out
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -67,18 +81,28 @@ def buckets(host: str, path: str) -> list[int]:
     return [(a * 961 + b * 31 + c) % BUCKETS for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)]
 
 
-def train(allowed: list[str], blocked: list[str]) -> tuple[list[int], int]:
-    """Weights and bias by gradient descent over the labelled urls, in whole units of 1/SCALE."""
-    rows = [(buckets(*split_url(u)), y) for y, urls in ((0.0, allowed), (1.0, blocked)) for u in urls]
-    w, bias = [0.0] * BUCKETS, 0.0
+def train(urls: list[str], bad: list[int]) -> tuple[list[int], int]:
+    """Weights and bias by gradient descent over labelled urls, in whole units of 1/SCALE."""
+    x = np.zeros((len(urls), BUCKETS))
+    for row, u in zip(x, urls, strict=True):
+        at = buckets(*split_url(u))
+        np.add.at(row, at, 1 / max(len(at), 1))
+    y = np.array(bad, dtype=float)
+    w, bias = np.zeros(BUCKETS), 0.0
     for _ in range(EPOCHS):
-        for at, y in rows:
-            z = bias + sum(w[i] for i in at)
-            step = RATE * (y - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) / len(at)
-            bias += step
-            for i in at:
-                w[i] += step - DECAY * w[i]
-    return [round(x * SCALE) for x in w], round(bias * SCALE)
+        step = y - 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
+        w += RATE * (x.T @ step - DECAY * w)
+        bias += RATE / len(urls) * step.sum()
+    # a url's score is the mean over its trigrams; only its sign counts, so sums of whole weights, each with its share of
+    # the bias, are as good
+    return [int(v) for v in np.rint((w + bias) * SCALE)], 0
+
+
+@lru_cache
+def model() -> tuple[list[int], int]:
+    """Weights and bias from the whole labelled table."""
+    rows = labelled()
+    return train([u for u, *_ in rows], [b for _, b, _ in rows])
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -108,9 +132,12 @@ def _score(host: Column, path: Column, weights: list[int], bias: int) -> Column:
     return F.element_at(F.transform(F.array(codes), summed), 1)
 
 
-def judge(pages, rules=None, allowed: list[str] | None = None, blocked: list[str] | None = None):
-    """page_id, host, path, rule, verdict and the model's score (positive: block) for every row of pages."""
-    weights, bias = train(allowed or ALLOWED.split(), blocked or BLOCKED.split())
+def judge(pages, rules=None, fitted: tuple[list[int], int] | None = None):
+    """page_id, host, path, rule, verdict and the model's score (positive: block) for every row of pages.
+
+    fitted: weights and bias of another labelled table, from :func:`train`.
+    """
+    weights, bias = fitted or model()
     host, path = host_and_path(F.coalesce("url", F.lit("")))
     return (
         pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -125,7 +152,7 @@ def op5_url_filter(spark, sf_dir):
 
 
 def oracle_sql() -> str:
-    weights, bias = train(ALLOWED.split(), BLOCKED.split())
+    weights, bias = model()
     at = "[" + ",".join(map(str, weights)) + "]"
     fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}|{v}'" for h, p, v in sorted(RULES, key=lambda r: (len(r[0] + r[1]), r), reverse=True))
     return f"""

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -83,6 +84,21 @@ https://cheap-bets.example.net/en/4 https://pills-online.example.net/es/8 https:
 
 
 def test_unseen_urls():
-    w, b = U.train(U.ALLOWED.split(), U.BLOCKED.split())
+    w, b = U.model()
     score = lambda u: b + sum(w[i] for i in U.buckets(*U.split_url(u)))
     assert sum(score(u) <= 0 for u in UNSEEN.split()) + sum(score(u) > 0 for u in UNSEEN_BAD.split()) >= 9
+
+
+def test_held_out_hosts():
+    """Five folds: of names, and of words, whose names are then all unseen."""
+    rows = U.labelled()
+    assert len({u for u, *_ in rows}) == len(rows) > 400
+    for held_by, least in ((lambda u, g: U.split_url(u)[0], 0.9), (lambda u, g: g, 0.72)):
+        names = sorted({held_by(u, g) for u, _, g in rows})
+        random.Random(1).shuffle(names)
+        right = 0
+        for k in range(5):
+            out = set(names[k::5])
+            w, b = U.train([u for u, _, g in rows if held_by(u, g) not in out], [y for u, y, g in rows if held_by(u, g) not in out])
+            right += sum((b + sum(w[i] for i in U.buckets(*U.split_url(u))) > 0) == bool(y) for u, y, g in rows if held_by(u, g) in out)
+        assert right >= least * len(rows), right
