@@ -2,17 +2,24 @@
 
 Window columns are added once, over one window specification; each instrument then becomes one row: its last
 bar, and its last bars as an array. Every study is an expression on that row, so all 25 cost no further shuffle.
+
+A study that fails gives a row of group ``error``, neutral, with the message as its note, and the others go on. The 25
+divide by nothing that may be zero, so they don't fail on flat or short series; added studies may be expressions on
+:func:`facts` or Python functions of an instrument's bars.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candlewick.functions.windows import KEY, TIME, clip, last, ordered, prev, ratio, roll
+from candlewick.functions.windows import KEY, TIME, clip, corr, last, ordered, prev, ratio, roll
 from candlewick.operators import indicators as ind
 from candlewick.operators import returns as ret
 
@@ -47,6 +54,14 @@ def _study(name: str, group: str, value: Column, signal: Column, score: Column,
     )
 
 
+def _said(pattern: str, *values: Column) -> Column:
+    """A note with numbers in it; empty where one is missing."""
+    known = values[0].isNotNull()
+    for v in values[1:]:
+        known = known & v.isNotNull()
+    return F.when(known, F.format_string(pattern, *(v.cast("double") for v in values))).otherwise("")
+
+
 # ---- the row that studies look at
 
 
@@ -75,7 +90,7 @@ def facts(bars: DataFrame, bench: DataFrame | None = None) -> DataFrame:
     one = df.groupBy(KEY).agg(
         F.max_by(row, TIME).alias("x"),
         F.sort_array(F.collect_list(F.when(near, F.struct(TIME, "close", "vol20", "rsi")))).alias("tail"),
-        F.corr("log_ret", "log_ret_1").alias("ac1"),
+        corr("log_ret", "log_ret_1").alias("ac1"),
         F.count("vol20").alias("vols"),
     )
     one = _from_tail(one.select(KEY, "x.*", "tail", "ac1", "vols"))
@@ -195,43 +210,93 @@ def registry(bench: bool = True) -> list[Column]:
     risk = close - F.least(c("low_22"), close - 2 * c("atr"))
     rr = F.when(risk > 0, ratio(2 * risk, risk))
     note = F.when(c("rsi") > 70, "Overbought").when(c("rsi") < 30, "Oversold").otherwise("")
+    whole = lambda x: x.cast("int").cast("string")
+    stacked = F.concat(F.lit("Price above "), whole(above), F.lit("/"), whole(have), F.lit(" MAs"))
+    said_rocs = F.concat_ws(" | ", *(F.when(c("n") > p, F.concat(F.lit(f"{k}:"), _said("%.1f%%", change(x)))) for k, (p, x) in rocs.items()))
+    extended = F.when(pct200 > 50, _said("Extended %.1f%% above 200-DMA — markup risk", pct200)).otherwise(_said("%.1f%% above 200-DMA", pct200))
+    banded = F.when(band > 1, "Above upper band — overbought").when(band < 0, "Below lower band — oversold").otherwise(_said("%%B=%.2f", band))
+    wandering = F.when(h > 0.6, "trending").when(h < 0.4, "mean-reverting").otherwise("random walk")
+    stopped = F.concat(F.lit("Stop="), F.bround(close - risk, 2).cast("string"), F.lit(", ATR="), F.bround("atr", 2).cast("string"))
     rs_known = F.lit(bench) & c("common").isNotNull()
     strength = _study("RS vs SPY (3m)", "relative_strength", F.bround(c("rs"), 4), _steps(c("rs"), 1.05, 0.95), clip((c("rs") - 0.7) / 0.6), F.coalesce(c("common") >= 63, F.lit(False)), "RS vs SPY")
-    strength = strength.withField("note", F.when(~rs_known, "no SPY data").when(c("common") < 63, "insufficient overlap").otherwise(""))
+    strength = strength.withField("note", F.when(~rs_known, "no SPY data").when(c("common") < 63, "insufficient overlap").otherwise(_said("RS=%.3f", c("rs"))))
     return [
-        _study("MA Stack/Alignment", "trend", stack, _steps(stack, 0.8, 0.2), stack),
-        _study("Price vs 200-DMA", "trend", F.bround(pct200, 2), _steps(pct200, 5, -5), clip((pct200 + 30) / 60), 200),
-        _study("MA Slope (50-DMA)", "trend", F.bround(slope, 3), _steps(slope, 0.5, -0.5), clip((slope + 3) / 6), 55, "MA Slope"),
+        _study("MA Stack/Alignment", "trend", stack, _steps(stack, 0.8, 0.2), stack, note=stacked),
+        _study("Price vs 200-DMA", "trend", F.bround(pct200, 2), _steps(pct200, 5, -5), clip((pct200 + 30) / 60), 200, note=_said("%.1f%% vs 200-DMA", pct200)),
+        _study("MA Slope (50-DMA)", "trend", F.bround(slope, 3), _steps(slope, 0.5, -0.5), clip((slope + 3) / 6), 55, "MA Slope", _said("%.2f%% per 5d", slope)),
         _study("HH/HL Structure", "trend", F.lit(None), _side(hh & hl, ~hh & ~hl), 0.5 * hh.cast("int") + 0.5 * hl.cast("int"), json=F.to_json(F.struct(hh.alias("hh"), hl.alias("hl")))),
-        _study("ADX Strength", "trend", F.bround("adx", 1), _side(trending & plus, trending & (c("minus_di") > c("plus_di"))), clip(c("adx") / 50) * F.when(plus, 1).otherwise(-1) * 0.5 + 0.5, 30),
+        _study("ADX Strength", "trend", F.bround("adx", 1), _side(trending & plus, trending & (c("minus_di") > c("plus_di"))), clip(c("adx") / 50) * F.when(plus, 1).otherwise(-1) * 0.5 + 0.5, 30, note=_said("ADX=%.1f +DI=%.1f -DI=%.1f", c("adx"), c("plus_di"), c("minus_di"))),
         _study("Ichimoku Regime", "trend", F.lit(None), regime, _score_of(regime, 0.8, 0.2), 80, json=F.to_json(F.struct(regime.alias("signal")))),
-        _study("12-1m Academic Momentum", "momentum", F.bround(year, 2), _steps(year, 10, -10), clip((year + 50) / 100), 252),
-        _study("ROC Multi-Period", "momentum", F.lit(None), _steps(share, 0.75, 0.25), share, 22, json=F.to_json(F.struct(*(F.when(c("n") > p, F.bround(change(x), 4)).alias(k) for k, (p, x) in rocs.items())))),
+        _study("12-1m Academic Momentum", "momentum", F.bround(year, 2), _steps(year, 10, -10), clip((year + 50) / 100), 252, note=_said("%.1f%%", year)),
+        _study("ROC Multi-Period", "momentum", F.lit(None), _steps(share, 0.75, 0.25), share, 22, note=said_rocs, json=F.to_json(F.struct(*(F.when(c("n") > p, F.bround(change(x), 4)).alias(k) for k, (p, x) in rocs.items())))),
         _study("RSI", "momentum", F.bround("rsi", 1), _side(c("rsi") > 50, c("rsi") < 50), c("rsi") / 100, 20, note=note),
-        _study("MACD State", "momentum", F.bround("macd_hist", 4), hist, _score_of(hist, 0.7, 0.3), 35),
-        _study("52w High Proximity", "momentum", F.bround(off, 2), _steps(off, -5, -20), clip(1 + off / 50)),
+        _study("MACD State", "momentum", F.bround("macd_hist", 4), hist, _score_of(hist, 0.7, 0.3), 35, note=F.when(c("macd_hist") > c("hist_1"), "histogram=rising").otherwise("histogram=falling")),
+        _study("52w High Proximity", "momentum", F.bround(off, 2), _steps(off, -5, -20), clip(1 + off / 50), note=_said("%.1f%% off 52w high", off)),
         strength,
         _study("Donchian 52w Breakout", "breakout", F.lit(None), channel, _score_of(channel, 0.8, 0.2), 55, json=F.to_json(F.struct(F.bround(close, 2).alias("close"), F.bround(upper, 2).alias("upper")))),
         _study("Volume-Confirmed Breakout", "breakout", F.lit(None), burst, F.when(burst == "bull", 0.85).when(burst == "neutral", 0.5).otherwise(0.3), 22, json=F.to_json(F.struct(high.alias("new_high"), surge.alias("vol_surge")))),
-        _study("% Above 200-DMA", "extension", F.bround(pct200, 2), stretched, clip(1 - pct200 / 80), 200),
-        _study("Bollinger %B", "extension", F.bround(band, 3), F.when(band > 1, "bear").when(band < 0, "bull").otherwise(_steps(band, 0.5, 0.2)), clip(band), 25),
-        _study("ATR Distance from MA50", "extension", F.bround(far, 2), _side(far < -2, far > 3), clip(1 - far / 5), 55),
-        _study("RSI Overbought Streak", "extension", hot, F.when(hot >= 7, "bear").otherwise("neutral"), clip(1 - hot / 10), 20),
-        _study("Volatility Regime (ATR %ile)", "volatility", F.bround(vol, 3), _side(vol < 0.3, vol > 0.8), 1 - vol, 60, "Volatility Regime"),
-        _study("Drawdown from ATH", "volatility", F.bround(fall, 2), _side(fall > -10, fall < -30), clip(1 + fall / 50)),
+        _study("% Above 200-DMA", "extension", F.bround(pct200, 2), stretched, clip(1 - pct200 / 80), 200, note=extended),
+        _study("Bollinger %B", "extension", F.bround(band, 3), F.when(band > 1, "bear").when(band < 0, "bull").otherwise(_steps(band, 0.5, 0.2)), clip(band), 25, note=banded),
+        _study("ATR Distance from MA50", "extension", F.bround(far, 2), _side(far < -2, far > 3), clip(1 - far / 5), 55, note=_said("%.1f ATRs from 50-DMA", far)),
+        _study("RSI Overbought Streak", "extension", hot, F.when(hot >= 7, "bear").otherwise("neutral"), clip(1 - hot / 10), 20, note=F.concat(whole(hot), F.lit("/10 days RSI>70"))),
+        _study("Volatility Regime (ATR %ile)", "volatility", F.bround(vol, 3), _side(vol < 0.3, vol > 0.8), 1 - vol, 60, "Volatility Regime", _said("%.0fth percentile vol", vol * 100)),
+        _study("Drawdown from ATH", "volatility", F.bround(fall, 2), _side(fall > -10, fall < -30), clip(1 + fall / 50), note=_said("%.1f%% from ATH", fall)),
         _study("OBV Trend", "volume", F.bround(flow, 4), _steps(flow, 0.05, -0.05), clip((flow + 0.2) / 0.4), 22),
         _study("Chaikin Money Flow", "volume", F.bround("cmf", 4), _steps(c("cmf"), 0.05, -0.05), clip(c("cmf") + 0.5), 22),
-        _study("Hurst Exponent", "statistical", F.bround(h, 3), _side(h > 0.6, h < 0.4), clip((h - 0.2) / 0.6), (c("n") >= 50) & h.isNotNull()),
+        _study("Hurst Exponent", "statistical", F.bround(h, 3), _side(h > 0.6, h < 0.4), clip((h - 0.2) / 0.6), (c("n") >= 50) & h.isNotNull(), note=wandering),
         _study("Momentum Persistence (AC1)", "statistical", F.bround("ac1", 4), _steps(c("ac1"), 0.05, -0.05), clip((c("ac1") + 0.3) / 0.6), 30, "Momentum Persistence"),
-        _study("R/R to Support", "risk_of_entry", F.bround(rr, 2), F.when(rr >= 2, "bull").when(rr < 1, "bear").otherwise("neutral"), F.coalesce(clip((rr - 0.5) / 3.5), F.lit(0.5)), 22),
+        _study("R/R to Support", "risk_of_entry", F.bround(rr, 2), F.when(rr >= 2, "bull").when(rr < 1, "bear").otherwise("neutral"), F.coalesce(clip((rr - 0.5) / 3.5), F.lit(0.5)), 22, note=stopped),
     ]
 
 
-def studies(bars: DataFrame, bench: DataFrame | None = None, which: list[Column] | None = None) -> DataFrame:
-    """25 rows an instrument: study, group, value or value_json, signal, score, note."""
+def _error(name: str, message: Column) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        F.lit(name).alias("study"), F.lit("error").alias("group"), none.cast("double").alias("value"), none.cast("string").alias("value_json"),
+        F.lit("neutral").alias("signal"), F.lit(0.5).alias("score"), F.concat(F.lit("error: "), message).alias("note"),
+    )
+
+
+def _checked(one: DataFrame, study: Column, place: int) -> Column:
+    """The study, or its error row if it can't be evaluated on these columns."""
+    try:
+        one.select(study.cast(STUDY))
+        return study.cast(STUDY)
+    except AnalysisException as e:
+        return _error(f"study {place}", F.lit(str(e).split("\n")[0])).cast(STUDY)
+
+
+Study = Callable[[pd.DataFrame], dict]
+
+
+def python_studies(bars: DataFrame, which: dict[str, Study], first: int = 0) -> DataFrame:
+    """Rows of studies that are functions of one instrument's bars in time order: they give a dict of group, value (or
+    value_json), signal, score and note. One that raises gives its error row, and the next goes on."""
+    kind = bars.schema[KEY].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(TIME, kind="stable").reset_index(drop=True)
+        rows = []
+        for place, (name, f) in enumerate(which.items(), first):
+            empty = {"value": None, "value_json": None, "signal": "neutral", "score": 0.5, "note": ""}
+            try:
+                got = empty | f(frame)
+                got["score"], got["value"] = float(got["score"]), None if got["value"] is None else float(got["value"])
+            except Exception as e:  # noqa: BLE001
+                got = empty | {"group": "error", "note": f"error: {e}"}
+            rows.append({KEY: frame[KEY].iat[0], "place": place, "study": name} | {"group": ""} | got)
+        return pd.DataFrame(rows)[[KEY, "place", "study", "group", "value", "value_json", "signal", "score", "note"]]
+
+    return bars.groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, place int, study string, group string, value double, value_json string, signal string, score double, note string")
+
+
+def studies(bars: DataFrame, bench: DataFrame | None = None, which: list[Column] | None = None, more: dict[str, Study] | None = None) -> DataFrame:
+    """25 rows an instrument: study, group, value or value_json, signal, score, note; which: other expressions instead,
+    more: Python functions besides."""
     one = facts(bars, bench)
-    results = F.array(*(s.cast(STUDY) for s in (which or registry(bench is not None))))
-    return one.select(KEY, F.posexplode(results).alias("place", "s")).select(KEY, "place", "s.*")
+    own = registry(bench is not None) if which is None else [_checked(one, s, k) for k, s in enumerate(which)]
+    got = one.select(KEY, F.posexplode(F.array(*(s.cast(STUDY) for s in own))).alias("place", "s")).select(KEY, "place", "s.*")
+    return got if not more else got.unionByName(python_studies(bars, more, len(own)))
 
 
 def _share(signal: str, groups: tuple[str, ...], empty: float) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from candlewick.functions.tails import normal_cdf
-from candlewick.functions.windows import KEY, TIME, ordered, ratio, sofar
+from candlewick.functions.windows import KEY, TIME, corr, ordered, ratio, sofar
 from candlewick.operators.returns import YEAR
 
 
@@ -49,10 +49,10 @@ def tearsheet(equity: DataFrame, x: str = "close", bench: DataFrame | None = Non
             F.min("dd").alias("max_drawdown"),
             F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer_index"),
             pct.alias("_p"),
-            F.skewness("ret").alias("skewness"),
-            F.kurtosis("ret").alias("excess_kurtosis"),
+            F.when(F.min("ret") < F.max("ret"), F.skewness("ret")).alias("skewness"),
+            F.when(F.min("ret") < F.max("ret"), F.kurtosis("ret")).alias("excess_kurtosis"),
             ratio(F.sum(F.when(F.col("ret") > 0, F.col("ret")).otherwise(0.0)), F.abs(F.sum(F.when(F.col("ret") < 0, F.col("ret")).otherwise(0.0)))).alias("gain_pain_ratio"),
-            F.corr("ret", "_before").alias("return_autocorr"),
+            corr("ret", "_before").alias("return_autocorr"),
         )
         .where("n >= 2")
     )
@@ -86,7 +86,7 @@ def against(curve: DataFrame, bench: DataFrame, periods: int = YEAR, keys: tuple
             F.count("*").alias("_m"),
             ((F.avg("a") - slope * F.avg("b")) * periods).alias("alpha"),
             slope.alias("beta"),
-            F.pow(F.corr("a", "b"), F.lit(2)).alias("r_squared"),
+            F.pow(corr("a", "b"), F.lit(2)).alias("r_squared"),
             (F.stddev_samp(d) * year).alias("tracking_error"),
             (ratio(F.avg(d), F.stddev_samp(d)) * year).alias("information_ratio"),
             capture(F.col("b") > 0).alias("up_capture"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candlewick.functions.windows import KEY, TIME, last, ordered, prev, ratio, roll, sofar
+from candlewick.functions.windows import KEY, TIME, corr, last, ordered, prev, ratio, roll, sofar
 from candlewick.operators.bars import pair
 
 YEAR = 252
@@ -77,18 +77,34 @@ def _ranks(df: DataFrame, *by: str) -> DataFrame:
     return df.select(*by, F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
+def _swaps(x: np.ndarray) -> int:
+    """Pairs that stand in falling order, counted by a merge sort from the bottom up."""
+    n, swaps, width = len(x), 0, 1
+    x = x.copy()
+    while width < n:
+        for a in range(0, n - width, 2 * width):
+            left, right = x[a : a + width], x[a + width : a + 2 * width]
+            at = np.searchsorted(left, right, side="right")
+            swaps += int((len(left) - at).sum())
+            x[a : a + 2 * width] = np.sort(x[a : a + 2 * width], kind="stable")
+        width *= 2
+    return swaps
+
+
+def _tied(*columns: np.ndarray) -> int:
+    """Pairs of rows that are equal in all columns."""
+    _, n = np.unique(np.column_stack(columns), axis=0, return_counts=True)
+    return int((n * (n - 1) // 2).sum())
+
+
 def kendall(a: np.ndarray, b: np.ndarray) -> float | None:
-    """Tau-b, from counts of concordant pairs, row by row."""
+    """Tau-b, in n log n: sorted by a, the pairs that b has in falling order are the discordant ones."""
     n = len(a)
-    up = down = tie_a = tie_b = 0
-    for i in range(n - 1):
-        x, y = np.sign(a[i + 1 :] - a[i]), np.sign(b[i + 1 :] - b[i])
-        s = x * y
-        up, down = up + int((s > 0).sum()), down + int((s < 0).sum())
-        tie_a, tie_b = tie_a + int((x == 0).sum()), tie_b + int((y == 0).sum())
-    all_ = n * (n - 1) / 2
-    low = ((all_ - tie_a) * (all_ - tie_b)) ** 0.5
-    return (up - down) / low if low else None
+    order = np.lexsort((b, a))
+    tie_a, tie_b, tie_both = _tied(a), _tied(b), _tied(a, b)
+    pairs = n * (n - 1) // 2
+    low = ((pairs - tie_a) * (pairs - tie_b)) ** 0.5
+    return (pairs - tie_a - tie_b + tie_both - 2 * _swaps(b[order])) / low if low else None
 
 
 def correlations(df: DataFrame, method: str = "pearson", x: str = "close") -> DataFrame:
@@ -104,12 +120,12 @@ def correlations(df: DataFrame, method: str = "pearson", x: str = "close") -> Da
         return both.groupBy("left", "right").applyInPandas(run, f"left {kind}, right {kind}, corr double")
     if method == "spearman":
         both = _ranks(both, "left", "right")
-    return both.groupBy("left", "right").agg(F.corr("a", "b").alias("corr"))
+    return both.groupBy("left", "right").agg(corr("a", "b").alias("corr"))
 
 
 def rolling_correlation(both: DataFrame, p: int = 60) -> DataFrame:
     whole = F.count(F.col("a") + F.col("b")).over(last(p)) == p
-    return both.withColumn("corr", F.when(whole, F.corr("a", "b").over(last(p))))
+    return both.withColumn("corr", F.when(whole, corr("a", "b", last(p))))
 
 
 def lead_lag(both: DataFrame, most: int = 20) -> DataFrame:
@@ -117,7 +133,7 @@ def lead_lag(both: DataFrame, most: int = 20) -> DataFrame:
     lags = range(-most, most + 1)
     shifted = both.withColumns({f"_b{k}": F.lead("b", k).over(ordered()) if k >= 0 else F.lag("b", -k).over(ordered()) for k in lags})
     n = F.count("*")
-    aggs = [F.when(F.count(F.col("a") + F.col(f"_b{k}")) == n - abs(k), F.corr("a", f"_b{k}")).alias(f"_c{k}") for k in lags]
+    aggs = [F.when(F.count(F.col("a") + F.col(f"_b{k}")) == n - abs(k), corr("a", f"_b{k}")).alias(f"_c{k}") for k in lags]
     wide = shifted.groupBy(KEY).agg(*aggs)
     return wide.select(KEY, F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_c{k}").alias("corr")) for k in lags))).alias("x")).select(KEY, "x.*")
 

@@ -34,11 +34,22 @@ def critical(n: int) -> dict[str, float]:
 
 
 def _solve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """Coefficients, residual sum of squares and (X'X)^-1."""
-    inverse = np.linalg.pinv(x.T @ x)
-    b = inverse @ (x.T @ y)
+    """Coefficients, residual sum of squares and (X'X)^-1, by QR of columns of unit length.
+
+    Where columns depend on each other the shortest coefficients are given.
+    """
+    length = np.sqrt((x * x).sum(axis=0))
+    length[length == 0] = 1.0
+    q, r = np.linalg.qr(x / length)
+    if np.abs(np.diag(r)).min(initial=1.0) > 1e-12 and len(x) >= x.shape[1]:
+        half = np.linalg.solve(r, np.eye(len(r)))
+        b, inverse = half @ (q.T @ y), half @ half.T
+    else:
+        half = np.linalg.pinv(x / length)
+        b, inverse = half @ y, half @ half.T
+    b = b / length
     e = y - x @ b
-    return b, float(e @ e), inverse
+    return b, float(e @ e), inverse / np.outer(length, length)
 
 
 def adf(x: np.ndarray, constant: bool = True) -> tuple[float, int, int] | None:
@@ -135,26 +146,37 @@ def cointegration(both: DataFrame) -> DataFrame:
 def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     """(instrument_id, term, coef, t_stat, p_value, r2, adj_r2, n): least squares with a constant.
 
-    Only sums of products leave the rows; the small systems are solved by group. Too few rows give no row.
+    Only sums leave the rows: means first, then products of deviations from them, so levels far from zero cost no
+    digits; the small systems are solved by group. Too few rows give no row.
     """
     k = len(xs)
-    cols = [*(F.col(c).cast("double") for c in xs), F.lit(1.0)]
-    rows = df.where(F.expr(" and ".join(f"`{c}` is not null" for c in [y, *xs])))
-    xx = F.array(*(F.sum(a * b) for a in cols for b in cols)).alias("xx")
-    sums = rows.groupBy(KEY).agg(F.count("*").alias("n"), xx, F.array(*(F.sum(a * F.col(y)) for a in cols)).alias("xy"), F.sum(F.col(y) * F.col(y)).alias("yy"), F.sum(y).alias("sy")).where(F.col("n") >= k + 2)
+    names = [*xs, y]
+    rows = df.where(F.expr(" and ".join(f"`{c}` is not null" for c in names))).select(KEY, *(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)))
+    means = rows.groupBy(KEY).agg(F.count("*").alias("n"), *(F.avg(f"_v{i}").alias(f"_m{i}") for i in range(k + 1))).where(F.col("n") >= k + 2)
+    off = rows.join(means, KEY)
+    d = [F.col(f"_v{i}") - F.col(f"_m{i}") for i in range(k + 1)]
+    sums = off.groupBy(KEY).agg(
+        F.first("n").alias("n"),
+        F.array(*(F.first(f"_m{i}") for i in range(k + 1))).alias("means"),
+        F.array(*(F.sum(a * b) for a in d for b in d)).alias("products"),
+    )
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in frame.itertuples():
-            m, v = np.array(r.xx).reshape(k + 1, k + 1), np.array(r.xy)
-            inverse = np.linalg.pinv(m)
-            b = inverse @ v
-            rss, tss, free = max(r.yy - b @ v, 0.0), r.yy - r.sy**2 / r.n, r.n - k - 1
+            m, mean = np.array(r.products).reshape(k + 1, k + 1), np.array(r.means)
+            xx, xy, tss = m[:k, :k], m[:k, k], m[k, k]
+            scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
+            inverse = np.linalg.pinv(xx / np.outer(scale, scale), rcond=1e-12, hermitian=True) / np.outer(scale, scale)
+            b = inverse @ xy
+            rss, free = max(tss - 2 * b @ xy + b @ xx @ b, 0.0), r.n - k - 1
+            coef = [*b, mean[k] - b @ mean[:k]]
+            spread = [*np.diag(inverse), 1 / r.n + mean[:k] @ inverse @ mean[:k]]
             r2 = 1 - rss / tss if tss > 0 else None
-            for i, name in enumerate([*xs, "const"]):
-                se = math.sqrt(rss / free * max(inverse[i, i], 0.0))
-                t = b[i] / se if se > 0 else None
-                out.append({KEY: getattr(r, KEY), "term": name, "coef": b[i], "t_stat": t, "p_value": t_two_sided(t, free) if t is not None else None, "r2": r2, "adj_r2": 1 - (1 - r2) * (r.n - 1) / free if r2 is not None else None, "n": r.n})
+            for name, c, v in zip([*xs, "const"], coef, spread, strict=True):
+                se = math.sqrt(rss / free * max(v, 0.0))
+                t = c / se if se > 0 else None
+                out.append({KEY: getattr(r, KEY), "term": name, "coef": c, "t_stat": t, "p_value": t_two_sided(t, free) if t is not None else None, "r2": r2, "adj_r2": 1 - (1 - r2) * (r.n - 1) / free if r2 is not None else None, "n": r.n})
         return pd.DataFrame(out, columns=[KEY, "term", "coef", "t_stat", "p_value", "r2", "adj_r2", "n"])
 
     return sums.groupBy(KEY).applyInPandas(run, f"{KEY} {df.schema[KEY].dataType.simpleString()}, term string, coef double, t_stat double, p_value double, r2 double, adj_r2 double, n long")

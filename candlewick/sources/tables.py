@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +43,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _touched(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
-    """The target's partitions on the batch's dates; the dates are pruned by a join on the partition column."""
+    """The target's partitions on the batch's dates, pruned by a join on the partition column; none of a table that is
+    not written yet."""
     days = batch.select(F.to_date("ts").alias("date")).distinct()
-    return read(spark, path).join(days, "date", "left_semi")
+    try:
+        target = read(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        target = batch.withColumn("date", F.to_date("ts")).limit(0)
+    return target.join(days, "date", "left_semi")
 
 
 def append_new(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], order: list) -> None:
@@ -54,7 +62,12 @@ def append_new(spark: SparkSession, path: str, batch: DataFrame, keys: list[str]
 
 
 def rewrite(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], columns: list[str], staging: str, order: list | None = None) -> None:
-    """Upsert into a table: only the dates of the batch are written anew, by way of a staging folder."""
+    """Upsert into a table: only the dates of the batch are written anew, by way of a staging folder.
+
+    The dates' folders are replaced one after the other when all are written, so a reader may see some of them new and
+    some old, and so does a table after a crash in between; the staging folder still has all, and running it again
+    with the same batch ends alike.
+    """
     merged = upsert(_touched(spark, path, batch).drop("date"), batch, keys, columns, order)
     merged.withColumn("date", F.to_date("ts")).write.mode("overwrite").parquet(staging)
     spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)

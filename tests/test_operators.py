@@ -122,6 +122,94 @@ def test_unit_roots_cointegration_and_granger(spark):
     assert fit["b"].coef == pytest.approx(3) and fit["const"].coef == pytest.approx(1) and fit["b"].r2 == pytest.approx(1)
 
 
+def test_ols_on_levels_far_from_zero(spark):
+    draw = np.random.default_rng(11)
+    x = 1e6 + draw.normal(0, 1, 300)
+    z = 5e5 + 0.3 * (x - 1e6) + draw.normal(0, 2, 300)
+    y = 2 * x - 0.5 * z + draw.normal(0, 1, 300)
+    df = spark.createDataFrame([(1, DAY + dt.timedelta(i), *map(float, r)) for i, r in enumerate(zip(y, x, z, strict=True))], "instrument_id int, ts date, y double, x double, z double")
+    got = {r.term: r for r in tsstats.ols(df, "y", ["x", "z"]).collect()}
+    # by least squares on centred columns
+    m = np.column_stack([x - x.mean(), z - z.mean(), np.ones(300)])
+    want, rss, *_ = np.linalg.lstsq(m, y - y.mean(), rcond=None)
+    assert got["x"].coef == pytest.approx(want[0], rel=1e-8) and got["z"].coef == pytest.approx(want[1], rel=1e-8)
+    assert got["const"].coef == pytest.approx(y.mean() - want[0] * x.mean() - want[1] * z.mean(), rel=1e-6)
+    se = np.sqrt(rss[0] / 297 * np.linalg.inv(m.T @ m)[0, 0])
+    assert got["x"].t_stat == pytest.approx(want[0] / se, rel=1e-6)
+    b, own, _ = tsstats._solve(np.column_stack([x, z, np.ones(300)]), y)
+    assert b[:2] == pytest.approx(want[:2], rel=1e-6) and own == pytest.approx(rss[0], rel=1e-6)
+    same = tsstats.ols(df.withColumn("w", F.col("x") * 2), "y", ["x", "w"]).where("term = 'x'").first()  # columns that depend on each other
+    assert math.isfinite(same.coef)
+
+
+def test_kendall_by_all_pairs(spark):
+    draw = np.random.default_rng(12)
+    for n, most in ((2, 9), (50, 4), (200, 1000), (77, 2)):
+        a, b = draw.integers(0, most, n).astype(float), draw.integers(0, most, n).astype(float)
+        x, y = np.sign(a[:, None] - a[None, :]), np.sign(b[:, None] - b[None, :])
+        up = np.triu_indices(n, 1)
+        low = math.sqrt((x[up] != 0).sum() * (y[up] != 0).sum())
+        want = (x * y)[up].sum() / low if low else None
+        assert returns.kendall(a, b) == (pytest.approx(want) if want is not None else None)
+    df = frame(spark, SERIES).unionByName(frame(spark, SERIES[::-1]).withColumn("instrument_id", F.lit(2)))
+    assert returns.correlations(df, "kendall").first().corr == pytest.approx(returns.kendall(np.array(SERIES, float), np.array(SERIES[::-1], float)))
+
+
+def test_a_flat_instrument_fails_nobody(spark):
+    """One constant series among others: its correlations are null, the others' stay."""
+    draw = np.random.default_rng(13)
+    two = frame(spark, list(100 + draw.normal(0, 1, 300).cumsum())).withColumn("instrument_id", F.lit(2))
+    flat = frame(spark, [50.0] * 300, high=[50.0] * 300, low=[50.0] * 300, volume=[10.0] * 300).withColumn("instrument_id", F.lit(3))
+    one = frame(spark, list(80 + draw.normal(0, 1, 300).cumsum()))
+    every, bench = one.unionByName(two).unionByName(flat), one
+    both = bars.pair(every, bench)
+    for method in ("pearson", "spearman", "kendall"):
+        got = {(r.left, r.right): r.corr for r in returns.correlations(every, method).collect()}
+        assert got[1, 2] is not None and got[1, 3] is None and got[2, 3] is None
+    rolling = {r.instrument_id: r.corr for r in returns.rolling_correlation(both).where(F.col("ts") == DAY + dt.timedelta(299)).collect()}
+    assert rolling[2] is not None and rolling[3] is None
+    lags = returns.lead_lag(both, 2).collect()
+    assert all((r.corr is None) == (r.instrument_id == 3) for r in lags) and len(lags) == 15
+    sheet = {r.instrument_id: r for r in metrics.tearsheet(every, bench=bench.select("instrument_id", "ts", F.col("close").alias("value"))).collect()}
+    assert sheet[2].return_autocorr is not None and sheet[3].return_autocorr is None and sheet[3].r_squared is None and sheet[3].sharpe == 0
+    results = studies.studies(every, bench)
+    assert results.count() == 75 and studies.report(results).count() == 3
+    assert {r.group for r in results.collect()}.isdisjoint({"error"})
+
+
+def test_a_failed_study_is_a_row(spark):
+    df = frame(spark, list(np.linspace(50, 200, 60)))
+    good = lambda f: {"group": "own", "value": len(f), "signal": "bull", "score": 1, "note": "n"}
+    bad = lambda f: {"value": 1 / 0}
+    got = {r.study: r for r in studies.studies(df, which=[studies.registry()[0], F.struct(F.col("no such column"))], more={"mine": good, "broken": bad}).collect()}
+    assert got["MA Stack/Alignment"].group == "trend" and got["mine"].value == 60
+    for name in ("study 1", "broken"):
+        assert (got[name].group, got[name].signal, got[name].score, got[name].value) == ("error", "neutral", 0.5, None) and got[name].note.startswith("error: ")
+
+
+def test_study_notes(spark):
+    df = frame(spark, list(np.linspace(50, 200, 300)))
+    notes = {r.study: r.note for r in studies.studies(df, df.withColumn("instrument_id", F.lit(9))).collect()}
+    close, mean = 200, np.linspace(50, 200, 300)[-200:].mean()
+    assert notes["MA Stack/Alignment"] == "Price above 5/5 MAs" and notes["Price vs 200-DMA"] == f"{(close / mean - 1) * 100:.1f}% vs 200-DMA"
+    assert notes["RS vs SPY (3m)"] == "RS=1.000" and notes["RSI Overbought Streak"] == "10/10 days RSI>70" and notes["52w High Proximity"] in ("0.0% off 52w high", "-0.0% off 52w high")
+    assert notes["ROC Multi-Period"].startswith("1m:") and notes["ROC Multi-Period"].count("|") == 3
+
+
+def test_share_of_folds_below_the_median(spark):
+    draw = np.random.default_rng(14)
+    closes = list(100 * np.exp(draw.normal(0, 0.01, 163).cumsum()))
+    got = validation.pbo(frame(spark, closes), lambda b: b.withColumn("signal", F.lit(1)), 4).first().pbo
+    sharpes = []
+    for k in range(4):
+        c = np.array(closes[k * 40 : (k + 1) * 40 if k < 3 else None])
+        r = np.concatenate([[0.0], c[1:] / c[:-1] - 1])
+        r[1] -= 0.0015  # the position opens on the second bar
+        lr = np.diff(np.log(np.cumprod(1 + r)))
+        sharpes.append(lr.mean() / lr.std(ddof=1))
+    assert got == pytest.approx(np.mean(np.array(sharpes) < np.median(sharpes)))
+
+
 def test_backtest_by_hand(spark):
     df = frame(spark, [10, 11, 12, 9, 9, 10]).join(spark.createDataFrame([(DAY + dt.timedelta(i), s) for i, s in enumerate([1, 1, -1, -1, 0, 0])], "ts date, signal int"), "ts")
     run = backtest.run_backtest(df, short=True)
