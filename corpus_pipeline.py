@@ -12,7 +12,7 @@ from candlewick.llm.common import materialize, table
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
-    ("near_dedup", near_copies.stage),
+    ("simhash_near_dedup", near_copies.stage),
     ("secret_scan", secrets.stage),
     ("mixing", mixing.stage),
     ("bpe", bpe.stage),
