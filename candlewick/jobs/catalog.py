@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.jobs import frames as f
+from candlewick.jobs import loads
 from candlewick.jobs import studies as S
+from candlewick.functions.tails import phi_inv
 from candlewick.operators import backtest as bt
 from candlewick.operators import bars as B
 from candlewick.operators import ewm as E
@@ -258,7 +260,18 @@ _ind(
 )
 ADX = f"{MOVES}, {_ewm('t', 'mm', 'tr', 2 / 15)}, {_ewm('p', 'mm', 'pdm', 2 / 15)}, {_ewm('q', 'mm', 'mdm', 2 / 15)}, di AS (SELECT instrument_id, ts, 100 * p.y / nullif(t.y, 0) AS pdi, 100 * q.y / nullif(t.y, 0) AS mdi FROM t JOIN p {_using} JOIN q {_using}), {_ewm('x', 'di', '100 * abs(pdi - mdi) / nullif(pdi + mdi, 0)', 2 / 15)}"
 _ind("i5_adx", ind.adx, ["adx", "plus_di", "minus_di"], 4, f"WITH {f.BARS}, {ADX} SELECT instrument_id, ts, round(x.y, 4) AS adx, round(pdi, 4) AS plus_di, round(mdi, 4) AS minus_di FROM di LEFT JOIN x {_using}")
-_ind("i6_parabolic_sar", ind.parabolic_sar, ["sar"], 4)
+# bar by bar: the state is the side, the speed, the extreme and the stop
+_ind(
+    "i6_parabolic_sar", ind.parabolic_sar, ["sar"], 6,
+    f"""WITH RECURSIVE {f.BARS}, n AS (SELECT instrument_id, ts, high, low, row_number() OVER w AS i, lag(high) OVER w AS h1, lag(low) OVER w AS l1, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2 FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)),
+    st AS (SELECT instrument_id, ts, i, true AS up, 0.02::DOUBLE AS af, low AS ep, high AS sar FROM n WHERE i = 1
+    UNION ALL SELECT instrument_id, ts, i, up <> flip, CASE WHEN flip THEN 0.02 WHEN CASE WHEN up THEN high > ep ELSE low < ep END THEN least(af + 0.02, 0.2) ELSE af END,
+      CASE WHEN up <> flip THEN CASE WHEN flip THEN high ELSE greatest(ep, high) END ELSE CASE WHEN flip THEN low ELSE least(ep, low) END END, CASE WHEN flip THEN ep ELSE s END
+    FROM (SELECT *, CASE WHEN up THEN low < s ELSE high > s END AS flip FROM (
+      SELECT n.instrument_id, n.ts, n.i, n.high, n.low, st.up, st.af, st.ep, CASE WHEN st.up THEN least(st.sar + st.af * (st.ep - st.sar), n.l1, coalesce(n.l2, n.l1)) ELSE greatest(st.sar + st.af * (st.ep - st.sar), n.h1, coalesce(n.h2, n.h1)) END AS s
+      FROM st JOIN n ON n.instrument_id = st.instrument_id AND n.i = st.i + 1)))
+    SELECT instrument_id, ts, round(sar, 6) AS sar FROM st""",
+)
 RSI = f"{_ewm('u', 'mm', 'g', 1 / 14)}, {_ewm('v', 'mm', 'l', 1 / 14)}, rsi AS (SELECT instrument_id, ts, CASE WHEN v.y > 0 THEN 100 - 100 / (1 + u.y / v.y) WHEN u.y > 0 THEN 100 ELSE 50 END AS rsi FROM bars LEFT JOIN u {_using} LEFT JOIN v {_using})"
 _ind("i9_rsi", ind.rsi, ["rsi"], 4, f"WITH {f.BARS}, {MOVES}, {RSI} SELECT instrument_id, ts, round(rsi, 4) AS rsi FROM rsi")
 _ind(
@@ -289,14 +302,18 @@ _add(
     lambda s, d: _rounded(R.correlations(f.daily_bars(s, d), "spearman"), 6),
     f"WITH {f.BARS}, {_ALL}, k AS (SELECT l, r, rank() OVER (PARTITION BY l, r ORDER BY a) + (count(*) OVER (PARTITION BY l, r, a) - 1) / 2 AS a, rank() OVER (PARTITION BY l, r ORDER BY b) + (count(*) OVER (PARTITION BY l, r, b) - 1) / 2 AS b FROM al) {_names_} round(corr(a, b), 6) AS corr FROM k GROUP BY 1, 2",
 )
-_add("t11_kendall", lambda s, d: _rounded(R.correlations(f.daily_bars(s, d), "kendall"), 6))
+_add(
+    "t11_kendall",
+    lambda s, d: _rounded(R.correlations(f.daily_bars(s, d), "kendall"), 6),
+    f"WITH {f.BARS}, {_ALL}, nn AS (SELECT *, row_number() OVER (PARTITION BY l, r ORDER BY a, b) AS i FROM al), k AS (SELECT x.l, x.r, sum(sign(x.a - y.a) * sign(x.b - y.b)) AS s, sum((x.a <> y.a)::INT) AS u, sum((x.b <> y.b)::INT) AS v FROM nn x JOIN nn y ON x.l = y.l AND x.r = y.r AND x.i < y.i GROUP BY 1, 2) {_names_} round(s / sqrt(u::DOUBLE * v), 6) AS corr FROM k",
+)
 _add("t12_rolling_correlation", lambda s, d: _rounded(R.rolling_correlation(_pair(s, d).where("instrument_id <> 1")), 4, *ID, "corr"), f"WITH {f.BARS}, {PAIR} SELECT instrument_id, ts, round(CASE WHEN count(*) {_frame(60)} = 60 THEN corr(a, b) {_frame(60)} END, 4) + 0.0 AS corr FROM pair WHERE instrument_id <> 1")
 _add(
     "t13_lead_lag",
-    lambda s, d: _rounded(R.lead_lag(_pair(s, d), 5), 6),
-    f"WITH {f.BARS}, {PAIR}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts) AS i FROM pair) SELECT a.instrument_id, (b.i - a.i)::INT AS lag, round(corr(a.a, b.b), 6) AS corr FROM n a JOIN n b ON a.instrument_id = b.instrument_id AND b.i - a.i BETWEEN -5 AND 5 GROUP BY 1, 2",
+    lambda s, d: _rounded(R.lead_lag(_pair(s, d)), 6),
+    f"WITH {f.BARS}, {PAIR}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts) AS i FROM pair) SELECT a.instrument_id, (b.i - a.i)::INT AS lag, round(corr(a.a, b.b), 6) AS corr FROM n a JOIN n b ON a.instrument_id = b.instrument_id AND b.i - a.i BETWEEN -20 AND 20 GROUP BY 1, 2",
 )
-_add("t13_lead_lag_full", lambda s, d: _rounded(R.lead_lag(_pair(s, d)), 6))
+_add("t13_lead_lag_full", _queries["t13_lead_lag"], _sql["t13_lead_lag"])
 _ind("t14_volume_zscore", R.volume_zscore, {"volume_z": f"(volume - ({_roll('avg', 'volume', 20)})) / nullif({_roll('stddev_samp', 'volume', 20)}, 0)"}, 4)
 _ind("t15_divergence", R.divergence, {"divergence": "close / lag(close, 20) OVER w - volume / nullif(lag(volume, 20) OVER w, 0)"}, 4)
 _ind(
@@ -307,10 +324,11 @@ _ind("t17_dollar_volume", R.dollar_volume, {"dollar_volume": _roll("avg", "close
 _ind("t18_zscore", R.zscore, {"z": "(close - avg(close) OVER (PARTITION BY instrument_id)) / nullif(stddev_samp(close) OVER (PARTITION BY instrument_id), 0)"}, 4)
 _ind("t18_rolling_zscore", lambda b: R.zscore(b, p=60), {"z": f"(close - ({_roll('avg', 'close', 60)})) / nullif({_roll('stddev_samp', 'close', 60)}, 0)"}, 4)
 _ind(
-    "t19_percentile_rank", lambda b: R.percentile_rank(b, p=60), ["pct_rank"], 6,
-    f"WITH {f.BARS}, l AS (SELECT instrument_id, ts, close, list(close) {_frame(60)} AS l FROM bars), c AS (SELECT *, len(list_filter(l[1:59], lambda x: x < close)) AS b, len(list_filter(l[1:59], lambda x: x <= close)) AS u FROM l) SELECT instrument_id, ts, CASE WHEN len(l) = 60 THEN round((b + u + (u > b)::INT) * 50.0 / 59 / 100, 6) END AS pct_rank FROM c",
+    "t19_percentile_rank", R.percentile_rank, ["pct_rank"], 6,
+    f"WITH {f.BARS}, l AS (SELECT instrument_id, ts, close, list(close) {_frame(252)} AS l FROM bars), c AS (SELECT *, len(list_filter(l[1:251], lambda x: x < close)) AS b, len(list_filter(l[1:251], lambda x: x <= close)) AS u FROM l) SELECT instrument_id, ts, CASE WHEN len(l) = 252 THEN round((b + u + (u > b)::INT) * 50.0 / 251 / 100, 6) END AS pct_rank FROM c",
 )
-_add("t19_percentile_rank_full", lambda s, d: _rounded(R.percentile_rank(f.daily_bars(s, d), p=252), 6, *ID, "pct_rank"))
+_add("t19_percentile_rank_full", _queries["t19_percentile_rank"], _sql["t19_percentile_rank"])
+_ind("t19_percentile_rank_60", lambda b: R.percentile_rank(b, p=60), ["pct_rank"], 6, _sql["t19_percentile_rank"].replace("252", "60").replace("251", "59"))
 _add(
     "t20_macro_changes",
     lambda s, d: _rounded(R.change_over(R.change_over(f.macro(s, d).withColumnRenamed("series_id", "instrument_id"), "value", 252, "yoy"), "value", 21, "mom"), 6, *ID, "yoy", "mom"),
@@ -319,11 +337,32 @@ _add(
 
 # ---- regressions and tests
 
+
+def _simpson(of: str, start: str, end: str, steps: int = 400) -> str:
+    """The integral of an expression in @, by Simpson's rule."""
+    at = f"({start}) + (({end}) - ({start})) * k / {steps}.0"
+    return f"((({end}) - ({start})) / {3 * steps}.0 * list_sum(list_transform(range(0, {steps + 1}), lambda k: CASE WHEN k IN (0, {steps}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * ({of.replace('@', f'({at})')}))))"
+
+
+def _normal(z: str) -> str:
+    """The normal distribution function of a column z."""
+    return f"(0.5 + sign({z}) * {_simpson('exp(-@ * @ / 2)', '0', f'least(abs({z}), 12)')} / sqrt(2 * pi()))"
+
+
+def _t_tails(t: str, df: str) -> str:
+    """Both tails of Student's t: with t = sqrt(df) tan(x) the density is a power of the cosine."""
+    return f"(2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {_simpson(f'pow(cos(@), {df} - 1)', f'atan(abs({t}) / sqrt({df}))', 'pi() / 2', 4000)})"
+
+
 _both = lambda s, d: B.pair(R.log_returns(f.daily_bars(s, d)), R.log_returns(f.bench(s, d)), "log_ret").where("instrument_id <> 1")
 _add(
     "m1_ols",
-    lambda s, d: _rounded(TS.ols(_both(s, d), "a", ["b"]).where("term = 'b'"), 6, "instrument_id", "coef", "r2", "n"),
-    f"WITH {f.BARS}, {LR} SELECT a.instrument_id, round(regr_slope(a.lr, b.lr), 6) AS coef, round(regr_r2(a.lr, b.lr), 6) AS r2, count(*) AS n FROM lr a JOIN lr b ON a.ts = b.ts WHERE b.instrument_id = 1 AND a.instrument_id <> 1 AND a.lr IS NOT NULL AND b.lr IS NOT NULL GROUP BY 1",
+    lambda s, d: _rounded(TS.ols(_both(s, d), "a", ["b"]), 6),
+    f"""WITH {f.BARS}, {LR}, p AS (SELECT a.instrument_id, a.lr AS a, b.lr AS b FROM lr a JOIN lr b ON a.ts = b.ts WHERE b.instrument_id = 1 AND a.instrument_id <> 1 AND a.lr IS NOT NULL AND b.lr IS NOT NULL),
+    g AS (SELECT instrument_id, count(*) AS n, regr_slope(a, b) AS s, regr_intercept(a, b) AS c, regr_r2(a, b) AS r2, regr_sxx(a, b) AS sxx, regr_syy(a, b) AS syy, avg(b) AS mb FROM p GROUP BY 1),
+    e AS (SELECT *, sqrt((1 - r2) * syy / (n - 2)) AS se FROM g),
+    t AS (SELECT instrument_id, 'b' AS term, s AS coef, s / (se / sqrt(sxx)) AS t, r2, n FROM e UNION ALL SELECT instrument_id, 'const', c, c / (se * sqrt(1.0 / n + mb * mb / sxx)), r2, n FROM e)
+    SELECT instrument_id, term, round(coef, 6) AS coef, round(t, 6) AS t_stat, round({_t_tails('t', '(n - 2)')}, 6) AS p_value, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adj_r2, n FROM t""",
 )
 _add(
     "m1_ols_residuals",
@@ -352,7 +391,11 @@ _add(
     "round(mdd, 5) AS max_drawdown, round((pow(1 + tr, 252.0 / n) - 1) / nullif(abs(mdd), 0), 5) AS calmar, round(ulcer, 5) AS ulcer_index, dur AS max_dd_duration_bars, round(v5, 5) AS var_95, round(v1, 5) AS var_99, round(cvar, 5) AS cvar_95, round(sk, 5) AS skewness, round(k, 5) AS excess_kurtosis, "
     "round(n / 6 * (sk * sk + k * k / 4), 5) AS jarque_bera_stat, round(exp(-n / 12 * (sk * sk + k * k / 4)), 5) AS jarque_bera_pval, round(v95 / abs(v5), 5) AS tail_ratio, round(gp, 5) AS gain_pain_ratio, round(ac, 5) AS return_autocorr FROM mo JOIN cv USING (instrument_id) JOIN dur USING (instrument_id)",
 )
-_add("p9_probabilistic_sharpe", lambda s, d: _rounded(M.with_psr(M.tearsheet(f.daily_bars(s, d))), 6, "instrument_id", "probabilistic_sharpe"))
+_add(
+    "p9_probabilistic_sharpe",
+    lambda s, d: _rounded(M.with_psr(M.tearsheet(f.daily_bars(s, d))), 6, "instrument_id", "probabilistic_sharpe"),
+    f"WITH {f.BARS}, {SHEET}, q AS (SELECT *, ml / sl * sqrt(252) AS sr FROM mo), r AS (SELECT *, 1 - sk * sr + (k - 1) / 4 * sr * sr AS root FROM q), z AS (SELECT instrument_id, CASE WHEN root > 0 THEN sr * sqrt(n - 1) / sqrt(root) END AS z FROM r) SELECT instrument_id, round({_normal('z')}, 6) AS probabilistic_sharpe FROM z",
+)
 
 
 def _bench_value(s, d):
@@ -415,10 +458,29 @@ def _deflated(s, d):
     return _rounded(t.select("instrument_id", V.probabilistic_sharpe(args[0], F.lit(0.0), args[1], *more).alias("psr"), V.deflated_sharpe(*args, 20, *more).alias("dsr")), 6)
 
 
-_add("b7_b8_deflated_sharpe", _deflated)
-_add("b9_pbo", lambda s, d: _rounded(V.pbo(f.daily_bars(s, d), bt.cross_signal), 6))
+_BEST = (1 - V.EULER) * phi_inv(1 - 1 / 20) + V.EULER * phi_inv(1 - 1 / (20 * math.e))
+_add(
+    "b7_b8_deflated_sharpe",
+    _deflated,
+    f"WITH {f.BARS}, {SHEET}, q AS (SELECT *, ml / sl * sqrt(252) / 16 AS sr FROM mo), r AS (SELECT *, 1 - sk * sr + (k - 1) / 4 * sr * sr AS root FROM q), z AS (SELECT instrument_id, CASE WHEN root > 0 THEN sr * sqrt(n - 1) / sqrt(root) END AS z, CASE WHEN root > 0 THEN (sr - {_BEST!r} / sqrt(n)) * sqrt(n - 1) / sqrt(root) END AS y FROM r) SELECT instrument_id, round({_normal('z')}, 6) AS psr, round({_normal('y')}, 6) AS dsr FROM z",
+)
+_add(
+    "b9_pbo",
+    lambda s, d: _rounded(V.pbo(f.daily_bars(s, d), bt.cross_signal), 6),
+    f"""WITH {f.BARS}, {SIGNAL}, n AS (SELECT instrument_id, ts, close, CASE WHEN signal > 0 THEN 1.0 ELSE 0.0 END AS s, row_number() OVER (PARTITION BY instrument_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY instrument_id) AS n FROM sg),
+    fo AS (SELECT *, least(i // (n // 16), 15) AS fold FROM n),
+    p AS (SELECT *, coalesce(lag(s) OVER w, 0) AS pos, coalesce(close / lag(close) OVER w - 1, 0) AS pr, row_number() OVER w AS k FROM fo WINDOW w AS (PARTITION BY instrument_id, fold ORDER BY ts)),
+    r AS (SELECT *, pos * pr - abs(pos - coalesce(lag(pos) OVER w, 0)) * 0.0015 AS r FROM p WINDOW w AS (PARTITION BY instrument_id, fold ORDER BY ts)),
+    g AS (SELECT instrument_id, fold, coalesce(avg(ln(1 + r)) FILTER (k > 1) / nullif(stddev_samp(ln(1 + r)) FILTER (k > 1), 0) * sqrt(252), 0) AS sh FROM r GROUP BY 1, 2),
+    m AS (SELECT *, quantile_cont(sh, 0.5) OVER (PARTITION BY instrument_id) AS m FROM g) SELECT instrument_id, round(avg((sh < m)::INT), 6) AS pbo FROM m GROUP BY 1""",
+)
 _add("b10_monte_carlo", lambda s, d: _rounded(V.monte_carlo(_run(s, d)), 2))
 
+# ---- loads
+
+for _name, _query, _digits, _text in loads.QUERIES:
+    _add(_name, (lambda q, n: lambda s, d: _rounded(q(s, d), n))(_query, _digits), _text)
+
 # ---- studies and report
 
 _results = lambda s, d: S.studies(f.daily_bars(s, d), f.bench(s, d))

@@ -35,10 +35,11 @@ def parsed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(bars, rejects) of CSV files named {symbol}-1m-{period}.csv."""
-    raw = spark.read.schema(RAW).option("mode", "PERMISSIVE").csv(path)
+    """(bars, rejects) of CSV files named {symbol}-1m-{period}.csv, or in folders symbol={symbol}/period={period}."""
+    raw = spark.read.schema(RAW).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).csv(path)
     name = F.input_file_name()
-    return parsed(raw.withColumn("symbol", F.regexp_extract(name, NAME, 1)).withColumn("period", F.regexp_extract(name, NAME, 2)))
+    told = lambda k, folder: F.coalesce(F.nullif(F.regexp_extract(name, NAME, k), F.lit("")), F.regexp_extract(name, f"/{folder}=([^/]+)/", 1))
+    return parsed(raw.withColumn("symbol", told(1, "symbol")).withColumn("period", told(2, "period")))
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Daily equity bars from JSON files, one symbol a file: {"values": [{"datetime", "open", ...}]}, all strings."""
+"""Daily equity bars from JSON files, {symbol}.json or in a folder symbol={symbol}: {"values": [{"datetime", "open", ...}]}, all strings."""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ _VALUE = "struct<datetime:string,open:string,high:string,low:string,close:string
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(bars by symbol, errors): a file whose status is error gives a message instead of bars."""
-    raw = spark.read.schema(f"status string, message string, values array<{_VALUE}>").option("multiLine", True).json(path).withColumn("symbol", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+    raw = spark.read.schema(f"status string, message string, values array<{_VALUE}>").option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    name = F.input_file_name()
+    raw = raw.withColumn("symbol", F.coalesce(F.nullif(F.regexp_extract(name, "/symbol=([^/]+)/", 1), F.lit("")), F.regexp_extract(name, r"([^/]+)\.json$", 1)))
     bad = F.coalesce(F.col("status") == "error", F.lit(False))
     v = raw.where(~bad).select("symbol", F.explode("values").alias("v"))
     d = lambda c: F.col(f"v.{c}").cast("double")

@@ -1,4 +1,4 @@
-"""Macro series from CSV files, one series a file."""
+"""Macro series from CSV files, {series_id}.csv or any in a folder series_id={series_id}."""
 
 from __future__ import annotations
 
@@ -10,10 +10,12 @@ DAILY_FROM = "2025-01-01"
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(series_id, ts, value): blank dates and one-column rows are left out; '.' and '' are null."""
-    raw = spark.read.schema("date string, value string").option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).option("nullValue", "\u0000").csv(path)
+    raw = spark.read.schema("date string, value string").option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).option("nullValue", "\u0000").option("recursiveFileLookup", True).csv(path)
+    name = F.input_file_name()
+    folder = F.url_decode(F.regexp_extract(name, "/series_id=([^/]+)/", 1))
     v = F.trim(F.coalesce("value", F.lit("")))
     got = raw.where("value is not null and trim(coalesce(date, '')) <> ''")
-    return got.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("series_id"), F.to_date(F.trim("date")).alias("ts"), F.when(v.isin("", "."), None).otherwise(v).cast("double").alias("value"))
+    return got.select(F.coalesce(F.nullif(folder, F.lit("")), F.regexp_extract(name, r"([^/]+)\.csv$", 1)).alias("series_id"), F.to_date(F.trim("date")).alias("ts"), F.when(v.isin("", "."), None).otherwise(v).cast("double").alias("value"))
 
 
 def capped(observations: DataFrame, series: DataFrame, since: str = DAILY_FROM) -> DataFrame:

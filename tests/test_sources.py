@@ -3,6 +3,7 @@ import hashlib
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from candlewick.operators import bars
@@ -100,3 +101,43 @@ def test_streams_equal_the_batch(spark, tmp_path):
     want = bars.rollup(clean, "1h")
     got = spark.table("hours").where("ts < '2020-01-02'")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+
+
+def test_a_stream_loads_a_new_table_and_goes_on(spark, tmp_path):
+    """First batch into nothing, repeated files, a restart from the checkpoint, and a replay from none."""
+    kind, path = stream.SCHEMA, f"{tmp_path}/table"
+
+    def run(checkpoint):
+        q = stream.load_table(stream.read(spark, f"{tmp_path}/in"), path, f"{tmp_path}/{checkpoint}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r.instrument_id, r.ts, r.close) for r in tables.read(spark, path).collect())
+
+    def drop(*rows):
+        spark.createDataFrame([r for part in rows for r in part], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    drop(minute_rows(300), minute_rows(40))
+    first = run("c")
+    assert len(first) == 300
+    drop(minute_rows(300))  # all known
+    drop(minute_rows(20, 300))
+    second = run("c")
+    assert len(second) == 320 and set(first) <= set(second)
+    assert run("another") == second  # everything comes again
+
+
+def test_feeds_are_checked(spark):
+    good = lambda s: s.createDataFrame(minute_rows(3), tables.SHAPES["bar_1m"]).withColumn("more", F.lit(1))
+    got = tables.load(spark, good, "bar_1m")
+    assert got.columns == [x.split(" ")[0] for x in tables.SHAPES["bar_1m"].split(", ")] and got.count() == 3
+    with pytest.raises(ValueError, match="lacks close"):
+        tables.load(spark, lambda s: good(s).drop("close"), "bar_1m")
+
+
+def test_folders_name_what_files_do_not(spark, tmp_path):
+    (tmp_path / "c/symbol=ETH/period=2020-01").mkdir(parents=True)
+    (tmp_path / "c/symbol=ETH/period=2020-01/part-0.csv").write_text("\n".join([HEAD, line(T0)]))
+    good, _ = candles.read_csv(spark, f"{tmp_path}/c")
+    assert [(r.symbol, r.period) for r in good.collect()] == [("ETH", "2020-01")]
+    (tmp_path / "m/series_id=A%20B").mkdir(parents=True)
+    (tmp_path / "m/series_id=A%20B/part-0.csv").write_text("date,value\n2020-01-01,1\n")
+    assert macro.read(spark, f"{tmp_path}/m").first()[:1] in (("A B",), ("A%20B",))
