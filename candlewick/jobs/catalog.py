@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.jobs import frames as f
-from candlewick.jobs import loads
+from candlewick.jobs import loads, study_sql
 from candlewick.jobs import studies as S
 from candlewick.functions.tails import phi_inv
+from candlewick.functions.windows import chunked
 from candlewick.operators import backtest as bt
 from candlewick.operators import bars as B
 from candlewick.operators import ewm as E
@@ -282,6 +283,12 @@ _ind("i16_atr", ind.atr, ["atr"], 4, f"WITH {f.BARS}, {MOVES}, {_ewm('t', 'mm',
 _ind("i17_keltner", ind.keltner, ["kc_mid", "kc_upper", "kc_lower"], 4, f"WITH {f.BARS}, {MOVES}, {_ewm('e', 'bars', 'close', 2 / 21)}, {_ewm('t', 'mm', 'tr', 2 / 21)} SELECT instrument_id, ts, round(e.y, 4) AS kc_mid, round(e.y + 2 * t.y, 4) AS kc_upper, round(e.y - 2 * t.y, 4) AS kc_lower FROM e JOIN t {_using}")
 _ind("i2_ema_chunked", lambda b: E.ewm_chunked(b, "close", 2 / 21, "ema", F.date_trunc("month", "ts").cast("date")), ["ema"], 4, _sql["i2_ema"])
 
+# the same by chunks of time, for series too long for one task
+_by_year = lambda op, back: lambda b: chunked(b, op, F.year("ts"), back)
+_ind("i1_sma_chunked", _by_year(ind.sma, 19), ["sma"], 6, _sql["i1_sma"])
+_ind("i15_bollinger_chunked", _by_year(ind.bollinger, 19), ["bb_mid", "bb_upper", "bb_lower", "bb_pct", "bb_width"], 4, _sql["i15_bollinger"])
+_ind("i10_stochastic_chunked", _by_year(ind.stochastic, 15), ["stoch_k", "stoch_d"], 4, _sql["i10_stochastic"])
+
 # ---- returns, risk, features
 
 _ind("t1_simple_returns", R.simple_returns, {"ret": "close / lag(close) OVER w - 1"})
@@ -484,9 +491,11 @@ for _name, _query, _digits, _text in loads.QUERIES:
 # ---- studies and report
 
 _results = lambda s, d: S.studies(f.daily_bars(s, d), f.bench(s, d))
+_STUDIES = "WITH " + study_sql.studies(f.BARS, ADX, RSI, _ewm, _roll, LR, FLOW) + " "
 _add("q6_studies", lambda s, d: _rounded(_results(s, d), 4))
-_add("q1_report", _flagship)
-_add("q7_listing", lambda s, d: S.listing(_results(s, d)).select("instrument_id", "group", "study", "signal", "signal_rank"))
+_add("q6_study_values", lambda s, d: _rounded(_results(s, d), 4, "instrument_id", "place", "study", "group", "value", "signal", "score"), _STUDIES + study_sql.VALUES)
+_add("q1_report", _flagship, _STUDIES + study_sql.REPORT)
+_add("q7_listing", lambda s, d: S.listing(_results(s, d)).select("instrument_id", "group", "study", "signal", "signal_rank"), _STUDIES + study_sql.LISTING)
 
 
 def queries() -> dict[str, Callable]:

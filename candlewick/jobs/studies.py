@@ -69,6 +69,7 @@ def facts(bars: DataFrame, bench: DataFrame | None = None) -> DataFrame:
     """One row an instrument: fields of the last bar, and what the studies read from the bars before it."""
     w, whole = ordered(), Window.partitionBy(KEY)
     before = lambda p: w.rowsBetween(-p, -1)
+    bars = bars.select(KEY, TIME, "high", "low", "close", "volume")  # what is read: all of it passes through Python once
     df = ind.recursive_set(bars).withColumn("n", F.count("*").over(whole)).withColumn("rn", F.row_number().over(w))
     df = ind.obv(ind.chaikin(ind.bollinger(ind.ichimoku(ret.rolling_vol(df, out="vol20")))))
     df = ret.log_returns(df)

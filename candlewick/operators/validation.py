@@ -123,27 +123,44 @@ def start_table(n: int, sims: int) -> np.ndarray:
     return np.random.default_rng(42).integers(0, high, (sims, -(-n // min(block, n))))
 
 
+BANDS = (5, 25, 50, 75, 95)
+STEPS = 64  # steps of all simulations that are one group when the bands are taken
+
+
 def monte_carlo(returns: DataFrame, sims: int = 1000, capital: float = CAPITAL, chunk: int = 50, x: str = "strategy_return") -> DataFrame:
     """(instrument_id, step, p5, p25, p50, p75, p95) of bootstrapped equity paths.
 
-    Blocks of returns are drawn with one seed for each instrument. Chunks of simulations are groups, so the
-    paths are made in parallel; a group draws all starts (small numbers) and uses its own.
+    Blocks of returns are drawn with one seed for each instrument; the draws are made once for it and dealt out by
+    chunks of simulations, which make their paths in parallel. Bands are taken over blocks of steps, so a group holds
+    all simulations of a few steps, whatever a series' length.
     """
+    kind = returns.schema[KEY].dataType.simpleString()
     rows = returns.where(F.col(x).isNotNull()).select(KEY, TIME, F.col(x).alias("_r"))
-    dealt = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit((sims - 1) // chunk))))
+    chunks = (sims - 1) // chunk + 1
 
-    def paths(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(TIME, kind="stable")
-        r = frame["_r"].to_numpy()
+    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+        starts = start_table(int(frame["n"].iat[0]), sims).astype(np.int64)
+        return pd.DataFrame({KEY: frame[KEY].iat[0], "_chunk": np.arange(chunks), "starts": [starts[k * chunk : (k + 1) * chunk].tobytes() for k in range(chunks)]})
+
+    def paths(series: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        if not len(series) or not len(drawn):
+            return pd.DataFrame({KEY: [], "block": [], "values": [], "width": []})
+        r = series.sort_values(TIME, kind="stable")["_r"].to_numpy()
         n = len(r)
-        block, k = max(10, int(math.sqrt(n))), int(frame["_chunk"].iat[0])
-        starts = start_table(n, sims)[k * chunk : (k + 1) * chunk]
+        block = max(10, int(math.sqrt(n)))
+        starts = np.frombuffer(drawn["starts"].iat[0], dtype=np.int64).reshape(-1, -(-n // min(block, n)))
         at = (starts[:, :, None] + np.arange(min(block, n))[None, None, :]).reshape(len(starts), -1)[:, :n]
         equity = capital * np.cumprod(1 + r[at], axis=1)
-        return pd.DataFrame({KEY: frame[KEY].iat[0], "step": np.arange(n), "values": list(equity.T)})
-
-    kind = returns.schema[KEY].dataType.simpleString()
-    made = dealt.groupBy(KEY, "_chunk").applyInPandas(paths, f"{KEY} {kind}, step long, values array<double>")
-    bands = (0.05, 0.25, 0.5, 0.75, 0.95)
-    pct = made.select(KEY, "step", F.explode("values").alias("v")).groupBy(KEY, "step").agg(F.percentile("v", F.array(*map(F.lit, bands))).alias("p"))
-    return pct.select(KEY, "step", *(F.get("p", F.lit(i)).alias(f"p{round(b * 100)}") for i, b in enumerate(bands)))
+        cuts = range(0, n, STEPS)
+        return pd.DataFrame({KEY: series[KEY].iat[0], "block": np.arange(len(cuts)), "values": [np.ascontiguousarray(equity[:, a : a + STEPS]).tobytes() for a in cuts], "width": [min(STEPS, n - a) for a in cuts]})
+
+    def bands(frame: pd.DataFrame) -> pd.DataFrame:
+        width = int(frame["width"].iat[0])
+        every = np.concatenate([np.frombuffer(v, dtype=np.float64).reshape(-1, width) for v in frame["values"]])
+        step = np.arange(width) + STEPS * int(frame["block"].iat[0])
+        return pd.DataFrame({KEY: frame[KEY].iat[0], "step": step} | {f"p{b}": v for b, v in zip(BANDS, np.percentile(every, BANDS, axis=0), strict=True)})
+
+    drawn = rows.groupBy(KEY).agg(F.count("*").alias("n")).groupBy(KEY).applyInPandas(draw, f"{KEY} {kind}, _chunk long, starts binary")
+    dealt = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    made = dealt.groupBy(KEY, "_chunk").cogroup(drawn.groupBy(KEY, "_chunk")).applyInPandas(paths, f"{KEY} {kind}, block long, values binary, width int")
+    return made.groupBy(KEY, "block").applyInPandas(bands, f"{KEY} {kind}, step long, " + ", ".join(f"p{b} double" for b in BANDS))

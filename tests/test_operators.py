@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from candlewick.functions import tails
+from candlewick.functions import tails, windows
 from candlewick.jobs import studies
 from candlewick.operators import backtest, bars, ewm, indicators, metrics, returns, tsstats, validation, writes
 
@@ -288,3 +288,65 @@ def test_hurst_by_loops(spark):
     want = np.polyfit(*zip(*points, strict=True), 1)[0]
     df = spark.createDataFrame([(1, [float(v) for v in x])], "instrument_id int, logs array<double>")
     assert studies.with_hurst(df).first().hurst == pytest.approx(want)
+
+
+def test_chunked_windows_equal_whole_ones(spark):
+    """Chunks longer and shorter than what a window looks back, and gaps between them."""
+    draw = np.random.default_rng(15)
+    df = frame(spark, list(100 + draw.normal(0, 1, 200).cumsum())).where("dayofmonth(ts) not between 10 and 25 or month(ts) = 3")
+    df = df.unionByName(df.withColumn("instrument_id", F.lit(2)).withColumn("close", F.col("close") * 2))
+    for op, back in ((lambda b: indicators.sma(b, 25), 24), (indicators.stochastic, 15), (lambda b: returns.rolling_vol(b, 10), 10)):
+        for chunk in (F.date_trunc("month", "ts"), F.dayofyear("ts"), F.lit(0)):
+            whole = sorted(map(tuple, op(df).select(df.columns + [c for c in op(df).columns if c not in df.columns]).collect()))
+            got = windows.chunked(df, op, chunk, back)
+            assert sorted(map(tuple, got.select(op(df).columns).collect())) == whole
+
+
+def by_lstsq(x, y):
+    b, *_ = np.linalg.lstsq(x, y, rcond=None)
+    e = y - x @ b
+    return b, e @ e
+
+
+def test_unit_root_numbers_by_least_squares(spark):
+    """The statistic, its lags and the F statistics, each from plain regressions."""
+    draw = np.random.default_rng(16)
+    x = draw.normal(0, 1, 150).cumsum() + 0.3 * draw.normal(0, 1, 150)
+    d, most = np.diff(x), math.ceil(12 * 1.5**0.25)
+
+    def design(lags, skip):
+        rows = range(skip, len(d))
+        return np.array([[x[i], *(d[i - k] for k in range(1, lags + 1)), 1.0] for i in rows]), np.array([d[i] for i in rows])
+
+    def aic(lags):
+        m, y = design(lags, most)
+        return len(y) * math.log(by_lstsq(m, y)[1] / len(y)) + 2 * m.shape[1]
+
+    lags = min(range(most + 1), key=aic)
+    m, y = design(lags, lags)
+    b, rss = by_lstsq(m, y)
+    want = b[0] / math.sqrt(rss / (len(y) - m.shape[1]) * np.linalg.inv(m.T @ m)[0, 0])
+    got = tsstats.adf_test(frame(spark, list(x + 50))).first()
+    assert got.lags == lags and got.stat == pytest.approx(want, rel=1e-6)
+    assert got.p_value == pytest.approx(tsstats.unit_root_p(want)) and got.crit_5 == pytest.approx(-2.86154 - 2.8903 / len(y) - 4.234 / len(y) ** 2 - 40.04 / len(y) ** 3)
+    z = np.concatenate([[0.0, 0.0], 0.4 * x[:-2]]) + draw.normal(0, 1, 150)
+    both = spark.createDataFrame([(1, DAY + dt.timedelta(i), float(p), float(q)) for i, (p, q) in enumerate(zip(z, x, strict=True))], "instrument_id int, ts date, a double, b double")
+    for r in tsstats.granger(both, 3).collect():
+        rows = range(r.lag, 150)
+        own = np.array([[1.0, *(z[i - k] for k in range(1, r.lag + 1))] for i in rows])
+        more = np.hstack([own, np.array([[x[i - k] for k in range(1, r.lag + 1)] for i in rows])])
+        y = z[r.lag :]
+        r0, r1, free = by_lstsq(own, y)[1], by_lstsq(more, y)[1], len(y) - 2 * r.lag - 1
+        assert r.f_stat == pytest.approx((r0 - r1) / r.lag / (r1 / free), rel=1e-6) and r.p_value == pytest.approx(tails.f_upper(r.f_stat, r.lag, free))
+    fit, _ = by_lstsq(np.column_stack([x, np.ones(150)]), z)
+    left = z - np.column_stack([x, np.ones(150)]) @ fit
+    tau = tsstats.adf(left, constant=False)[0]
+    got = tsstats.cointegration(both).first()
+    assert got.stat == pytest.approx(tau, rel=1e-6) and got.p_value == pytest.approx(tsstats.unit_root_p(tau, 2))
+
+
+def test_probabilistic_ratio_beside_the_sheet(spark):
+    draw = np.random.default_rng(17)
+    r = metrics.with_psr(metrics.tearsheet(frame(spark, list(100 * np.cumprod(1 + draw.normal(0.0002, 0.02, 400)))))).first()
+    root = 1 - r.skewness * r.sharpe + (r.excess_kurtosis - 1) / 4 * r.sharpe**2
+    assert r.probabilistic_sharpe == (pytest.approx(tails.phi(r.sharpe * math.sqrt(r.n - 1) / math.sqrt(root))) if root > 0 else None)
