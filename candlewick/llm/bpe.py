@@ -6,8 +6,10 @@ Byte pair encoding never crosses the borders of pre-tokens ("words"), so a word'
    by the word's hash.
 2. A bucket gathers the distinct words of all chunks, encodes each once, and returns to each chunk the ids of
    its words, in the order in which they came.
-3. A chunk splits its texts again and puts the words' ids in their places. Decoding looks up ids in a dictionary
-   of the vocabulary's pieces, without a join; each distinct word's bytes are looked up once.
+3. A chunk splits its texts again and puts the words' ids in their places.
+
+Decoding joins ids with the table of pieces (``decode``), one row for each token. The digests of a whole corpus don't
+need that many rows: there each distinct word of a chunk is decoded once, by a dictionary of the same pieces.
 
 The texts are shuffled once, compressed, and that shuffle is read twice. Chunks hold about DEAL bytes each and buckets
 are as many, so memory in a task stays as the data grow, whatever the session's partitions; rows are dealt by their
@@ -351,17 +353,26 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return _coded(docs, path, True, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """encoded (with ids) with the column ``decoded``: pieces looked up by id; an unknown id gives nothing."""
-    sent = _sent(encoded.sparkSession, path)
+@F.arrow_udf(T.StringType())
+def _as_text(raw: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in raw:
+        yield pa.array([None if x is None else x.decode("utf-8", "replace") for x in batch.to_pylist()], type=pa.string())
+
 
-    @F.pandas_udf("string")
-    def join(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = _vocabulary(sent).pieces
-        for s in ids:
-            yield pd.Series([None if x is None else b"".join([pieces.get(i, b"") for i in x.tolist()]).decode("utf-8", "replace") for x in s])
+def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(id, piece) of a vocabulary: its bytes by id."""
+    return spark.createDataFrame(sorted(Vocabulary(_vocabulary_text(path)).pieces.items()), "id int, piece binary")
 
-    return encoded.withColumn("decoded", join("ids"))
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """encoded (with ids) with the column ``decoded``: ids with their places are joined with the pieces, and the pieces of
+    a row put together in order; null ids give null, an unknown id gives nothing."""
+    kept = numbered(encoded)
+    tokens = kept.select("rid", F.posexplode("doc.ids").alias("place", "id")).join(F.broadcast(pieces(encoded.sparkSession, path)), "id")  # as large as the vocabulary
+    ordered = F.sort_array(F.collect_list(F.struct("place", F.hex("piece").alias("piece"))))
+    raw = tokens.groupBy("rid").agg(F.unhex(F.array_join(F.transform(ordered, lambda t: t["piece"]), "")).alias("raw"))
+    found = kept.join(raw, "rid", "left").withColumn("raw", F.when(F.col("doc.ids").isNotNull(), F.coalesce("raw", F.lit(b""))))
+    return found.select("doc.*", _as_text("raw").alias("decoded"))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewick.sources.shared import clean, delete, fresh  # noqa: F401
+
 #: The ASCII white space that separates words, for ``translate``: space, tab, LF, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,28 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set and one machine does all."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if not re.match(r"local(\[[^]]*\])?$", master):
-        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
-    found = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def _own(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
@@ -50,25 +26,20 @@ def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -
     table of this function that nothing reads any more; it is removed. The others go with :func:`clean`.
     """
     spark = df.sparkSession
-    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
     if instead_of is not None:
         for old in {x.rpartition("/")[0] for x in instead_of.inputFiles()}:
-            _delete(spark, old)
+            delete(spark, old)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Remove all that this application's operators wrote to the shared folder; their results can't be read afterwards."""
-    _delete(spark, _own(spark))
-
-
 def _of_files(docs: DataFrame) -> bool:
     """Is docs one read of distinct files, filtered or projected at most? Then a row's file and place are its own."""
     plan = docs._jdf.queryExecution().analyzed()
     while plan.getClass().getSimpleName() in ("Filter", "Project", "SubqueryAlias"):
         plan = plan.children().head()
-    if plan.getClass().getSimpleName() != "LogicalRelation" or not hasattr(plan.relation(), "location"):
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
         return False
     roots = plan.relation().location().rootPaths()
     paths = sorted(roots.apply(i).toString().rstrip("/") + "/" for i in range(roots.length()))

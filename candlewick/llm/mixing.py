@@ -184,7 +184,8 @@ def op1_mixing(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: each document comes as often as the mix takes it, 0 to 3 times."""
+    """Pipeline stage: each row comes as often as the mix takes it, 0 to 3 times, with all its columns, in the cases
+    defined above."""
     kept = numbered(docs)
     mixed = sample(kept.select("doc.doc_id", "doc.source", _size("doc.text"), "rid"))
     copies = mixed.where("copies > 0").select("rid", "copies").hint("merge")  # as many rows as documents: never broadcast

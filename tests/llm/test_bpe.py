@@ -83,3 +83,5 @@ def test_digests_and_ids(spark):
     back = bpe.decode(bpe.encode(docs)).collect()
     assert sorted(r.decoded for r in back) == sorted(t or "" for _, t in rows)
     assert bpe.digests(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [464, -5, 99999]), (4, [0xE9])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in bpe.decode(odd).collect()} == {1: None, 2: "", 3: "The", 4: OWN.pieces[0xE9].decode("utf-8", "replace")}
