@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; it is written as Parquet to the shared folder
 and read again for the next stage. All but the last return the columns of documents. No stage keeps what
 an earlier one rejected.
+
+Defined cases: null and empty texts fail the rules and go; null ids and null sources are kept like others; of repeated
+rows one stays; extra columns go along to the last stage, which gives counts and digests; an empty table gives no rows.
 """
 
 from __future__ import annotations
