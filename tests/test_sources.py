@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewick.operators import bars
-from candlewick.sources import candles, equity, macro, tables
+from candlewick.sources import candles, equity, macro, shared, tables
 from candlewick.streaming import candles as stream
 
 T0 = 1502928000000
@@ -141,3 +141,28 @@ def test_folders_name_what_files_do_not(spark, tmp_path):
     (tmp_path / "m/series_id=A%20B").mkdir(parents=True)
     (tmp_path / "m/series_id=A%20B/part-0.csv").write_text("date,value\n2020-01-01,1\n")
     assert macro.read(spark, f"{tmp_path}/m").first()[:1] in (("A B",), ("A%20B",))
+
+
+def test_the_shared_folder_must_be_named_off_one_machine():
+    class Session:
+        def __init__(self, master, found=None):
+            self.sparkContext = self
+            self.conf = self
+            self.master, self.found = master, found
+
+        def get(self, key, default):
+            return self.found
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, path):
+            self.found = path
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://https://x"):
+        with pytest.raises(ValueError, match="shared folder"):
+            shared.shared_dir(Session(master))
+        assert shared.shared_dir(Session(master, "hdfs://x/y")) == "hdfs://x/y"
+    for master in ("local", "local[8]", "local[*]"):
+        one = Session(master)
+        assert shared.shared_dir(one) == one.found
