@@ -59,6 +59,26 @@ def chunked(df: DataFrame, op: Callable[[DataFrame], DataFrame], chunk: Column,
     return done.drop("_own", "_chunk", "_lead")
 
 
+def running(df: DataFrame, chunk: Column, **totals: tuple[str, Column]) -> DataFrame:
+    """df with running totals from each series' start, name=(``sum`` or ``max``, column), by chunks of time.
+
+    Each chunk runs by itself; only the chunks' totals meet by instrument, and what stands before a chunk is joined to it.
+    """
+    by, whole = Window.partitionBy(KEY, "_chunk").orderBy(TIME), Window.partitionBy(KEY).orderBy("_chunk")
+    own = df.withColumns({"_chunk": chunk} | {f"_{n}": c for n, (_, c) in totals.items()})
+    agg = {"sum": F.sum, "max": F.max}
+    ends = own.groupBy(KEY, "_chunk").agg(*(agg[kind](f"_{n}").alias(f"_{n}") for n, (kind, _) in totals.items()))
+    before = ends.select(KEY, "_chunk", *(agg[kind](f"_{n}").over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_before_{n}") for n, (kind, _) in totals.items()))
+    local = own.withColumns({f"_{n}": agg[kind](f"_{n}").over(by.rowsBetween(Window.unboundedPreceding, 0)) for n, (kind, _) in totals.items()})
+    zero = F.lit(0.0)
+    both = {
+        "sum": lambda a, b: F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, zero) + F.coalesce(b, zero)),
+        "max": F.greatest,  # of those that are not null
+    }
+    got = local.join(before, [KEY, "_chunk"]).withColumns({n: both[kind](F.col(f"_{n}"), F.col(f"_before_{n}")) for n, (kind, _) in totals.items()})
+    return got.drop("_chunk", *(f"_{n}" for n in totals), *(f"_before_{n}" for n in totals))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null where b is zero."""
     return F.try_divide(a, b)

@@ -287,6 +287,8 @@ _ind("i2_ema_chunked", lambda b: E.ewm_chunked(b, "close", 2 / 21, "ema", F.date
 _by_year = lambda op, back: lambda b: chunked(b, op, F.year("ts"), back)
 _ind("i1_sma_chunked", _by_year(ind.sma, 19), ["sma"], 6, _sql["i1_sma"])
 _ind("i15_bollinger_chunked", _by_year(ind.bollinger, 19), ["bb_mid", "bb_upper", "bb_lower", "bb_pct", "bb_width"], 4, _sql["i15_bollinger"])
+_ind("i20_obv_chunked", lambda b: ind.obv_chunked(b, F.year("ts")), ["obv"], 4, _sql["i20_obv"])
+_ind("i21_vwap_chunked", lambda b: ind.vwap_chunked(b, F.year("ts")), ["vwap"], 4, _sql["i21_vwap"])
 _ind("i10_stochastic_chunked", _by_year(ind.stochastic, 15), ["stoch_k", "stoch_d"], 4, _sql["i10_stochastic"])
 
 # ---- returns, risk, features
@@ -297,6 +299,7 @@ _ind("t3_horizons", R.horizons, {f"ret_{p}d": f"close / lag(close, {p}) OVER w -
 _ind("t4_cumulative", R.cumulative, ["cum_ret"], 4, f"WITH {f.BARS} SELECT instrument_id, ts, CASE WHEN row_number() OVER w > 1 THEN round(close / first_value(close) OVER w - 1, 4) END AS cum_ret FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)")
 _ind("t5_rolling_vol", R.rolling_vol, ["vol"], 4, _vol + "vol FROM lr")
 _ind("t6_drawdown", R.drawdown, {"drawdown": f"(close - max(close) {RUN}) / max(close) {RUN}"})
+_ind("t6_drawdown_chunked", lambda b: R.drawdown_chunked(b, F.year("ts")), ["drawdown"], 6, _sql["t6_drawdown"])
 _add("t7_max_drawdown", lambda s, d: _rounded(R.max_drawdown(f.daily_bars(s, d)), 6), f"WITH {f.BARS}, x AS (SELECT instrument_id, (close - max(close) {RUN}) / max(close) {RUN} AS dd FROM bars) SELECT instrument_id, round(min(dd), 6) AS max_drawdown FROM x GROUP BY 1")
 _add("t8_sharpe", lambda s, d: _rounded(R.sharpe(f.daily_bars(s, d)), 6), f"WITH {f.BARS}, {LR} SELECT instrument_id, round(avg(lr) / stddev_samp(lr) * sqrt(252), 6) AS sharpe FROM lr GROUP BY 1")
 _add("t9_sortino", lambda s, d: _rounded(R.sortino(f.daily_bars(s, d)), 6), f"WITH {f.BARS}, {LR} SELECT instrument_id, round(avg(lr) / stddev_samp(lr) FILTER (lr < 0) * sqrt(252), 6) AS sortino FROM lr GROUP BY 1")

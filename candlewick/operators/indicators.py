@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.functions.windows import KEY, TIME, last, ordered, prev, ratio, roll, sofar
+from candlewick.functions.windows import KEY, TIME, chunked, last, ordered, prev, ratio, roll, running, sofar
 from candlewick.operators.ewm import ewm
 
 
@@ -178,6 +178,17 @@ def obv(df: DataFrame) -> DataFrame:
     return df.withColumn("_v", step).withColumn("obv", F.sum("_v").over(sofar())).drop("_v")
 
 
+def obv_chunked(df: DataFrame, chunk: Column) -> DataFrame:
+    """The same for series too long for one task."""
+    signed = chunked(df, lambda b: b.withColumn("_v", F.coalesce(F.signum(F.col("close") - prev("close")), F.lit(0.0)) * F.col("volume")), chunk, 1)
+    return running(signed, chunk, obv=("sum", F.col("_v"))).drop("_v")
+
+
+def vwap_chunked(df: DataFrame, chunk: Column) -> DataFrame:
+    got = running(df, chunk, _pv=("sum", _typical() * F.col("volume")), _vv=("sum", F.col("volume")))
+    return got.withColumn("vwap", ratio(F.col("_pv"), F.col("_vv"))).drop("_pv", "_vv")
+
+
 def vwap(df: DataFrame) -> DataFrame:
     """From the series' start."""
     return df.withColumn("vwap", ratio(F.sum(_typical() * F.col("volume")).over(sofar()), F.sum("volume").over(sofar())))

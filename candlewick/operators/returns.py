@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candlewick.functions.windows import KEY, TIME, corr, last, ordered, prev, ratio, roll, sofar
+from candlewick.functions.windows import KEY, TIME, corr, last, ordered, prev, ratio, roll, running, sofar
 from candlewick.operators.bars import pair
 
 YEAR = 252
@@ -44,6 +44,11 @@ def drawdown(df: DataFrame, x: str = "close", out: str = "drawdown") -> DataFram
     return df.withColumn(out, ratio(F.col(x) - top, top))
 
 
+def drawdown_chunked(df: DataFrame, chunk: Column, x: str = "close", out: str = "drawdown") -> DataFrame:
+    """The same for series too long for one task."""
+    return running(df, chunk, _top=("max", F.col(x))).withColumn(out, ratio(F.col(x) - F.col("_top"), F.col("_top"))).drop("_top")
+
+
 def max_drawdown(df: DataFrame) -> DataFrame:
     return drawdown(df).groupBy(KEY).agg(F.min("drawdown").alias("max_drawdown"))
 
