@@ -35,14 +35,28 @@ def _repeat_words(w: Column) -> Column:
 
 
 def _covered(windows: Column, w: Column) -> Column:
-    """Words that repeated windows cover: equal windows are neighbours when sorted by hash, then words, then place."""
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))))
+    """Words that repeated windows cover.
+
+    Sorted by hash, windows that may be equal are neighbours; of those the words are looked at, and sorted by hash and
+    words, equal windows are neighbours.
+    """
+
+    def neighbours(s: Column, *fields: str) -> Column:
+        def same(x: Column, y: Column) -> Column:
+            alike = x[fields[0]] == y[fields[0]]
+            for f in fields[1:]:
+                alike = alike & (x[f] == y[f])
+            return alike
 
-    def repeated(s: Column) -> Column:
-        same = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
         return F.filter(s, lambda x, k: same(F.get(s, k - 1), x) | same(F.get(s, k + 1), x))
 
-    at = F.sort_array(F.transform(F.element_at(F.transform(F.array(placed), repeated), 1), lambda x: x["i"]))
+    def once(x: Column, f) -> Column:  # f of x, which is computed once
+        return F.element_at(F.transform(F.array(x), f), 1)
+
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    maybe = once(placed, lambda s: neighbours(s, "h"))
+    spelt = F.sort_array(F.transform(maybe, lambda x: F.struct(x["h"], F.get(w, x["i"]).alias("a"), F.get(w, x["i"] + 1).alias("b"), F.get(w, x["i"] + 2).alias("c"), x["i"])))
+    at = F.sort_array(F.transform(once(spelt, lambda s: neighbours(s, "h", "a", "b", "c")), lambda x: x["i"]))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     return F.aggregate(
         at,
