@@ -112,7 +112,7 @@ def _flown(last: bool, ids: str):
     schema = T.StructType.fromDDL(ids)
 
     def fly(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "size", "rid"], kind="stable", na_position="last").reset_index(drop=True)
+        frame = frame.sort_values(["nameless", "doc_id", "size", "rid"], kind="stable").reset_index(drop=True)
         draw = random.Random(zlib.crc32(f"{frame['key'].iat[0]}|{frame['chunk'].iat[0]}|{len(frame)}".encode()))
         order = list(range(len(frame)))
         draw.shuffle(order)
@@ -137,21 +137,24 @@ def _flown(last: bool, ids: str):
 def sample(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """sized (doc_id, source, size, and rid, a name for each row) with source_size, target and copies."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
+    # ids go through pandas as values that are never null, so all their digits stay
+    kind = sized.schema["doc_id"].dataType
+    sized = sized.withColumn("nameless", F.isnull("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast(kind)))
     sized = materialize(sized.withColumn("key", key), "sized")
     goals = targets(sized, weights, most)
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # rows of one id and size share a chunk; where they are more than it should hold, their places part them
-    same = sized.groupBy("key", "doc_id", "size").agg(F.count("*").alias("same")).where(F.col("same") > CHUNK)
-    same = materialize(same.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "same"), "repeated")
+    same = sized.groupBy("key", "nameless", "doc_id", "size").agg(F.count("*").alias("same")).where(F.col("same") > CHUNK)
+    same = materialize(same.select(F.col("key").alias("_key"), F.col("nameless").alias("_none"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "same"), "repeated")
     part = F.when(F.col("same").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("rid"), F.ceil(F.col("same") / CHUNK)))
     units = (
         sized.join(goals, "key")
-        .join(same, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")) & (F.col("_size") == F.col("size")), "left")
+        .join(same, (F.col("_id") == F.col("doc_id")) & (F.col("_none") == F.col("nameless")) & (F.col("_key") == F.col("key")) & (F.col("_size") == F.col("size")), "left")
         .withColumn("times", times)
         .withColumn("whole", F.floor("times"))
         .withColumn("pi", F.col("times") - F.col("whole"))
         .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", part), F.ceil(F.col("n") / CHUNK)))
-        .drop("times", "same", "_id", "_key", "_size")
+        .drop("times", "same", "_id", "_none", "_key", "_size")
     )
     most_left = goals.agg(F.max("n")).first()[0] or 0
     decided = []
@@ -170,7 +173,7 @@ def sample(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
-    return out.withColumn("copies", F.col("whole") + F.round("pi").cast("long"))
+    return out.withColumn("copies", F.col("whole") + F.round("pi").cast("long")).withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
 
 
 def _size(text) -> Column:

@@ -43,12 +43,13 @@ def test_mix_meets_its_targets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 32)
     draw = random.Random(1)
     rows = [(i, " ".join("w" * draw.randint(1, 200)), draw.choice(["a"] * 8 + ["b", "b", "c", "Ä", None]), "x", 1) for i in range(900)]
-    rows += [(None, "a b", "b", "x", 1), (7, None, "a", "x", 1), (5, "q q", "a", "x", 1), (5, "q q", "a", "x", 1), (8, "", "empty", "x", 1)]
+    rows += [(None, "a b", "b", "x", 1), (7, None, "a", "x", 1), (5, "q q", "a", "x", 1), (5, "q q", "a", "x", 1), (8, "", "empty", "x", 1), (2**62 + 1, "a b c", "a", "x", 1)]
     docs = docs_of(spark, rows)
     kept = numbered(docs)
     take = lambda: mixing.sample(kept.select("doc.doc_id", "doc.source", mixing._size("doc.text"), "rid")).toPandas()
     got = take()
     assert len(got) == len(rows) and (got.copies <= 3).all() and (got.copies >= 0).all()
+    assert 2**62 + 1 in {r.doc_id for r in mixing.sample(kept.select("doc.doc_id", "doc.source", mixing._size("doc.text"), "rid")).collect()}
     names = sorted({r[2] for r in rows} - {None}) + [None]
     totals = [sum(len((r[1] or "").split()) for r in rows if r[2] == s) for s in names]
     goal = filled(totals, [1 + i % 3 for i in range(len(names))])
