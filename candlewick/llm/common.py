@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None, compression: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
     It cuts the lineage: a lost executor costs its running tasks, not the work behind this table. instead_of: a
@@ -27,7 +27,7 @@ def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -
     """
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if instead_of is not None:
         for old in {x.rpartition("/")[0] for x in instead_of.inputFiles()}:
             delete(spark, old)

@@ -233,8 +233,8 @@ def _compared(frame: pd.DataFrame) -> pd.DataFrame:
 GROUP = ["sid", "root", "label", "hashes", "first", "second", "side"]
 
 
-def _compare(dealt: DataFrame) -> DataFrame:
-    deal = F.pmod(F.xxhash64("root", "first", "second"), F.lit(8 * parts(dealt.sparkSession)))
+def _compare(dealt: DataFrame, deals: int) -> DataFrame:
+    deal = F.pmod(F.xxhash64("root", "first", "second"), F.lit(deals))
     return dealt.select(*GROUP, deal.alias("deal")).groupBy("deal").applyInPandas(_compared, "a long, b long")
 
 
@@ -251,10 +251,12 @@ def _side(first: Column | str, second: Column | str, side: int) -> list[Column]:
 def links(members: DataFrame) -> DataFrame:
     """Links (a, b) that connect what the alike sets of each block connect; members: sid, root, hashes."""
     sizes = members.groupBy("root").agg(_splits(F.count("*"), F.sum(F.size("hashes"))).alias("splits"))
+    # many small groups share a task's frame, of about LOAD hashes, however many there are
+    deals = max(8 * parts(members.sparkSession), (members.agg(F.sum(F.size("hashes"))).first()[0] or 0) // LOAD)
     members = members.join(materialize(sizes, "sizes"), "root").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("splits")))
     # within splits: for nearly all blocks that is all there is
     alone = members.withColumn("label", F.col("sid"))
-    found = materialize(_compare(alone.select(*_side("mine", "mine", 0))), "links")
+    found = materialize(_compare(alone.select(*_side("mine", "mine", 0)), deals), "links")
     large = members.where("splits > 1")
     if not large.limit(1).count():
         return found
@@ -274,7 +276,7 @@ def links(members: DataFrame) -> DataFrame:
     hubs = rows.join(ranked(rows).select(F.col("root").alias("r"), F.col("label").alias("l")), (F.col("root") == F.col("r")) & (F.col("sid") == F.col("l")), "left_semi")
     everywhere = hubs.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
     held = everywhere.select(*_side("split", F.lit(-1), 0)).unionByName(rows.select(*_side("mine", F.lit(-1), 1)))
-    found = materialize(found.unionByName(_compare(held)), "links")
+    found = materialize(found.unionByName(_compare(held, 2 * deals)), "links")
     # then all sets that are not with the most against all others
     rows = labelled(found)
     most = materialize(ranked(rows).where("place = 1").select("root", F.col("label").alias("most")), "most")
@@ -284,7 +286,7 @@ def links(members: DataFrame) -> DataFrame:
     rest = rest.join(few, "root").withColumn("part", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("few"))).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
     against = rows.join(few, "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("few") - 1)))
     held = rest.select(*_side("part", "split", 0)).unionByName(against.select(*_side("part", "mine", 1)))
-    return found.unionByName(_compare(held))
+    return found.unionByName(_compare(held, 4 * deals))
 
 
 def stage(spark, docs, sf_dir):
