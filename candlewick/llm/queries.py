@@ -24,5 +24,6 @@ def oracle_sql() -> dict:
     return {
         "op5_url_filter": url_filter.oracle_sql(),
         "op7_quality_rules": quality_rules.ORACLE_SQL,
+        "op9_suffix_dedup": suffixes.ORACLE_SQL,
         "op10_secret_scan": secrets.oracle_sql(),
     }

@@ -14,13 +14,15 @@ anchor's suffix, with up to LEFT bytes before it.
    at one offset are equal exactly where both common prefixes are long enough, so each run gives its smallest doc_id.
 5. A chunk marks its windows whose smallest doc_id is below their own and cuts the bytes they cover.
 
-All steps are one job; the texts are shuffled once and that shuffle is read three times. Chunks hold about DEAL bytes
+All steps are one job; the texts are shuffled once and that shuffle is read four times. Chunks hold about DEAL bytes
 each and buckets are as many, so a task's memory stays as the data grow, whatever the session's partitions; rows are
 dealt by their place, so repeated ones part. A hash that
-more than HOT chunks have is hot: its surroundings would all meet in one bucket, and nearly all are unlike where a
-short line stands in very many documents. Of hot hashes the windows are sent instead, each distinct one of a chunk
-once and to a bucket of its own hash; equal windows have equal anchors and so are all sent that way. A window that
-very many documents share is one row for each chunk. Hashes only bring candidates together: bytes are compared.
+very many chunks have with unlike surroundings is hot: these would all meet in one bucket, as where a short line stands
+in very many documents. (Copies of a document are alike, one row a chunk, however many.) A chunk tells eight bits of the
+least of a hash's surroundings, by their hashes; a hash with more than HOT of the 256 signs is hot. Of hot hashes the windows are looked at one by one: their hashes go to buckets
+of their own, as those of anchors in steps 1 and 2, and only windows that several have are sent then, each distinct one
+of a chunk once. Equal windows have equal anchors and so are all sent that way. A window that very many documents share
+is one row for each chunk. Hashes only bring candidates together: bytes are compared.
 
 Defined cases: a null text is empty; a null doc_id is above all others, so its bytes go if any numbered document
 has them, and never vice versa; rows with one doc_id are one document and don't touch each other; an empty table
@@ -43,9 +45,9 @@ GRAM = 20
 LEFT = LENGTH - GRAM  # an anchor's window starts at most so far before it
 AROUND = LEFT + LENGTH
 SHALLOW = 24
-DEAL = 12 << 20  # bytes of text in a chunk
-HOT = 64  # an anchor's hash that more chunks have is hot
-LAST = np.iinfo(np.int64).max  # stands for a null doc_id
+DEAL = 6 << 20  # bytes of text in a chunk
+HOT = 128  # of 256 signs
+LAST = int(np.iinfo(np.int64).max)  # stands for a null doc_id
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -98,9 +100,10 @@ class Chunk:
 
     def __init__(self, frame: pd.DataFrame) -> None:
         texts = [x.encode() if isinstance(x, str) else b"" for x in frame["text"]]
-        ids = np.array([LAST if pd.isna(x) else int(x) for x in frame["doc_id"]], dtype=np.int64)
+        ids = frame["doc_id"].to_numpy(dtype=np.int64)
+        nameless = frame["nameless"].to_numpy(dtype=bool) if "nameless" in frame else np.zeros(len(ids), dtype=bool)
         order = sorted(range(len(texts)), key=lambda k: (ids[k], texts[k]))
-        self.texts, self.ids = [texts[k] for k in order], ids[order]
+        self.texts, self.ids, self.nameless = [texts[k] for k in order], ids[order], nameless[order]
         part = b"\xff" * AROUND
         if sum(map(len, self.texts)) + AROUND * (len(texts) + 1) >= 1 << 32:
             raise OverflowError("a chunk's places are numbers of 32 bits: deal smaller chunks")
@@ -131,10 +134,43 @@ class Anchors:
         self.of = np.cumsum(new) - 1  # for each anchor its distinct hash
         self.tail = h[self.first].astype(np.uint32)
         self.bucket = bucket[order][self.first].astype(np.int64)
+        around = string_hashes(chunk.data, self.place - LEFT, AROUND)
+        self.signs = (np.minimum.reduceat(around, self.first) >> np.uint64(56)).astype(np.uint8) if len(h) else np.zeros(0, dtype=np.uint8)
         last = np.append(self.first[1:], len(h)) - 1
         self.several = self.row[self.first] != self.row[last] if len(h) else np.zeros(0, dtype=bool)
 
 
+class Windows:
+    """The windows of a chunk's hot anchors by hash; distinct hashes are grouped by bucket, each bucket's in order."""
+
+    def __init__(self, chunk: Chunk, anchors_: Anchors, hot: np.ndarray, buckets: int) -> None:
+        starts = np.zeros(len(chunk.data), dtype=bool)
+        for o in range(LEFT + 1):
+            starts[anchors_.place[hot[anchors_.of]] - o] = True
+        place = np.flatnonzero(starts & chunk.valid)
+        h = string_hashes(chunk.data, place, LENGTH)
+        bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+        order = np.lexsort((h, bucket))
+        self.place, h = place[order], h[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[1:] != h[:-1]
+        first = np.flatnonzero(new)
+        self.of = np.cumsum(new) - 1
+        self.tail = h[first].astype(np.uint32)
+        self.bucket = bucket[order][first].astype(np.int64)
+        self.several = np.diff(np.append(first, len(h))) > 1
+
+
+def _marks(masks: pd.DataFrame, kind: int, name: str, by_bucket: np.ndarray) -> np.ndarray:
+    """The bits of one kind that came back for the distinct hashes whose buckets are given."""
+    own = masks[masks["kind"] == kind]
+    mask_of = dict(zip(own["bucket"].tolist(), own[name], strict=True))
+    marks = np.zeros(len(by_bucket), dtype=bool)
+    for b, i, j in _runs(by_bucket):
+        marks[i:j] = np.unpackbits(np.frombuffer(mask_of[b], dtype=np.uint8), count=j - i)
+    return marks
+
+
 def _runs(label: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(label, start, end) of each run."""
     if len(label):
@@ -297,29 +333,46 @@ def earlier(around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return bits
 
 
-def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    n = len(data) - LENGTH + 1
+def string_hashes(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the strings of ``width`` bytes that start there."""
+    n = len(data) - width + 1
     h = np.zeros(len(starts), dtype=np.uint64)
-    for i, k in enumerate([*range(0, LENGTH - 7, 8), LENGTH - 8]):
+    for i, k in enumerate([*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]):
         h = (h ^ np.ndarray(n, dtype="<u8", buffer=data, offset=k, strides=(1,))[starts]) * MIX[i % 4]
         h ^= h >> np.uint64(29)
     return h * MIX[3] ^ h >> np.uint64(32)
 
 
-# ---- the five steps
+# ---- the steps
 
-HASHES = "chunk long, bucket long, tails binary, several binary"
+ANCHOR, WINDOW = 0, 1  # whose hashes an answer is about
+HASHES = "chunk long, bucket long, tails binary, several binary, signs binary"
 SHARED = "chunk long, bucket long, shared binary, hot binary"
 PLACES = "chunk long, bucket long, wide int, around binary, ids binary, counts binary, places binary, later binary"
 FOUND = "chunk long, bucket long, places binary, offsets binary"
-KEPT = "doc_id long, text string, kept binary, n_bytes long, spans array<struct<start:long,end:long>>"
+KEPT = "doc_id long, nameless boolean, text string, kept binary, n_bytes long, spans array<struct<start:long,end:long>>"
 
 
 def _send_hashes(buckets: int):
     def send(frame: pd.DataFrame) -> pd.DataFrame:
         a = Anchors(Chunk(frame), buckets)
-        rows = [(int(frame["chunk"].iat[0]), b, a.tail[i:j].tobytes(), np.packbits(a.several[i:j]).tobytes()) for b, i, j in _runs(a.bucket)]
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "tails", "several"])
+        rows = [(int(frame["chunk"].iat[0]), b, a.tail[i:j].tobytes(), np.packbits(a.several[i:j]).tobytes(), a.signs[i:j].tobytes()) for b, i, j in _runs(a.bucket)]
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "tails", "several", "signs"])
+
+    return send
+
+
+def _send_windows(buckets: int):
+    def send(docs: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(docs) and len(masks):
+            chunk = Chunk(docs)
+            a = Anchors(chunk, buckets)
+            hot = _marks(masks, ANCHOR, "hot", a.bucket)
+            if hot.any():
+                w = Windows(chunk, a, hot, buckets)
+                rows = [(int(docs["chunk"].iat[0]), b, w.tail[i:j].tobytes(), np.packbits(w.several[i:j]).tobytes(), bytes(j - i)) for b, i, j in _runs(w.bucket)]
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "tails", "several", "signs"])
 
     return send
 
@@ -331,7 +384,9 @@ def _find_shared(frame: pd.DataFrame) -> pd.DataFrame:
     values, of, counts = np.unique(every, return_inverse=True, return_counts=True)
     shared = counts > 1
     shared[of[np.concatenate(several)]] = True
-    shared, hot = shared[of], (counts > HOT)[of]
+    signs = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in frame["signs"]])
+    unlike = np.bincount(np.unique(of.astype(np.int64) * 256 + signs) // 256, minlength=len(values))
+    shared, hot = shared[of], (unlike > HOT)[of]
     out, at = [], 0
     for t in tails:
         out.append([np.packbits(x[at : at + len(t)]).tobytes() for x in (shared, hot)])
@@ -353,27 +408,19 @@ def _send_places(buckets: int):
         if len(docs) and len(masks):
             chunk = Chunk(docs)
             a = Anchors(chunk, buckets)
-            shared, hot = np.zeros(len(a.tail), dtype=bool), np.zeros(len(a.tail), dtype=bool)
-            for name, marks in (("shared", shared), ("hot", hot)):
-                mask_of = dict(zip(masks["bucket"].tolist(), masks[name], strict=True))
-                for b, i, j in _runs(a.bucket):
-                    marks[i:j] = np.unpackbits(np.frombuffer(mask_of[b], dtype=np.uint8), count=j - i)
+            shared, hot = _marks(masks, ANCHOR, "shared", a.bucket), _marks(masks, ANCHOR, "hot", a.bucket)
             on = (shared & ~hot)[a.of]
             place, row, bucket = a.place[on], a.row[on], a.bucket[a.of[on]]
             windows = np.lib.stride_tricks.sliding_window_view(chunk.data, AROUND)
             for b, i, j in _runs(bucket):
                 add(b, windows[place[i:j] - LEFT], place[i:j], chunk.ids[row[i:j]])
-            # windows of hot anchors go by themselves, dealt by their own hash
-            starts = np.zeros(len(chunk.data), dtype=bool)
-            for o in range(LEFT + 1):
-                starts[a.place[hot[a.of]] - o] = True
-            place = np.flatnonzero(starts & chunk.valid)
-            bucket = (window_hashes(chunk.data, place) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            place, bucket = place[order], bucket[order]
-            windows = np.lib.stride_tricks.sliding_window_view(chunk.data, LENGTH)
-            for b, i, j in _runs(bucket):
-                add(b, windows[place[i:j]], place[i:j], chunk.ids[chunk.row_of(place[i:j])])
+            if hot.any():  # their windows go by themselves, those that several have
+                w = Windows(chunk, a, hot, buckets)
+                on = _marks(masks, WINDOW, "shared", w.bucket)[w.of]
+                place, bucket = w.place[on], w.bucket[w.of[on]]
+                windows = np.lib.stride_tricks.sliding_window_view(chunk.data, LENGTH)
+                for b, i, j in _runs(bucket):
+                    add(b, windows[place[i:j]], place[i:j], chunk.ids[chunk.row_of(place[i:j])])
         rows = []  # one for each bucket: its ``wide`` surroundings, then its windows
         for b, both in held.items():
             strings, ids, counts, at, later = zip(*both, strict=True)
@@ -427,24 +474,29 @@ def _cut(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         first = np.flatnonzero(new)
         begin, end = at[first], at[np.append(first[1:], len(at))[: len(first)] - 1] + LENGTH
         of = np.searchsorted(begin, chunk.starts), np.searchsorted(begin, chunk.ends)
-        for t, i, a, j, k in zip(chunk.texts, chunk.ids.tolist(), chunk.starts.tolist(), *(x.tolist() for x in of), strict=True):
+        for t, i, none, a, j, k in zip(chunk.texts, chunk.ids.tolist(), chunk.nameless.tolist(), chunk.starts.tolist(), *(x.tolist() for x in of), strict=True):
             spans = [(s - a, e - a) for s, e in zip(begin[j:k].tolist(), end[j:k].tolist(), strict=True)]
             edges = [0, *(x for s in spans for x in s), len(t)]
             kept = b"".join(t[edges[x] : edges[x + 1]] for x in range(0, len(edges), 2))
-            rows.append((None if i == LAST else i, t.decode(), kept, len(t), [{"start": s, "end": e} for s, e in spans]))
-    return pd.DataFrame(rows, columns=["doc_id", "text", "kept", "n_bytes", "spans"]).astype({"doc_id": "Int64"})
+            rows.append((i, none, t.decode(), kept, len(t), [{"start": s, "end": e} for s, e in spans]))
+    return pd.DataFrame(rows, columns=["doc_id", "nameless", "text", "kept", "n_bytes", "spans"])
 
 
 def repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept[, text]): removed spans of each text's bytes, and the bytes that stay."""
     docs = docs.select("doc_id", "text")
     n = deals(docs, "text", DEAL)
-    texts = numbered(docs).select("doc.doc_id", "doc.text", F.pmod(F.xxhash64("rid"), F.lit(n)).alias("chunk"))
+    # ids go through pandas as numbers that are never null, so all their digits stay
+    own = F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(LAST).cast("long")).alias("doc_id"), F.isnull("doc.doc_id").alias("nameless")
+    texts = numbered(docs).select(*own, "doc.text", F.pmod(F.xxhash64("rid"), F.lit(n)).alias("chunk"))
     hashes = texts.groupBy("chunk").applyInPandas(_send_hashes(n), HASHES)
-    shared = hashes.groupBy("bucket").applyInPandas(_find_shared, SHARED)
-    places = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(_send_places(n), PLACES)
+    shared = hashes.groupBy("bucket").applyInPandas(_find_shared, SHARED).withColumn("kind", F.lit(ANCHOR))
+    windows = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(_send_windows(n), HASHES)
+    both = shared.unionByName(windows.groupBy("bucket").applyInPandas(_find_shared, SHARED).withColumn("kind", F.lit(WINDOW)))
+    places = texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(_send_places(n), PLACES)
     found = places.groupBy("bucket").applyInPandas(_find_earlier, FOUND)
     cut = texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_cut, KEPT)
+    cut = cut.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
     return cut if keep_text else cut.drop("text")
 
 
@@ -452,3 +504,18 @@ def op9_suffix_dedup(spark, sf_dir):
     cut = repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: A table of all strings of 50 bytes; bytes are two hexadecimal digits.
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+g AS (SELECT rid, i FROM w JOIN m USING (s) WHERE least < doc_id OR (doc_id IS NULL AND least IS NOT NULL)),
+n AS (SELECT *, (i - lag(i) OVER (PARTITION BY rid ORDER BY i) > 50)::INT AS new FROM g),
+sp AS (SELECT rid, min(i) AS a, max(i) + 50 AS z FROM (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY rid ORDER BY i) AS k FROM n) GROUP BY rid, k),
+k AS (SELECT rid, sum(z - a)::BIGINT AS removed, count(*) AS spans, [0::BIGINT] || list(z ORDER BY a) AS lz, list(a ORDER BY a) AS la FROM sp GROUP BY rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN la IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(lz) + 1), lambda j: substr(h, 2 * lz[j] + 1, 2 * (coalesce(la[j], length(h) // 2) - lz[j]))), '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""

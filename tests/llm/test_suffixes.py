@@ -75,7 +75,7 @@ def made_rows():
         rows.append((draw.randint(0, 90), text))
     hot = some(300)
     rows += [(200 + i, hot) for i in range(60)] + [(300 + i, hot[:150] + "X" + hot[151:]) for i in range(30)]
-    rows += [(5, rows[3][1]), (5, rows[3][1]), (None, hot), (None, hot), (None, some(300)), (400, None), (401, ""), (402, "short"), (403, "z" * 400), (404, "z" * 120), (-3, hot[10:90])]
+    rows += [(5, rows[3][1]), (5, rows[3][1]), (None, hot), (None, hot), (None, some(300)), (2**62 + 1, some(200)), (400, None), (401, ""), (402, "short"), (403, "z" * 400), (404, "z" * 120), (-3, hot[10:90])]
     return rows
 
 
@@ -126,7 +126,10 @@ def test_a_common_line_does_not_fill_one_bucket(monkeypatch):
     rows, buckets = line_rows(), 16
     chunks = [pd.DataFrame([(k, *r) for r in rows[k::20]], columns=["chunk", "doc_id", "text"]) for k in range(20)]
     hashes = pd.concat([suffixes._send_hashes(buckets)(c) for c in chunks])
-    shared = pd.concat([suffixes._find_shared(g) for _, g in hashes.groupby("bucket")])
+    shared = pd.concat([suffixes._find_shared(g) for _, g in hashes.groupby("bucket")]).assign(kind=suffixes.ANCHOR)
+    look = suffixes._send_windows(buckets)
+    hashes = pd.concat([look(c, shared[shared["chunk"] == k]) for k, c in enumerate(chunks)])
+    shared = pd.concat([shared, *(suffixes._find_shared(g).assign(kind=suffixes.WINDOW) for _, g in hashes.groupby("bucket"))])
     send = suffixes._send_places(buckets)
     places = pd.concat([send(c, shared[shared["chunk"] == k]) for k, c in enumerate(chunks)])
     strings = places["ids"].map(len).groupby(places["bucket"]).sum() // 8
@@ -140,7 +143,10 @@ def test_a_chunk_sends_a_bucket_one_row(monkeypatch):
     rows += [(1000 + i, "".join(draw.choice("nopqrstuvw") for _ in range(300))) for i in range(4)] * 2  # in two chunks: shared, not hot
     chunks = [pd.DataFrame([(k, *r) for r in rows[k::20]], columns=["chunk", "doc_id", "text"]) for k in range(20)]
     hashes = pd.concat([suffixes._send_hashes(buckets)(c) for c in chunks])
-    shared = pd.concat([suffixes._find_shared(g) for _, g in hashes.groupby("bucket")])
+    shared = pd.concat([suffixes._find_shared(g) for _, g in hashes.groupby("bucket")]).assign(kind=suffixes.ANCHOR)
+    look = suffixes._send_windows(buckets)
+    hashes = pd.concat([look(c, shared[shared["chunk"] == k]) for k, c in enumerate(chunks)])
+    shared = pd.concat([shared, *(suffixes._find_shared(g).assign(kind=suffixes.WINDOW) for _, g in hashes.groupby("bucket"))])
     send = suffixes._send_places(buckets)
     places = pd.concat([send(c, shared[shared["chunk"] == k]) for k, c in enumerate(chunks)])
     assert len(places) == len(places.drop_duplicates(["chunk", "bucket"])) and places["wide"].sum() > 0
