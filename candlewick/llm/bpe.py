@@ -71,13 +71,13 @@ def _borders(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = len(codes)
     kind = _classes()[codes]
-    run = np.ones(n, dtype=bool)  # starts of runs of one class
-    run[1:] = kind[1:] != kind[:-1]
-    at = run.copy()
+    part = codes == ord(PART)
+    at = np.ones(n, dtype=bool)  # starts of runs of one class, and of what stands between texts
+    at[1:] = (kind[1:] != kind[:-1]) | part[1:] | part[:-1]
     space = kind == SPACE
     # the last of a run of white space before a word: a blank joins the word, anything else stands alone
     last = np.zeros(n, dtype=bool)
-    last[:-1] = space[:-1] & ~space[1:]
+    last[:-1] = space[:-1] & ~space[1:] & ~part[1:]
     at |= last
     blank = last & (codes == 32)
     after = np.flatnonzero(blank) + 1
@@ -90,7 +90,7 @@ def _borders(text: str) -> np.ndarray:
                 at[i + 1] = False
                 if end < n:
                     at[end] = True
-                    if kind[end] == SPACE and codes[end] == 32 and end + 1 < n and not space[end + 1]:
+                    if kind[end] == SPACE and codes[end] == 32 and end + 1 < n and not space[end + 1] and not part[end + 1]:
                         at[end + 1] = False
                 break
     return np.flatnonzero(at)
@@ -104,6 +104,14 @@ def split(text: str) -> list[str]:
     return [text[a:z] for a, z in zip(at, [*at[1:], len(text)], strict=True)]
 
 
+PART = "\U0010ffff"  # stands between texts that are split together
+
+
+def split_all(texts: list[str]) -> list[str]:
+    """The words of all texts, with a PART between two texts; no text may hold one, or a special token."""
+    return split(PART.join(texts))
+
+
 class Splitter:
     """Words of a text, special tokens being words of their own."""
 
@@ -218,7 +226,18 @@ class Words:
     def __init__(self, texts: list[str], splitter: Splitter, buckets: int) -> None:
         index: dict[str, int] = defaultdict(count().__next__)
         place = index.__getitem__
-        self.codes = [np.array(list(map(place, splitter.words(t))), dtype=np.uint32) for t in texts]
+        self.codes: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+        plain = [k for k, t in enumerate(texts) if t and PART not in t and not any(s in t for s in splitter.special)]
+        for some in _together(plain, texts):  # split together: a step over a long array costs little for each text
+            codes = np.array(list(map(place, split_all([texts[k] for k in some]))), dtype=np.uint32)
+            cuts = np.flatnonzero(codes == index[PART]) if len(some) > 1 else np.zeros(0, dtype=np.int64)
+            for k, a, z in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(codes)], strict=True):
+                self.codes[k] = codes[a:z]
+        for k in set(range(len(texts))) - set(plain):
+            self.codes[k] = np.array(list(map(place, splitter.words(texts[k]))), dtype=np.uint32)
+        self.places = len(index)
+        if not any(PART in t for t in texts):
+            index.pop(PART, None)
         names = sorted(index)
         bucket = np.array([zlib.crc32(w.encode()) % buckets for w in names], dtype=np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -233,6 +252,19 @@ class Words:
                 yield int(self.bucket[a]), a, z
 
 
+def _together(which: list[int], texts: list[str], most: int = 1 << 20) -> Iterator[list[int]]:
+    """Runs of texts of about ``most`` characters."""
+    held, size = [], 0
+    for k in which:
+        held.append(k)
+        size += len(texts[k])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _pack(numbers: list[int]) -> bytes:
     """Numbers in the fewest bytes each that hold them all; the first byte says how many."""
     a = np.array(numbers, dtype=np.uint32)
@@ -292,11 +324,17 @@ def _encode_words(sent):
     return encode
 
 
+def _named(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """rows, whose first column is a doc_id or None: all its digits stay."""
+    frame = pd.DataFrame(rows, columns=columns)
+    return frame.assign(doc_id=pd.array([r[0] for r in rows], dtype="Int64"))
+
+
 def _put_back(sent, buckets: int, whole: bool):
     def put(docs: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
         vocabulary = _vocabulary(sent)
         words = Words(_texts(docs), Splitter(list(vocabulary.special)), buckets)
-        ids_of: list[list[int]] = [[]] * len(words.names)
+        ids_of: list[list[int]] = [[]] * words.places
         by_bucket = {b: (c, i) for b, c, i in zip(coded["bucket"].tolist(), coded["counts"], coded["ids"], strict=True)}
         for b, i, j in words.runs():
             counts, ids = by_bucket[b]
@@ -305,11 +343,11 @@ def _put_back(sent, buckets: int, whole: bool):
             for k, a, z in zip(words.place[i:j], [0, *ends], ends, strict=False):
                 ids_of[k] = ids[a:z]
         out = []
-        names = [None if pd.isna(d) else int(d) for d in docs["doc_id"]]
+        names = [None if none else d for d, none in zip(docs["doc_id"].tolist(), docs["nameless"].tolist(), strict=True)]
         if whole:
             for d, own in zip(names, words.codes, strict=True):
                 out.append((d, list(chain.from_iterable(map(ids_of.__getitem__, own.tolist())))))
-            return pd.DataFrame(out, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
+            return _named(out, ["doc_id", "ids"])
         # digests straight from the words: the ids as digits, the pieces as bytes
         digits = [",".join(map(str, i)) for i in ids_of].__getitem__
         pieces = [vocabulary.decode(i) for i in ids_of].__getitem__
@@ -318,7 +356,7 @@ def _put_back(sent, buckets: int, whole: bool):
             at = own.tolist()
             decoded = b"".join(map(pieces, at)).decode("utf-8", "replace")
             out.append((d, int(number[own].sum()), hashlib.sha256(",".join(map(digits, at)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-        return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+        return _named(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return put
 
@@ -342,7 +380,9 @@ def _coded(docs: DataFrame, path: str | None, whole: bool, schema: str) -> DataF
     docs = docs.select("doc_id", "text")
     n = deals(docs, "text", DEAL)
     sent = _sent(spark, path)
-    texts = numbered(docs).select("doc.doc_id", _squeezed("doc.text").alias("text"), F.pmod(F.xxhash64("rid"), F.lit(n)).alias("chunk"))
+    # ids go through pandas as numbers that are never null, so all their digits stay
+    own = F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.isnull("doc.doc_id").alias("nameless")
+    texts = numbered(docs).select(*own, _squeezed("doc.text").alias("text"), F.pmod(F.xxhash64("rid"), F.lit(n)).alias("chunk"))
     words = texts.groupBy("chunk").applyInPandas(_send_words(sent, n), SENT)
     coded = words.groupBy("bucket").applyInPandas(_encode_words(sent), CODED)
     return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(_put_back(sent, n, whole), schema)

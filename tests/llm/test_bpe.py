@@ -39,6 +39,14 @@ def test_ids_of_any_text(text):
     check(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*PIECES, bpe.PART]), max_size=6).map("".join), max_size=6))
+def test_texts_split_together(texts):
+    words = bpe.Words(texts, SPLITTER, 3)
+    name = dict(zip(words.place, words.names, strict=True))
+    assert [[name[k] for k in own.tolist()] for own in words.codes] == [SPLITTER.words(t) for t in texts]
+
+
 def test_classes_of_all_assigned_code_points():
     chars = [chr(c) for c in range(0x3400) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
     check("".join("a" + c + "a1" + c + "1." + c + ". " + c for c in chars))
@@ -67,11 +75,13 @@ def test_vocabularies_that_begin_alike_are_told_apart(spark, tmp_path):
 
 
 def rows_of(spark):
-    rows = [(1, "It's the <|endoftext|> of\n\n all, isn't it?  "), (2, None), (3, ""), (3, ""), (None, "x " * 400), (5, "<|endoftext|><|endoftext|>"), (6, "été " * 3000 + "🙂"), (1, "other row, same id")]
+    rows = [(1, "It's the <|endoftext|> of\n\n all, isn't it?  "), (2, None), (3, ""), (3, ""), (None, "x " * 400), (5, "<|endoftext|><|endoftext|>"), (6, "été " * 3000 + "🙂"), (1, "other row, same id"), (2**62 + 1, "a large id")]
     return rows, spark.createDataFrame([(d, t, 7, "n") for d, t in rows], "doc_id long, text string, chunk int, n_tokens string")
 
 
-def test_digests_and_ids(spark):
+@pytest.mark.parametrize("each", [bpe.DEAL, 40])
+def test_digests_and_ids(spark, monkeypatch, each):
+    monkeypatch.setattr(bpe, "DEAL", each)
     rows, docs = rows_of(spark)
     want = []
     for d, t in rows:
