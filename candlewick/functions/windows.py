@@ -95,7 +95,7 @@ def no_nan(df: DataFrame) -> DataFrame:
 
 
 def corr(a: str | Column, b: str | Column, over: WindowSpec | None = None) -> Column:
-    """Pearson's correlation of the rows that have both; null where either does not vary, or barely by rounding.
+    """Pearson's correlation of the rows that have both; null where either does not vary.
 
     The built-in one divides by the deviations and so fails, for all groups, where one of them is zero.
     """
@@ -103,5 +103,4 @@ def corr(a: str | Column, b: str | Column, over: WindowSpec | None = None) -> Co
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
     of = (lambda c: c.over(over)) if over is not None else (lambda c: c)
-    flat = (of(F.min(x)) == of(F.max(x))) | (of(F.min(y)) == of(F.max(y)))
-    return F.when(~flat, ratio(of(F.covar_pop(x, y)), of(F.stddev_pop(x)) * of(F.stddev_pop(y))))
+    return ratio(of(F.covar_pop(x, y)), of(F.stddev_pop(x)) * of(F.stddev_pop(y)))

@@ -136,11 +136,12 @@ def rolling_correlation(both: DataFrame, p: int = 60) -> DataFrame:
 def lead_lag(both: DataFrame, most: int = 20) -> DataFrame:
     """(instrument_id, lag, corr) of a with b that many rows later; a null inside makes its lag null."""
     lags = range(-most, most + 1)
-    shifted = both.withColumns({f"_b{k}": F.lead("b", k).over(ordered()) if k >= 0 else F.lag("b", -k).over(ordered()) for k in lags})
-    n = F.count("*")
-    aggs = [F.when(F.count(F.col("a") + F.col(f"_b{k}")) == n - abs(k), corr("a", f"_b{k}")).alias(f"_c{k}") for k in lags]
-    wide = shifted.groupBy(KEY).agg(*aggs)
-    return wide.select(KEY, F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_c{k}").alias("corr")) for k in lags))).alias("x")).select(KEY, "x.*")
+    later = [F.lead("b", k).over(ordered()) if k >= 0 else F.lag("b", -k).over(ordered()) for k in lags]
+    pairs = both.select(KEY, "a", *(c.alias(f"_b{i}") for i, c in enumerate(later)))
+    # one row a lag, summed before the shuffle
+    rows = pairs.select(KEY, "a", F.posexplode(F.array(*(f"_b{i}" for i in range(len(later))))).alias("_i", "b"))
+    got = rows.groupBy(KEY, (F.col("_i") - most).alias("lag")).agg(F.count("*").alias("_n"), F.count(F.col("a") + F.col("b")).alias("_both"), corr("a", "b").alias("corr"))
+    return got.select(KEY, "lag", F.when(F.col("_both") == F.col("_n") - F.abs("lag"), F.col("corr")).alias("corr"))
 
 
 def volume_zscore(df: DataFrame, p: int = 20) -> DataFrame:
