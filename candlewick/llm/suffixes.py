@@ -506,10 +506,11 @@ def op9_suffix_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-#: A table of all strings of 50 bytes; bytes are two hexadecimal digits.
+#: A table of all strings of 50 bytes; bytes are two hexadecimal digits, and texts blocks of 256 bytes and the 49 behind them.
 ORACLE_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT rid, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+b AS (SELECT rid, doc_id, 256 * k AS o, substr(h, 512 * k + 1, 610) AS p FROM (SELECT *, unnest(range(0, length(h) // 512 + 1)) AS k FROM d)),
+w AS (SELECT rid, doc_id, o + j AS i, substr(p, 2 * j + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(256, length(p) // 2 - 49))) AS j FROM b)),
 m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
 g AS (SELECT rid, i FROM w JOIN m USING (s) WHERE least < doc_id OR (doc_id IS NULL AND least IS NOT NULL)),
 n AS (SELECT *, (i - lag(i) OVER (PARTITION BY rid ORDER BY i) > 50)::INT AS new FROM g),
