@@ -69,6 +69,22 @@ def deals(docs: DataFrame, text: str, each: int) -> int:
     return max(parts(docs.sparkSession), -(-total // each))
 
 
+HOT_KEYS = 4096  # at most so many keys can have more than one row of so many
+
+
+def joined_by_key(rows: DataFrame, of_keys: DataFrame, key: str, n: str) -> DataFrame:
+    """rows with the columns of of_keys, which has each key of rows once (null among them) and in ``n`` how many rows
+    have it. Keys with more than one of HOT_KEYS rows are at most HOT_KEYS, so those are broadcast and their rows stay
+    where they are; the others meet in a shuffle."""
+    total = of_keys.agg(F.sum(n)).first()[0] or 0
+    named = of_keys.withColumnRenamed(key, "_key")
+    few, rest = named.where(F.col(n) > total // HOT_KEYS), named.where(F.col(n) <= total // HOT_KEYS)
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_key"))
+    hot = rows.join(F.broadcast(few), same).drop("_key", n)
+    cold = rows.join(F.broadcast(few.select("_key")), same, "left_anti").join(rest, same).drop("_key", n)
+    return hot.unionByName(cold)
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session; work that is dealt out by hand grows with it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import bpe, gif, html_text, mixing, ordinal, quality_rules, secrets, simhash, suffixes, url_filter
+from candlewick.llm import bpe, gif, html_text, mixing, ordinal, quality_rules, secrets, simhash, suffixes, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict:
         "op7_quality_rules": quality_rules.ORACLE_SQL,
         "op9_suffix_dedup": suffixes.ORACLE_SQL,
         "op10_secret_scan": secrets.oracle_sql(),
+        "op13_vector_codes": vector_codes.oracle_sql(),
     }
