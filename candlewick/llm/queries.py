@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import bpe, gif, html_text, mixing, ordinal, quality_rules, secrets, simhash, suffixes, url_filter, vector_codes
+from candlewick.llm import bpe, gif, html_text, mixing, ordinal, quality_rules, secrets, sentence_pieces, simhash, suffixes, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op11_sentence_pieces": sentence_pieces.op11_sentence_pieces,
         "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
