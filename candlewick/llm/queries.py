@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import bpe, gif, html_text, mixing, ordinal, quality_rules, secrets, sentence_pieces, simhash, suffixes, url_filter, vector_codes
+from candlewick.llm import bpe, gif, html_text, mixing, ordinal, phrases, quality_rules, secrets, sentence_pieces, simhash, suffixes, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
         "op11_sentence_pieces": sentence_pieces.op11_sentence_pieces,
+        "op12_phrases": phrases.op12_phrases,
         "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql() -> dict:
         "op7_quality_rules": quality_rules.ORACLE_SQL,
         "op9_suffix_dedup": suffixes.ORACLE_SQL,
         "op10_secret_scan": secrets.oracle_sql(),
+        "op12_phrases": phrases.ORACLE_SQL,
         "op13_vector_codes": vector_codes.oracle_sql(),
     }
