@@ -497,6 +497,31 @@ _results = lambda s, d: S.studies(f.daily_bars(s, d), f.bench(s, d))  # noqa: E7
 _STUDIES = "WITH " + study_sql.studies(f.BARS, ADX, RSI, _ewm, _roll, LR, FLOW) + " "
 _add("q6_studies", lambda s, d: _rounded(_results(s, d), 4))
 _add("q6_study_values", lambda s, d: _rounded(_results(s, d), 4, "instrument_id", "place", "study", "group", "value", "signal", "score"), _STUDIES + study_sql.VALUES)
+
+
+def _json_values(s, d):
+    """The values of the five studies that are maps, field by field."""
+    shape = "hh boolean, hl boolean, signal string, `1m` double, `3m` double, `6m` double, `12m` double, close double, upper double, new_high boolean, vol_surge boolean"
+    rows = _results(s, d).where("value_json is not null").select("instrument_id", "study", F.from_json("value_json", shape).alias("v"))
+    return _rounded(rows.select("instrument_id", "study", *(F.col(f"v.`{c}`").alias(f"v_{c}") for c in ("hh", "hl", "signal", "1m", "3m", "6m", "12m", "close", "upper", "new_high", "vol_surge"))), 3)
+
+
+_add("q6_study_json", _json_values, _STUDIES + study_sql.JSON)
+
+
+def _failing(s, d):
+    """Four added studies: one divides by zero on all instruments, one on even ones, one casts a text on the last one, one is sound."""
+    flag = lambda x: F.struct(F.lit("added").alias("study"), F.lit("mine").alias("group"), x.cast("double").alias("value"), F.lit(None).cast("string").alias("value_json"), F.lit("bull").alias("signal"), F.lit(1.0).alias("score"), F.lit("").alias("note"))
+    odd = (F.col("instrument_id") % 2).cast("double")
+    own = [F.col("n") / (odd - odd), F.lit(1.0) / odd, F.when(F.col("instrument_id") == 7, F.lit("x")).otherwise("5").cast("int"), F.col("n")]
+    return S.studies(f.daily_bars(s, d), f.bench(s, d), which=[*S.registry(), *map(flag, own)])
+
+
+_add(
+    "q5_failed_studies",
+    lambda s, d: _rounded(_failing(s, d), 4, "instrument_id", "place", "study", "group", "value", "signal", "score"),
+    _STUDIES + study_sql.VALUES + " UNION ALL " + study_sql.FAILED,
+)
 _add("q1_report", _flagship, _STUDIES + study_sql.REPORT)
 _add("q7_listing", lambda s, d: S.listing(_results(s, d)).select("instrument_id", "group", "study", "signal", "signal_rank"), _STUDIES + study_sql.LISTING)
 

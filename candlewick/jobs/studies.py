@@ -5,7 +5,9 @@ bar, and its last bars as an array. Every study is an expression on that row, so
 
 A study that fails gives a row of group ``error``, neutral, with the message as its note, and the others go on. The 25
 divide by nothing that may be zero, so they don't fail on flat or short series; added studies may be expressions on
-:func:`facts` or Python functions of an instrument's bars.
+:func:`facts` or Python functions of an instrument's bars. An added expression may fail while the plan is made (then it is an
+error for all instruments) or while it runs, for some instruments only: a division by zero, a cast, an overflow. Each is
+evaluated under a guard of its own, so only the rows on which it raises become error rows, in the same pass.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -258,13 +260,42 @@ def _error(name: str, message: Column) -> Column:
     )
 
 
+RAISED = "raised while it ran"
+
+
+def _guarded(study: Column) -> Column:
+    """The study; null on rows where it raises, in whatever part of it.
+
+    ``try_to_binary`` answers null to anything that its argument raises. The argument stands inside a lambda, as Spark
+    evaluates parts that columns have in common ahead of them, outside of the guard, but none of a lambda's. A study that
+    is null itself is an empty object on the way, and no failure.
+    """
+    packed = F.to_json(F.struct(study.cast(STUDY).alias("s")))
+    tried = F.element_at(F.transform(F.array(F.lit(0)), lambda _: F.try_to_binary(packed, F.lit("utf-8"))), 1)
+    return F.from_json(F.decode(tried, "utf-8"), f"s {STUDY}")
+
+
 def _checked(one: DataFrame, study: Column, place: int) -> Column:
-    """The study, or its error row if it can't be evaluated on these columns."""
+    """The study, or its error row where it can't be evaluated: on these columns, or on a row's values."""
     try:
-        one.select(study.cast(STUDY))
-        return study.cast(STUDY)
+        one.select(_guarded(study))
     except AnalysisException as e:
         return _error(f"study {place}", F.lit(str(e).split("\n")[0])).cast(STUDY)
+    got = _guarded(study)
+    return F.when(got.isNotNull(), got["s"]).otherwise(_error(f"study {place}", F.lit(RAISED)).cast(STUDY))
+
+
+def reasons(bars: DataFrame, which: list[Column], bench: DataFrame | None = None) -> dict[int, str]:
+    """By place in which, what a study that raises says on the first instrument on which it does: a job for each such study."""
+    one, said = facts(bars, bench), {}
+    for place, study in enumerate(which):
+        try:
+            row = one.where(_guarded(study).isNull()).orderBy(KEY).limit(1).select(KEY).first()
+            if row:
+                one.where(F.col(KEY) == row[0]).select(study.cast(STUDY)).collect()
+        except PySparkException as e:
+            said[place] = str(e).split("\n")[0]
+    return said
 
 
 Study = Callable[[pd.DataFrame], dict]
@@ -292,8 +323,8 @@ def python_studies(bars: DataFrame, which: dict[str, Study], first: int = 0) ->
 
 
 def studies(bars: DataFrame, bench: DataFrame | None = None, which: list[Column] | None = None, more: dict[str, Study] | None = None) -> DataFrame:
-    """25 rows an instrument: study, group, value or value_json, signal, score, note; which: other expressions instead,
-    more: Python functions besides."""
+    """25 rows an instrument: study, group, value or value_json, signal, score, note; which: other expressions instead, each
+    under its guard, more: Python functions besides."""
     one = facts(bars, bench)
     own = registry(bench is not None) if which is None else [_checked(one, s, k) for k, s in enumerate(which)]
     got = one.select(KEY, F.posexplode(F.array(*(s.cast(STUDY) for s in own))).alias("place", "s")).select(KEY, "place", "s.*")

@@ -113,6 +113,30 @@ def studies(bars: str, adx: str, rsi: str, ewm: Callable, roll: Callable, return
 
 
 VALUES = 'SELECT instrument_id, place::INT AS place, study, grp AS "group", round(value, 4) AS value, signal, round(score, 4) AS score FROM st'
+#: Added studies: the first fails on all instruments, the second on even ones, the third on instrument 7, the last on none.
+FAILED = """SELECT instrument_id, p::INT AS place, CASE WHEN ok THEN 'added' ELSE 'study ' || p END AS study, CASE WHEN ok THEN 'mine' ELSE 'error' END AS "group", CASE WHEN ok THEN v END::DOUBLE AS value,
+  CASE WHEN ok THEN 'bull' ELSE 'neutral' END AS signal, CASE WHEN ok THEN 1 ELSE 0.5 END::DOUBLE AS score FROM (SELECT instrument_id, p, CASE p WHEN 25 THEN false WHEN 26 THEN instrument_id % 2 = 1 WHEN 27 THEN instrument_id <> 7 ELSE true END AS ok,
+  CASE p WHEN 26 THEN 1 WHEN 27 THEN 5 ELSE n END AS v FROM z, (VALUES (25), (26), (27), (28)) t(p))"""
+_NO = {"hh": "BOOLEAN", "hl": "BOOLEAN", "signal": "VARCHAR", "1m": "DOUBLE", "3m": "DOUBLE", "6m": "DOUBLE", "12m": "DOUBLE", "close": "DOUBLE", "upper": "DOUBLE", "new_high": "BOOLEAN", "vol_surge": "BOOLEAN"}
+
+
+def _map(study: str, least: int, **fields: str) -> str:
+    """A study's map as columns; fields named 1m and so on are given as m1."""
+    own = {k[1:] + "m" if k[0] == "m" else k: v for k, v in fields.items()}
+    return f"SELECT instrument_id, '{study}' AS study, " + ", ".join(f'({own.get(n, "NULL")})::{t} AS "v_{n}"' for n, t in _NO.items()) + f" FROM z WHERE n >= {least}"
+
+
+def _change(p: int, c: str) -> str:
+    return f"CASE WHEN n > {p} THEN round(round_even((close / {c} - 1) * 100, 4), 3) END"
+
+
+JSON = " UNION ALL ".join([
+    _map("HH/HL Structure", 0, hh="hh", hl="hl"),
+    _map("Ichimoku Regime", 80, signal=f"CASE WHEN sa IS NULL OR sb IS NULL THEN 'neutral' ELSE {_side('close > greatest(sa, sb)', 'close < least(sa, sb)')} END"),
+    _map("ROC Multi-Period", 22, m1=_change(21, "c20"), m3=_change(63, "c62"), m6=_change(126, "c125"), m12=_change(252, "c251")),
+    _map("Donchian 52w Breakout", 55, close="round_even(close, 2)", upper="round_even(CASE WHEN n >= 252 THEN h252 ELSE hb END, 2)"),
+    _map("Volume-Confirmed Breakout", 22, new_high="coalesce(close >= top21, false)", vol_surge="coalesce(volume > v21 * 1.5, false)"),
+])
 LISTING = "SELECT instrument_id, grp AS \"group\", study, signal, CASE signal WHEN 'bull' THEN 0 WHEN 'bear' THEN 2 ELSE 1 END AS signal_rank FROM st"
 _INTACT = "grp IN ('trend', 'momentum', 'relative_strength', 'breakout', 'statistical')"
 REPORT = f"""SELECT instrument_id, coalesce(round_even(count(*) FILTER ({_INTACT} AND signal = 'bull') / nullif(count(*) FILTER ({_INTACT}), 0), 3), 0.5) AS momentum_intact_score,

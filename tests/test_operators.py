@@ -187,6 +187,38 @@ def test_a_failed_study_is_a_row(spark):
         assert (got[name].group, got[name].signal, got[name].score, got[name].value) == ("error", "neutral", 0.5, None) and got[name].note.startswith("error: ")
 
 
+def test_studies_that_raise_on_some_rows(spark):
+    rows = [(i, dt.date(2020, 1, 1) + dt.timedelta(days=k), 11.0 + k + i, 9.0 + k, 10.0 + k, 100.0) for i in range(6) for k in range(30)]
+    df = spark.createDataFrame(rows, "instrument_id int, ts date, high double, low double, close double, volume double")
+
+    def flag(x):
+        return F.struct(F.lit("x").alias("study"), F.lit("mine").alias("group"), x.cast("double").alias("value"), F.lit('{"a": "\\"é"}').alias("value_json"), F.lit("bull").alias("signal"), F.lit(1.0).alias("score"), F.lit("fine").alias("note"))
+
+    by = F.col("instrument_id").cast("double") - 2
+    which = [
+        flag(F.lit(1.0) / by),  # raises on one instrument
+        flag(1 / by + 1 / by),  # the same part twice
+        flag(F.lit("x").cast("int")),  # on all
+        flag(F.when(by == 0, F.raise_error(F.lit("no good"))).otherwise(by)),
+        flag(F.pow(F.lit(0.1), by)),  # on none
+        F.when(by > 0, flag(by)),  # null on some, which is no failure
+        flag(F.lit(float("nan"))),
+        studies.registry()[0],
+    ]
+    got = {(r.instrument_id, r.place): r for r in studies.studies(df, which=which).collect()}
+    plain = {(r.instrument_id, r.place): r for r in studies.studies(df).collect()}
+    assert len(got) == 6 * 8
+    failed = {k for k, r in got.items() if r["group"] == "error"}
+    assert failed == {(2, 0), (2, 1), (2, 3), *((i, 2) for i in range(6))}
+    for k in failed:
+        assert (got[k].study, got[k].signal, got[k].score, got[k].value, got[k].note) == (f"study {k[1]}", "neutral", 0.5, None, "error: " + studies.RAISED)
+    assert got[5, 0].value == 1 / 3 and got[5, 1].value == 2 / 3 and got[0, 4].value == 0.1**-2 and got[0, 0].value_json == '{"a": "\\"é"}'
+    assert got[0, 5].study is None and got[3, 5].value == 1 and math.isnan(got[0, 6].value)
+    assert all(tuple(got[i, 7])[2:] == tuple(plain[i, 0])[2:] for i in range(6))
+    said = studies.reasons(df, which)
+    assert set(said) == {0, 1, 2, 3} and "DIVIDE_BY_ZERO" in said[0] and "no good" in said[3]
+
+
 def test_study_notes(spark):
     df = frame(spark, list(np.linspace(50, 200, 300)))
     notes = {r.study: r.note for r in studies.studies(df, df.withColumn("instrument_id", F.lit(9))).collect()}
