@@ -284,6 +284,11 @@ _ind("i17_keltner", ind.keltner, ["kc_mid", "kc_upper", "kc_lower"], 4, f"WITH {
 _ind("i2_ema_chunked", lambda b: E.ewm_chunked(b, "close", 2 / 21, "ema", F.date_trunc("month", "ts").cast("date")), ["ema"], 4, _sql["i2_ema"])
 
 # the same by chunks of time, for series too long for one task
+for _name, _op, _cols in (
+    ("i4_macd", ind.macd_chunked, ["macd", "macd_signal", "macd_hist"]), ("i5_adx", ind.adx_chunked, ["adx", "plus_di", "minus_di"]), ("i9_rsi", ind.rsi_chunked, ["rsi"]),
+    ("i14_tsi", ind.tsi_chunked, ["tsi"]), ("i16_atr", ind.atr_chunked, ["atr"]), ("i17_keltner", ind.keltner_chunked, ["kc_mid", "kc_upper", "kc_lower"]),
+):
+    _ind(f"{_name}_chunked", (lambda op: lambda b: op(b, F.year("ts")))(_op), _cols, 4, _sql[_name])
 _by_year = lambda op, back: lambda b: chunked(b, op, F.year("ts"), back)
 _ind("i1_sma_chunked", _by_year(ind.sma, 19), ["sma"], 6, _sql["i1_sma"])
 _ind("i15_bollinger_chunked", _by_year(ind.bollinger, 19), ["bb_mid", "bb_upper", "bb_lower", "bb_pct", "bb_width"], 4, _sql["i15_bollinger"])

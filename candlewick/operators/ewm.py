@@ -39,41 +39,78 @@ def ewm(df: DataFrame, *means: tuple[Source, float, str]) -> DataFrame:
     return df.groupBy(KEY).applyInPandas(run, schema)
 
 
-def ewm_chunked(df: DataFrame, x: str, alpha: float, name: str, chunk: Column) -> DataFrame:
-    """The same for long series without inner nulls: chunks of time (a month, say) are scanned in parallel.
+# ---- series too long for one task
 
-    The recurrence is linear, so each chunk runs from zero, only the chunks' last values are chained, and
-    what a chunk inherits fades by (1 - alpha) a row.
-    """
-    q = 1 - alpha
 
-    def local(frame: pd.DataFrame) -> pd.DataFrame:
+def _local(means: list[tuple[str, float]]):
+    """A chunk by itself. Behind its first value y1 each mean is P y1 + L, whatever came before the chunk: P is what the chunk's
+    rows leave of the first value, L what they add to it, and T counts the nulls since the last value."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(TIME, kind="stable").reset_index(drop=True)
-        value = frame[x].astype(float)
-        frame["_y"] = pd.concat([pd.Series([0.0]), value.fillna(0.0)]).ewm(alpha=alpha, adjust=False).mean().iloc[1:].to_numpy()
-        seen = value.notna().cumsum()
-        frame["_i"] = seen.astype("int64")
-        first = value.dropna()
-        frame["_first"] = first.iloc[0] if len(first) else None
-        frame["_first"] = frame["_first"].astype(float)
+        for j, (x, alpha) in enumerate(means):
+            value = frame[x].astype(float)
+            known = value.notna()
+            first = known & (known.cumsum() == 1)
+            frame[f"_P{j}"] = scan(first.astype(float).where(known), alpha)
+            frame[f"_L{j}"] = scan(value.mask(first, 0.0), alpha)
+            place = pd.Series(np.arange(len(frame)), dtype="float64")
+            frame[f"_T{j}"] = (place - place.where(known).ffill().fillna(-1.0)).astype("int64")
         return frame
 
-    extra = [T.StructField("_y", T.DoubleType()), T.StructField("_i", T.LongType()), T.StructField("_first", T.DoubleType())]
-    chunked = df.withColumn("_chunk", chunk)
-    done = chunked.groupBy(KEY, "_chunk").applyInPandas(local, T.StructType([*chunked.schema.fields, *extra]))
-
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_chunk").reset_index(drop=True)
-        carry, out = None, []
-        for y, n, first in zip(frame["_last"], frame["_n"], frame["_head"], strict=True):
-            if carry is None or np.isnan(carry):
-                carry = first  # the first value carries itself in: (1 - a) x + a x = x
-            out.append(carry)
-            carry = y + q**n * carry if carry is not None and not np.isnan(carry) else None
-        return pd.DataFrame({KEY: frame[KEY], "_chunk": frame["_chunk"], "_carry": out})
-
-    ends = done.groupBy(KEY, "_chunk").agg(F.max_by("_y", TIME).alias("_last"), F.max("_i").alias("_n"), F.max("_first").alias("_head"))
-    kinds = T.StructType([chunked.schema[KEY], T.StructField("_chunk", chunked.schema["_chunk"].dataType), T.StructField("_carry", T.DoubleType())])
-    carries = ends.groupBy(KEY).applyInPandas(chain, kinds)
-    y = F.when(F.col("_i") > 0, F.col("_y") + F.pow(F.lit(q), "_i") * F.col("_carry"))
-    return done.join(carries, [KEY, "_chunk"]).withColumn(name, y).drop("_chunk", "_y", "_i", "_first", "_carry")
+    return run
+
+
+def _chained(means: list[tuple[str, float]], kinds: list[str]):
+    """Of an instrument's chunks, one row each in time order: what each of them inherits (_in) and its first mean (_y)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_chunk", kind="stable").reset_index(drop=True)
+        out = {KEY: frame[KEY], "_chunk": frame["_chunk"]}
+        for j, (_, alpha) in enumerate(means):
+            y, gap, before, firsts = np.nan, 0, [], []
+            for p, left, trail, lead, x1, n in zip(*(frame[f"_{c}{j}"] for c in ("P", "L", "T", "lead", "first")), frame["_n"], strict=True):
+                before.append(y)
+                if np.isnan(x1):  # no value at all
+                    firsts.append(np.nan)
+                    gap += n
+                    continue
+                weight = (1 - alpha) ** (gap + lead + 1)  # of what was before, aged by the nulls since
+                y1 = x1 if np.isnan(y) else (weight * y + alpha * x1) / (weight + alpha)
+                firsts.append(y1)
+                y, gap = p * y1 + left, trail
+            out |= {f"_in{j}": before, f"_y{j}": firsts}
+        return pd.DataFrame(out)[kinds]
+
+    return run
+
+
+def affine_scan(df: DataFrame, means: list[tuple[str, float, str]], chunk: Column) -> DataFrame:
+    """df with a column for each (source column, alpha, name), as :func:`ewm` gives them, with series cut into chunks of time.
+
+    A step of the recurrence is an affine map of the mean before it, and so is a whole chunk: P y + L. Chunks find theirs in
+    parallel; an instrument's maps, one small row a chunk, are composed in order; then each row applies the mean that its chunk
+    starts with. Nulls in between age a mean's weight, also over the ends of chunks. Means of means are taken by a second call:
+    its chunks lie where they are, so only the composed maps are shuffled again.
+    """
+    pairs = [(x, alpha) for x, alpha, _ in means]
+    js = range(len(means))
+    own = df.withColumn("_chunk", chunk)
+    number = lambda c, t: T.StructField(c, t)
+    extra = [f for j in js for f in (number(f"_P{j}", T.DoubleType()), number(f"_L{j}", T.DoubleType()), number(f"_T{j}", T.LongType()))]
+    done = own.groupBy(KEY, "_chunk").applyInPandas(_local(pairs), T.StructType([*own.schema.fields, *extra]))
+    maps = done.groupBy(KEY, "_chunk").agg(
+        F.count("*").alias("_n"),
+        *(F.max_by(f"_{c}{j}", TIME).alias(f"_{c}{j}") for j in js for c in "PLT"),
+        *(F.count(F.when(F.col(f"_P{j}").isNull(), 1)).alias(f"_lead{j}") for j in js),
+        *(F.min_by(F.col(x).cast("double"), F.when(F.col(x).isNotNull(), F.col(TIME))).alias(f"_first{j}") for j, (x, _) in enumerate(pairs)),
+    )
+    kinds = T.StructType([own.schema[KEY], own.schema["_chunk"], *(number(f"_{c}{j}", T.DoubleType()) for j in js for c in ("in", "y"))])
+    starts = maps.groupBy(KEY).applyInPandas(_chained(pairs, kinds.names), kinds)
+    got = done.join(starts, [KEY, "_chunk"])
+    named = {name: F.when(F.col(f"_P{j}").isNotNull(), F.col(f"_P{j}") * F.col(f"_y{j}") + F.col(f"_L{j}")).otherwise(F.col(f"_in{j}")) for j, (_, _, name) in enumerate(means)}
+    return got.withColumns({n: F.when(~F.isnan(c), c) for n, c in named.items()}).drop("_chunk", *(f"_{c}{j}" for j in js for c in ("P", "L", "T", "in", "y")))
+
+
+def ewm_chunked(df: DataFrame, x: str, alpha: float, name: str, chunk: Column) -> DataFrame:
+    return affine_scan(df, [(x, alpha, name)], chunk)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlewick.functions.windows import KEY, TIME, chunked, last, ordered, prev, ratio, roll, running, sofar
-from candlewick.operators.ewm import ewm
+from candlewick.operators.ewm import affine_scan, ewm
 
 
 def _typical() -> Column:
@@ -41,6 +41,12 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Data
     return got.withColumn("macd", F.col("_fast") - F.col("_slow")).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
 
 
+def macd_chunked(df: DataFrame, chunk: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """The same for series too long for one task, as are the other ``_chunked`` ones; chunk: of a row's time."""
+    got = affine_scan(df, [("close", 2 / (fast + 1), "_fast"), ("close", 2 / (slow + 1), "_slow")], chunk).withColumn("macd", F.col("_fast") - F.col("_slow"))
+    return affine_scan(got, [("macd", 2 / (signal + 1), "macd_signal")], chunk).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
+
+
 def true_range(df: DataFrame, out: str = "tr") -> DataFrame:
     """The first row has high - low."""
     pc = prev("close")
@@ -49,18 +55,32 @@ def true_range(df: DataFrame, out: str = "tr") -> DataFrame:
 
 def adx(df: DataFrame, p: int = 14) -> DataFrame:
     """adx, plus_di and minus_di with span means; the minus movement is held against the plus movement as filtered."""
-    up, down = F.col("high") - prev("high"), prev("low") - F.col("low")
-    moved = true_range(df, "_tr").withColumn("_pdm", F.when((up > down) & (up > 0), up).otherwise(0.0))
-    moved = moved.withColumn("_mdm", F.when((down > F.col("_pdm")) & (down > 0), down).otherwise(0.0))
-    a = 2 / (p + 1)
+    moved, a = _movements(df), 2 / (p + 1)
 
     def dx(f: pd.DataFrame) -> pd.Series:
         plus, minus = 100 * f["_p"] / f["_t"], 100 * f["_m"] / f["_t"]
         return 100 * (plus - minus).abs() / (plus + minus).replace(0, float("nan"))
 
     got = ewm(moved, ("_tr", a, "_t"), ("_pdm", a, "_p"), ("_mdm", a, "_m"), (dx, a, "adx"))
+    return _sides(got).drop("_tr", "_pdm", "_mdm", "_t", "_p", "_m")
+
+
+def _movements(df: DataFrame) -> DataFrame:
+    up, down = F.col("high") - prev("high"), prev("low") - F.col("low")
+    moved = true_range(df, "_tr").withColumn("_pdm", F.when((up > down) & (up > 0), up).otherwise(0.0))
+    return moved.withColumn("_mdm", F.when((down > F.col("_pdm")) & (down > 0), down).otherwise(0.0))
+
+
+def _sides(df: DataFrame) -> DataFrame:
     di = lambda c: 100 * ratio(F.col(c), F.col("_t"))
-    return got.withColumn("plus_di", di("_p")).withColumn("minus_di", di("_m")).drop("_tr", "_pdm", "_mdm", "_t", "_p", "_m")
+    return df.withColumn("plus_di", di("_p")).withColumn("minus_di", di("_m"))
+
+
+def adx_chunked(df: DataFrame, chunk: Column, p: int = 14) -> DataFrame:
+    a = 2 / (p + 1)
+    got = _sides(affine_scan(chunked(df, _movements, chunk, 1), [("_tr", a, "_t"), ("_pdm", a, "_p"), ("_mdm", a, "_m")], chunk))
+    got = got.withColumn("_dx", 100 * ratio(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
+    return affine_scan(got, [("_dx", a, "adx")], chunk).drop("_tr", "_pdm", "_mdm", "_t", "_p", "_m", "_dx")
 
 
 def sar_of(high: list[float], low: list[float], step: float, most: float) -> list[float]:
@@ -106,11 +126,21 @@ def golden_cross(df: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
 
 def rsi(df: DataFrame, p: int = 14, out: str = "rsi") -> DataFrame:
     """50 on the first row; without losses 100 if there were gains, else 50."""
+    return _strength(ewm(_gains(df), ("_g", 1 / p, "_ag"), ("_l", 1 / p, "_al")), out)
+
+
+def _gains(df: DataFrame) -> DataFrame:
     d = F.col("close") - prev("close")
-    moved = df.withColumn("_g", F.greatest(d, F.lit(0.0)) + d * 0).withColumn("_l", F.greatest(-d, F.lit(0.0)) + d * 0)
-    got = ewm(moved, ("_g", 1 / p, "_ag"), ("_l", 1 / p, "_al"))
+    return df.withColumn("_g", F.greatest(d, F.lit(0.0)) + d * 0).withColumn("_l", F.greatest(-d, F.lit(0.0)) + d * 0)
+
+
+def _strength(df: DataFrame, out: str) -> DataFrame:
     value = F.when(F.col("_al") > 0, 100 - 100 / (1 + ratio(F.col("_ag"), F.col("_al")))).when(F.col("_ag") > 0, 100.0).otherwise(50.0)
-    return got.withColumn(out, value).drop("_g", "_l", "_ag", "_al")
+    return df.withColumn(out, value).drop("_g", "_l", "_ag", "_al")
+
+
+def rsi_chunked(df: DataFrame, chunk: Column, p: int = 14, out: str = "rsi") -> DataFrame:
+    return _strength(affine_scan(chunked(df, _gains, chunk, 1), [("_g", 1 / p, "_ag"), ("_l", 1 / p, "_al")], chunk), out)
 
 
 def stochastic(df: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
@@ -141,6 +171,13 @@ def tsi(df: DataFrame, slow: int = 25, fast: int = 13) -> DataFrame:
     return got.withColumn("tsi", 100 * ratio(F.col("_d2"), F.col("_a2"))).drop("_d", "_abs", "_d1", "_d2", "_a1", "_a2")
 
 
+def tsi_chunked(df: DataFrame, chunk: Column, slow: int = 25, fast: int = 13) -> DataFrame:
+    moved = chunked(df, lambda b: b.withColumn("_d", F.col("close") - prev("close")), chunk, 1).withColumn("_abs", F.abs("_d"))
+    a, b = 2 / (slow + 1), 2 / (fast + 1)
+    got = affine_scan(affine_scan(moved, [("_d", a, "_d1"), ("_abs", a, "_a1")], chunk), [("_d1", b, "_d2"), ("_a1", b, "_a2")], chunk)
+    return got.withColumn("tsi", 100 * ratio(F.col("_d2"), F.col("_a2"))).drop("_d", "_abs", "_d1", "_d2", "_a1", "_a2")
+
+
 # ---- volatility
 
 
@@ -156,9 +193,21 @@ def atr(df: DataFrame, p: int = 14, out: str = "atr") -> DataFrame:
     return ewm(true_range(df, "_tr"), ("_tr", 2 / (p + 1), out)).drop("_tr")
 
 
+def atr_chunked(df: DataFrame, chunk: Column, p: int = 14, out: str = "atr") -> DataFrame:
+    return affine_scan(chunked(df, lambda b: true_range(b, "_tr"), chunk, 1), [("_tr", 2 / (p + 1), out)], chunk).drop("_tr")
+
+
+def keltner_chunked(df: DataFrame, chunk: Column, p: int = 20, width: float = 2.0) -> DataFrame:
+    a = 2 / (p + 1)
+    return _channel(affine_scan(chunked(df, lambda b: true_range(b, "_tr"), chunk, 1), [("close", a, "kc_mid"), ("_tr", a, "_atr")], chunk), width)
+
+
+def _channel(df: DataFrame, width: float) -> DataFrame:
+    return df.withColumn("kc_upper", F.col("kc_mid") + width * F.col("_atr")).withColumn("kc_lower", F.col("kc_mid") - width * F.col("_atr")).drop("_tr", "_atr")
+
+
 def keltner(df: DataFrame, p: int = 20, width: float = 2.0) -> DataFrame:
-    got = ewm(true_range(df, "_tr"), ("close", 2 / (p + 1), "kc_mid"), ("_tr", 2 / (p + 1), "_atr"))
-    return got.withColumn("kc_upper", F.col("kc_mid") + width * F.col("_atr")).withColumn("kc_lower", F.col("kc_mid") - width * F.col("_atr")).drop("_tr", "_atr")
+    return _channel(ewm(true_range(df, "_tr"), ("close", 2 / (p + 1), "kc_mid"), ("_tr", 2 / (p + 1), "_atr")), width)
 
 
 def donchian(df: DataFrame, p: int = 20) -> DataFrame:

@@ -59,6 +59,26 @@ def test_ewm_chunks_equal_the_whole_and_nulls_age(spark):
     assert ewm.scan(pd.Series(x, dtype=float), 0.1).tolist()[1:] == pytest.approx([1, 1, aged])
 
 
+@pytest.mark.parametrize("every", [1, 3, 7, 1000])
+def test_scans_of_chunks_equal_whole_ones_with_nulls_anywhere(spark, every):
+    draw = np.random.default_rng(every)
+    rows = []
+    for one in range(5):
+        for k in range(60):
+            x = None if one == 4 or draw.random() < (0, 0.3, 0.7, 0.95, 1)[one] else float(draw.normal())
+            y = None if k < 12 else float(draw.normal())  # nothing in the first chunks
+            rows.append((one, dt.date(2020, 1, 1) + dt.timedelta(days=k), x, y))
+    df = spark.createDataFrame(rows, "instrument_id int, ts date, x double, y double")
+    by = lambda d: sorted(map(tuple, d.select("instrument_id", "ts", "a", "b", "c").collect()), key=lambda r: r[:2])
+    chunk = F.floor(F.datediff("ts", F.lit("2020-01-01").cast("date")) / every)
+    want = by(ewm.ewm(df, ("x", 0.2, "a"), ("y", 0.5, "b"), ("a", 0.3, "c")))
+    got = by(ewm.affine_scan(ewm.affine_scan(df, [("x", 0.2, "a"), ("y", 0.5, "b")], chunk), [("a", 0.3, "c")], chunk))
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2]
+        assert [v is None or math.isnan(v) for v in g[2:]] == [v is None or math.isnan(v) for v in w[2:]]
+        assert [v for v in g[2:] if v is not None] == pytest.approx([v for v in w[2:] if v is not None and not math.isnan(v)], rel=1e-9)
+
+
 def slow_sar(high, low, step=0.02, most=0.2):
     """State by state, as the definition reads."""
     state = {"bull": True, "af": step, "ep": low[0]}
