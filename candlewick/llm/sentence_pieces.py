@@ -9,8 +9,8 @@ it is the encoding of a shorter prefix. So a table with the last token of every
    their order, and looks whether a merge across their border would have come first. Pairs tested are remembered.
 3. From the end of the text the ids are recovered backwards, each token naming the prefix before it.
 
-A text is cut where no merge can cross: before a space that follows something else, and around characters that no longer
-piece holds, such as line ends. Each distinct stretch is encoded once in a task, as long as a table of bounded size remembers
+A text is cut where no merge can cross: before a space that follows something else, between letters and marks, and around
+line ends, each only if no piece has the two characters side by side. Each distinct stretch is encoded once in a task, as long as a table of bounded size remembers
 it; a text is digested stretch by stretch, so a task holds one batch of texts. Nothing is shuffled, and lost tasks run again
 by themselves. The file of pieces has a fixed size and is broadcast.
 
@@ -31,7 +31,6 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import ahocorasick
 import pyarrow as pa
@@ -44,8 +43,9 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # Fixed values: kinds of pieces in the file
 REMEMBERED = 1 << 18  # stretches, and as many pairs, that a task remembers
-STRETCHES = 1 << 16  # stretches of a text that are digested together
+BLOCK = 1 << 20  # characters of a text that are split together
 NEVER = float("inf")
+_BEFORE_SPACE = re.compile(f"[^{SPACE}](?={SPACE})")
 
 
 # ---- the file
@@ -102,6 +102,43 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
 # ---- encoding
 
 
+def _cuts(long: list[str]) -> str:
+    """A pattern of stretches that no merge crosses: between two of them stand characters that no piece has side by side.
+
+    White space that no piece holds stands apart; spaces belong to what follows; ASCII's marks part from all characters but
+    those that some piece has beside a mark, which go with both.
+    """
+    beside = {pair for p in long for pair in zip(p, p[1:], strict=False)}
+    if any(b == SPACE != a for a, b in beside):
+        raise ValueError("a piece goes on past a space")
+    inside = {c for pair in beside for c in pair}
+    apart = re.escape("".join(c for c in "\n\r\t\x0b\x0c" if c not in inside))
+    marks = {chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()}
+    both = {c for pair in beside if marks & set(pair) for c in pair} - marks - {SPACE}
+    mark, shared = f"[{re.escape(''.join(sorted(marks)))}]+", f"[{re.escape(''.join(sorted(both)))}]+" if both else "(?!)"
+    other = f"[^{SPACE}{mark[1:-2]}{re.escape(''.join(sorted(both)))}{apart}]+"
+    run = f"(?:{other}|{mark})"
+    return f"{SPACE}*(?:{run}|{shared}{run}?)(?:{shared}{run}?)*|{SPACE}+" + (f"|[{apart}]+" if apart else "")
+
+
+class Known(dict):
+    """What has been found of stretches. When it is full it starts anew, but takes over what is asked for again until it is
+    full again. Long ones aren't kept."""
+
+    def __init__(self, find) -> None:
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, stretch: str):
+        found = self.old.get(stretch) or self.find(stretch)
+        if len(stretch) < 64:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[stretch] = found
+        return found
+
+
 class Pieces:
     """Automaton, merges and ids of a model."""
 
@@ -111,19 +148,13 @@ class Pieces:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.rank = {p: -self.pieces[i][1] for p, i in self.ids.items()}  # merges of lower rank come first
         self.merges: dict[str, tuple[list, list, list] | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in self.ids:
-            self.automaton.add_word(p)
+        self.pairs: dict[int, bool] = {}
+        self.known = Known(self.of_stretch)
+        self.automaton = ahocorasick.Automaton()
+        for p, i in self.ids.items():
+            self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        long = [p for p in self.ids if len(p) > 1]
-        inside = {c for p in long for c in p}
-        if any(SPACE in p.lstrip(SPACE) for p in long):
-            raise ValueError("a piece goes on past a space")
-        # characters without a part in any merge stand apart: of those, the common ones are worth a cut
-        apart = "".join(c for c in "\n\r\t\x0b\x0c" if c not in inside)
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}{apart}]*|[^{SPACE}{apart}]+" + (f"|[{apart}]+" if apart else ""))
+        self.cut = re.compile(_cuts([p for p in self.ids if len(p) > 1]))
 
     def _merged(self, piece: str) -> tuple[list, list, list] | None:
         """The ranks of a piece's merges in their order, and the symbols at its front and its back before each of them and
@@ -163,49 +194,57 @@ class Pieces:
                 j += 1
 
     def prefixes(self, text: str) -> array:
-        """By place: how long the last token of the prefix that ends there is; 0 for a character that is no piece. Such a
-        character merges with nothing, so what follows it starts anew."""
-        last = array("I", [0]) * len(text)
-        pairs, compatible = self.pairs, self.compatible
-        done = -1
-        for end, size in self.automaton.iter(text):
+        """By place: the last token of the prefix that ends there; -1 behind a character that is no piece. Such a character
+        merges with nothing, so what follows it starts anew."""
+        last = array("i", [-1]) * len(text)
+        known, done = self.pairs.get, -1
+        for end, (token, size) in self.automaton.iter(text):
             if end == done:
                 continue  # this prefix has its token
-            token, before = text[end - size + 1 : end + 1], end - size
-            if before < 0 or not last[before]:
-                fits = self._merged(token) is not None
-            else:
-                pair = text[before - last[before] + 1 : before + 1], token
-                fits = pairs.get(pair)
-                if fits is None:
-                    if len(pairs) >= REMEMBERED:
-                        pairs.clear()
-                    fits = pairs[pair] = compatible(*pair)
+            left = last[end - size] if size <= end else -1
+            fits = known(left << 32 | token)
+            if fits is None:
+                fits = self._fits(left, token)
             if fits:
-                last[end] = size
+                last[end] = token
                 done = end
         return last
 
+    def _fits(self, left: int, token: int) -> bool:
+        """Is the pair compatible, or the token one by itself? Remembered."""
+        right = self.pieces[token][0]
+        fits = self._merged(right) is not None if left < 0 else self.compatible(self.pieces[left][0], right)
+        if len(self.pairs) >= REMEMBERED:
+            self.pairs.clear()
+        self.pairs[left << 32 | token] = fits
+        return fits
+
     def encode(self, stretch: str) -> list[int]:
         """Ids of a stretch, recovered from its end."""
         last, out, end = self.prefixes(stretch), [], len(stretch)
         while end:
-            size = last[end - 1]
-            if size:
-                out.append(self.ids[stretch[end - size : end]])
-                end -= size
+            token = last[end - 1]
+            if token >= 0:
+                out.append(token)
+                end -= len(self.pieces[token][0])
             else:
                 out += [self.byte_ids[b] for b in reversed(stretch[end - 1].encode())]
                 end -= 1
         out.reverse()
         return out
 
-    def stretches(self, text: str) -> Iterator[str]:
-        """Parts of a text with its leading space that no merge crosses; joined, they are the text with ``▁`` for spaces."""
-        return (m[0] for m in self.cut.finditer(SPACE + text.replace(" ", SPACE))) if text else iter(())
+    def stretches(self, text: str) -> Iterator[list[str]]:
+        """Parts of a text with its leading space that no merge crosses, those of about BLOCK characters together; joined,
+        they are the text with ``▁`` for spaces."""
+        whole, at = (SPACE + text.replace(" ", SPACE)) if text else "", 0
+        while at < len(whole):
+            end = _BEFORE_SPACE.search(whole, at + BLOCK) if len(whole) > at + BLOCK else None
+            upto = end.start() + 1 if end else len(whole)
+            yield self.cut.findall(whole, at, upto)
+            at = upto
 
     def text_ids(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.encode, self.stretches(text))))
+        return [i for some in self.stretches(text) for stretch in some for i in self.encode(stretch)]
 
     # ---- decoding
 
@@ -241,30 +280,22 @@ class Pieces:
 
     # ---- whole texts
 
-    def of_stretch(self, stretch: str) -> tuple[int, str, bytes]:
-        """How many ids a stretch has, the ids as digits, and their bytes; remembered."""
-        found = self.known.get(stretch)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = self.encode(stretch)
-            found = len(ids), ",".join(map(str, ids)), self.raw(ids)
-            if len(stretch) < 64:
-                self.known[stretch] = found
-        return found
+    def of_stretch(self, stretch: str) -> tuple[str, bytes]:
+        """The ids of a stretch as digits, and the text that they stand for. Whole characters go into a stretch, so that its
+        bytes are UTF-8 whatever stands beside it."""
+        ids = self.encode(stretch)
+        return ",".join(map(str, ids)), self.raw(ids).decode().replace(SPACE, " ").encode()
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them."""
-        n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-        stretches, first = self.stretches(text), True
-        while some := list(islice(stretches, STRETCHES)):
-            numbers, digits, raw = zip(*map(self.of_stretch, some), strict=True)
-            n += sum(numbers)
-            ids.update(("" if first else ",").encode() + ",".join(digits).encode())
-            # whole characters go into a stretch, so its bytes are UTF-8; the first is the space that was added
-            joined = b"".join(raw).decode()
-            decoded.update((joined[1:] if first else joined).replace(SPACE, " ").encode())
-            first = False
+        n, ids, decoded, comma = 0, hashlib.sha256(), hashlib.sha256(), b""
+        for some in self.stretches(text):
+            digits, texts = zip(*map(self.known.__getitem__, some), strict=True)
+            joined, out = ",".join(digits).encode(), b"".join(texts)
+            n += joined.count(b",") + 1
+            ids.update(comma + joined)
+            decoded.update(out if comma else out[1:])  # the first is the space that was added
+            comma = b","
         return n, ids.hexdigest(), decoded.hexdigest()
 
 

@@ -60,11 +60,16 @@ def test_compatible_pairs_are_those_that_encode_to_themselves():
         assert OWN.compatible(a, b) == (LIBRARY.encode("\n" + (a + b).replace(S.SPACE, " "))[2:] == ids)
 
 
+def test_no_piece_crosses_a_cut():
+    for p in OWN.ids:
+        assert OWN.cut.findall(p) == [p], p
+
+
 def test_very_long_words_and_texts(monkeypatch):
     draw = random.Random(1)
     for letters in ("a", "ab", "etaoinshrdlu", " ", "漢ａ", "\n "):
         check("".join(draw.choice(letters) for _ in range(20_000)))
-    monkeypatch.setattr(S, "STRETCHES", 3)
+    monkeypatch.setattr(S, "BLOCK", 7)
     monkeypatch.setattr(S, "REMEMBERED", 5)
     check("a few words of a text, and then\nsome more of them " * 50)
     began = time.perf_counter()
