@@ -35,12 +35,12 @@ def prev(x: str | Column, k: int = 1, *keys: str) -> Column:
     return F.lag(x, k).over(ordered(*keys))
 
 
-def chunked(df: DataFrame, op: Callable[[DataFrame], DataFrame], chunk: Column, back: int) -> DataFrame:
-    """op(df) for an op whose windows look back ``back`` rows at most, with long series cut into chunks of time.
+def with_leads(df: DataFrame, chunk: Column, back: int) -> DataFrame:
+    """df cut into chunks of time, each led by copies of the ``back`` rows before it.
 
-    Windows by instrument alone put a whole series into one task. Here each chunk (a month, say) is a series of its own,
-    led by copies of the ``back`` rows before it, which are dropped afterwards. Rows are numbered within chunks, and only
-    the chunks' counts meet by instrument. The copies are few where chunks are long against ``back``.
+    Each chunk (a month, say) is a series of its own, under a name of its own in place of the instrument, which is ``_own``;
+    ``_lead`` tells the copies, ``_place`` is a row's number in the whole series, from 0. Rows are numbered within chunks, and
+    only the chunks' counts meet by instrument. The copies are few where chunks are long against ``back``.
     """
     own = df.withColumn("_chunk", chunk).withColumn("_own", F.col(KEY))
     by = Window.partitionBy("_own").orderBy("_chunk")
@@ -52,10 +52,18 @@ def chunked(df: DataFrame, op: Callable[[DataFrame], DataFrame], chunk: Column,
     # the last rows of each chunk lead those chunks that begin within ``back`` rows of them
     tails = placed.where(F.col("_place") >= F.col("_from") + F.col("_count") - back).drop("_chunk", "_from", "_count")
     next_ones = spans.select(F.col("_own").alias("_of"), "_chunk", "_from")
-    led = tails.join(next_ones, (F.col("_own") == F.col("_of")) & (F.col("_from") > F.col("_place")) & (F.col("_from") <= F.col("_place") + back)).drop("_of", "_from", "_place")
-    rows = placed.drop("_from", "_count", "_place").withColumn("_lead", F.lit(False)).unionByName(led.withColumn("_lead", F.lit(True)))
-    named = rows.withColumn(KEY, F.concat_ws("#", F.col("_own").cast("string"), F.col("_chunk").cast("string")))
-    done = op(named).where("not _lead").withColumn(KEY, F.col("_own"))
+    led = tails.join(next_ones, (F.col("_own") == F.col("_of")) & (F.col("_from") > F.col("_place")) & (F.col("_from") <= F.col("_place") + back)).drop("_of", "_from")
+    rows = placed.drop("_from", "_count").withColumn("_lead", F.lit(False)).unionByName(led.withColumn("_lead", F.lit(True)))
+    return rows.withColumn(KEY, F.concat_ws("#", F.col("_own").cast("string"), F.col("_chunk").cast("string")))
+
+
+def chunked(df: DataFrame, op: Callable[[DataFrame], DataFrame], chunk: Column, back: int) -> DataFrame:
+    """op(df) for an op whose windows look back ``back`` rows at most, with long series cut into chunks of time.
+
+    Windows by instrument alone put a whole series into one task; here each chunk is a series of its own, and the rows that
+    lead it are dropped afterwards.
+    """
+    done = op(with_leads(df, chunk, back).drop("_place")).where("not _lead").withColumn(KEY, F.col("_own"))
     return done.drop("_own", "_chunk", "_lead")
 
 

@@ -17,6 +17,7 @@ from candlewick.operators import backtest as bt
 from candlewick.operators import bars as B
 from candlewick.operators import ewm as E
 from candlewick.operators import indicators as ind
+from candlewick.operators import lagged as L
 from candlewick.operators import lookups as look
 from candlewick.operators import metrics as M
 from candlewick.operators import returns as R
@@ -386,7 +387,71 @@ _add(
 )
 _add("m2_rolling_beta", lambda s, d: _rounded(TS.rolling_beta(_pair(s, d)), 4, *ID, "beta"), f"WITH {f.BARS}, {PAIR} SELECT instrument_id, ts, round(CASE WHEN count(*) {_frame(60)} = 60 THEN covar_samp(a, b) {_frame(60)} / nullif(var_pop(b) {_frame(60)}, 0) END, 4) + 0.0 AS beta FROM pair")
 _add("m3_adf", lambda s, d: _rounded(TS.adf_test(f.daily_bars(s, d)), 6))
-_add("m4_granger", lambda s, d: _rounded(TS.granger(_both(s, d)), 6))
+
+
+def _swept(name: str, source: str, columns: list[str], constant: bool) -> str:
+    """CTEs name_0 to name_k: the columns less what the first, then the second of them (and so on to the last but one) explain."""
+    over = "OVER (PARTITION BY instrument_id)"
+    held = [f"{c} - avg({c}) {over} AS {c}" if constant else c for c in columns]
+    out = [f"{name}_0 AS (SELECT instrument_id, {', '.join(held)} FROM {source})"]
+    for j, c in enumerate(columns[:-1]):
+        rest = [f"{r} - {c} * (sum({r} * {c}) {over}) / nullif(sum({c} * {c}) {over}, 0) AS {r}" for r in columns[j + 1 :]]
+        out.append(f"{name}_{j + 1} AS (SELECT instrument_id, {', '.join(rest)} FROM {name}_{j})")
+    return ", ".join(out)
+
+
+def _f_tail(f_: str, k: str, df: str) -> str:
+    """The upper tail of the F distribution: with f k / df the square of a tangent its density is one of cosines and sines."""
+    return f"(2 * exp(lgamma(({df} + {k}) / 2) - lgamma({df} / 2) - lgamma({k} / 2.0)) * {_simpson(f'pow(cos(@), {df} - 1) * pow(sin(@), {k} - 1)', f'atan(sqrt({f_} * {k} / {df}))', 'pi() / 2', 4000)})"
+
+
+def _granger_sql() -> str:
+    ctes, rows = [], []
+    for k in range(1, 6):
+        own, other = [f"a{i}" for i in range(1, k + 1)], [f"b{i}" for i in range(1, k + 1)]
+        lags = ", ".join(f"lag({c[0]}, {c[1:]}) OVER w AS {c}" for c in own + other)
+        ctes.append(f"g{k} AS (SELECT * FROM (SELECT instrument_id, a AS y, {lags} FROM p WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)) WHERE a{k} IS NOT NULL)")
+        ctes.append(_swept(f"s{k}", f"g{k}", [*own, *other, "y"], True))
+        rows.append(f"SELECT instrument_id, {k} AS lag, n - {2 * k + 1} AS free, (r0 - r1) / {k} / (r1 / (n - {2 * k + 1})) AS f FROM (SELECT instrument_id, count(*) AS n, sum(y * y) AS r0 FROM s{k}_{k} GROUP BY 1) JOIN (SELECT instrument_id, sum(y * y) AS r1 FROM s{k}_{2 * k} GROUP BY 1) USING (instrument_id)")
+    return f"WITH {f.BARS}, {LR}, p AS (SELECT a.instrument_id, a.ts, a.lr AS a, b.lr AS b FROM lr a JOIN lr b ON a.ts = b.ts WHERE b.instrument_id = 1 AND a.instrument_id <> 1 AND a.lr IS NOT NULL AND b.lr IS NOT NULL), {', '.join(ctes)}, u AS ({' UNION ALL '.join(rows)}) SELECT instrument_id, lag, round(f, 6) AS f_stat, round({_f_tail('f', 'lag', 'free')}, 6) AS p_value FROM u"
+
+
+def _unit_root(series: int) -> str:
+    """The p-value of a column t."""
+    joint, low, high, (least, most) = TS.P_VALUES[series]
+    poly = lambda bs: " + ".join(f"{b!r} * pow(t, {k})" for k, b in enumerate(bs))
+    z = f"(CASE WHEN t <= {joint} THEN {poly(low)} ELSE {poly(high)} END)"
+    return f"CASE WHEN t <= {least} THEN 0 WHEN t >= {most} THEN 1 ELSE {_normal(z)} END"
+
+
+def _unit_root_stat(source: str, lags: int, constant: bool) -> str:
+    """CTE ``t`` (instrument_id, rows, t) of column x at so many lags."""
+    ds = [f"d{k}" for k in range(1, lags + 1)]
+    cols = ", ".join(f"lag(d, {k}) OVER w AS d{k}" for k in range(1, lags + 1))
+    own = 2 if constant else 1
+    return f"""df AS (SELECT *, x - lag(x) OVER w AS d, lag(x) OVER w AS x1 FROM {source} WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)),
+    dl AS (SELECT * FROM (SELECT instrument_id, d AS y, x1, {cols} FROM df WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)) WHERE d{lags} IS NOT NULL), {_swept("e", "dl", [*ds, "x1", "y"], constant)},
+    t AS (SELECT instrument_id, n AS rows, b / sqrt(rss / (n - {lags + own}) / sxx) AS t FROM (SELECT instrument_id, count(*) AS n, sum(x1 * y) / sum(x1 * x1) AS b, sum(x1 * x1) AS sxx FROM e_{lags} GROUP BY 1) JOIN (SELECT instrument_id, sum(y * y) AS rss FROM e_{lags + 1} GROUP BY 1) USING (instrument_id))"""
+
+
+_add("m4_granger", lambda s, d: _rounded(TS.granger(_both(s, d)), 6), _granger_sql())
+# the same from products by chunks of time, for series too long for one task; SQL solves the normal equations
+_add("m4_granger_chunked", lambda s, d: _rounded(L.granger(_both(s, d), F.year("ts")), 6), _granger_sql())
+_add("m3_adf_chunked", lambda s, d: _rounded(L.adf_test(f.daily_bars(s, d), F.year("ts")), 6))
+_crit = lambda k: " + ".join(f"{b!r} / pow(rows, {i})" for i, b in enumerate(TS.CRITICAL[k]))
+_add(
+    "m3_adf_two_lags",
+    lambda s, d: _rounded(L.adf_test(f.daily_bars(s, d), F.year("ts"), lags=2), 5),
+    f"WITH {f.BARS}, xs AS (SELECT instrument_id, ts, close AS x FROM bars), {_unit_root_stat('xs', 2, True)} SELECT instrument_id, round(t, 5) AS stat, round({_unit_root(1)}, 5) AS p_value, 2 AS lags, {_unit_root(1)} < 0.05 AS stationary, "
+    + ", ".join(f"round({_crit(f'{k}%')}, 5) AS crit_{k}" for k in (1, 5, 10)) + " FROM t",
+)
+_add("m5_cointegration_chunked", lambda s, d: _rounded(L.cointegration(_pair(s, d).where("instrument_id <> 1"), F.year("ts")), 6))
+_add(
+    "m5_cointegration_one_lag",
+    lambda s, d: _rounded(L.cointegration(_pair(s, d).where("instrument_id <> 1"), F.year("ts"), lags=1), 5),
+    f"WITH {f.BARS}, {PAIR}, xs AS (SELECT instrument_id, ts, a - regr_intercept(a, b) OVER z - regr_slope(a, b) OVER z * b AS x FROM pair WHERE instrument_id <> 1 WINDOW z AS (PARTITION BY instrument_id)), {_unit_root_stat('xs', 1, False)} "
+    f"SELECT instrument_id, round(t, 5) AS stat, round({_unit_root(2)}, 5) AS p_value, {_unit_root(2)} < 0.05 AS cointegrated FROM t",
+)
 _add("m5_cointegration", lambda s, d: _rounded(TS.cointegration(_pair(s, d).where("instrument_id <> 1")), 6))
 
 # ---- performance, backtests, overfitting

@@ -397,6 +397,48 @@ def test_unit_root_numbers_by_least_squares(spark):
     assert got.stat == pytest.approx(tau, rel=1e-6) and got.p_value == pytest.approx(tsstats.unit_root_p(tau, 2))
 
 
+@pytest.mark.parametrize("every", [5, 40, 10_000])
+def test_tests_from_lagged_products_equal_those_of_whole_series(spark, every):
+    from candlewick.operators import lagged
+
+    draw = np.random.default_rng(7)
+    rows = []
+    for one, n in enumerate((400, 120, 25, 9, 5, 2, 60, 60)):
+        e, g = draw.normal(size=n), draw.normal(size=n)
+        b = 1e4 + g.cumsum()
+        a = 3 * b + e.cumsum() * 0.2 if one % 2 else np.concatenate([[0.0], g[:-1]]) + e + 50
+        if one == 6:
+            a = np.full(n, 5.0)  # flat
+        if one == 7:
+            a = 2 * b + 1  # a perfect fit
+        rows += [(one, dt.date(2020, 1, 1) + dt.timedelta(days=k), float(a[k]), float(b[k])) for k in range(n)]
+    rows += [(0, dt.date(2019, 1, 1), None, 1.0), (8, dt.date(2019, 1, 1), None, None)]
+    both = spark.createDataFrame(rows, "instrument_id int, ts date, a double, b double")
+    chunk = F.floor(F.datediff("ts", F.lit("2019-01-01").cast("date")) / every)
+
+    def same(got, want, *keys):
+        got, want = ({tuple(r[k] for k in keys): r for r in x.collect()} for x in (got, want))
+        assert set(got) == set(want)
+        for k, w in want.items():
+            for name in w.asDict():
+                x, y = got[k][name], w[name]
+                if y is None or (isinstance(y, float) and math.isnan(y)):
+                    assert x is None or math.isnan(x), (k, name, x)
+                else:
+                    assert x == pytest.approx(y, rel=1e-6, abs=1e-9), (k, name)
+
+    known = both.where("a is not null and b is not null")
+    same(lagged.adf_test(both, chunk, "a"), tsstats.adf_test(both, "a"), "instrument_id")
+    same(lagged.adf_test(both, chunk, "b"), tsstats.adf_test(both, "b"), "instrument_id")
+    noisy = known.where("instrument_id not in (6, 7)")  # of flat and perfect ones the plain test takes rounding for noise
+    same(lagged.granger(noisy, chunk), tsstats.granger(noisy), "instrument_id", "lag")
+    steady = known.where("instrument_id <> 6")
+    same(lagged.cointegration(steady, chunk), tsstats.cointegration(steady), "instrument_id")
+    assert lagged.granger(both, chunk).where("instrument_id in (6, 7)").count() == 10
+    for op in (lagged.granger, lagged.cointegration, lambda d, c: lagged.adf_test(d, c, "a")):
+        assert op(both.limit(0), chunk).count() == 0
+
+
 def test_probabilistic_ratio_beside_the_sheet(spark):
     draw = np.random.default_rng(17)
     r = metrics.with_psr(metrics.tearsheet(frame(spark, list(100 * np.cumprod(1 + draw.normal(0.0002, 0.02, 400)))))).first()
