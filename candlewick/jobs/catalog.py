@@ -556,6 +556,32 @@ _add(
 )
 _add("b10_monte_carlo", lambda s, d: _rounded(V.monte_carlo(_run(s, d)), 2))
 
+
+def _stored_paths(s, d):
+    """Bands of 60 paths from a start table that is given; as logarithms, since paths run over many magnitudes."""
+    returns = _run(s, d).where("strategy_return is not null")
+    n = returns.groupBy("instrument_id").agg(F.count("*").alias("n")).withColumn("size", F.least(F.greatest(F.lit(10), F.floor(F.sqrt("n"))), F.col("n")))
+    blocks = n.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(59)))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("size")))))
+    start = ((F.col("sim") + 1) * 7919 + (F.col("block") + 1) * 104_729 * (F.col("sim") + 3)) % F.greatest(F.lit(1), F.col("n") - F.col("size"))
+    bands = V.monte_carlo(returns, starts=blocks.withColumn("start", start), by=F.year("ts"))
+    return _rounded(bands.select("instrument_id", "step", *(F.signum(f"p{b}").alias(f"s{b}") for b in V.BANDS), *(F.ln(F.abs(F.col(f"p{b}"))).alias(f"ln{b}") for b in V.BANDS)), 5)
+
+
+_band = lambda b: f"quantile_cont(e, {b / 100})"
+_add(
+    "b10_monte_carlo_stored",
+    _stored_paths,
+    f"""WITH {f.BARS}, {SIGNAL}, r AS (SELECT instrument_id, sr, row_number() OVER (PARTITION BY instrument_id ORDER BY ts) - 1 AS i FROM sr),
+    n AS (SELECT instrument_id, n, least(greatest(10, floor(sqrt(n))::BIGINT), n) AS size FROM (SELECT instrument_id, count(*) AS n FROM r GROUP BY 1)),
+    st AS (SELECT *, ((sim + 1) * 7919 + (block + 1) * 104729 * (sim + 3)) % greatest(1, n - size) AS start FROM (SELECT *, unnest(range(0, (n - 1) // size + 1)) AS block FROM n, range(0, 60) t(sim))),
+    pa AS (SELECT instrument_id, sim, block * size + k AS step, start + k AS i FROM (SELECT *, unnest(range(0, least(size, n - block * size))) AS k FROM st)),
+    eq AS (SELECT instrument_id, step, CASE WHEN sum((1 + sr = 0)::INT) OVER w > 0 THEN 0 ELSE exp(ln(10000) + sum(CASE WHEN 1 + sr = 0 THEN 0 ELSE ln(abs(1 + sr)) END) OVER w) * CASE WHEN sum((1 + sr < 0)::INT) OVER w % 2 = 1 THEN -1 ELSE 1 END END AS e
+      FROM pa JOIN r USING (instrument_id, i) WINDOW w AS (PARTITION BY instrument_id, sim ORDER BY step ROWS UNBOUNDED PRECEDING))
+    SELECT instrument_id, step, """
+    + ", ".join(f"sign({_band(b)})::DOUBLE AS s{b}, CASE WHEN {_band(b)} <> 0 THEN round(ln(abs({_band(b)})), 5) END AS ln{b}" for b in V.BANDS)
+    + " FROM eq GROUP BY 1, 2",
+)
+
 # ---- loads
 
 for _name, _query, _digits, _text in loads.QUERIES:

@@ -7,7 +7,7 @@ for all instruments at once.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from candlewick.functions.tails import normal_cdf, normal_quantile
-from candlewick.functions.windows import KEY, TIME, ordered, ratio, sofar
+from candlewick.functions.windows import KEY, TIME, ordered, ratio, running, sofar, with_leads
 from candlewick.operators.backtest import CAPITAL, COST, SLIP, run_backtest
 from candlewick.operators.metrics import sharpe_radicand
 from candlewick.operators.returns import YEAR
@@ -125,42 +125,101 @@ def start_table(n: int, sims: int) -> np.ndarray:
 
 BANDS = (5, 25, 50, 75, 95)
 STEPS = 64  # steps of all simulations that are one group when the bands are taken
-
-
-def monte_carlo(returns: DataFrame, sims: int = 1000, capital: float = CAPITAL, chunk: int = 50, x: str = "strategy_return") -> DataFrame:
+SPAN = 4096  # places of a series that are one group when paths are made
+
+
+def drawn(sizes: DataFrame, sims: int, together: int = 50) -> DataFrame:
+    """(instrument_id, sim, block, start) of all simulations, drawn with one seed for each instrument; sizes: with n."""
+    kind = sizes.schema[KEY].dataType.simpleString()
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, n in zip(frame[KEY], frame["n"], strict=True):
+                starts = start_table(int(n), sims)
+                for k in range(0, sims, together):
+                    some = starts[k : k + together]
+                    sim, block = (x.ravel() for x in np.indices(some.shape))
+                    yield pd.DataFrame({KEY: key, "sim": sim + k, "block": block, "start": some.ravel()})
+
+    return sizes.select(KEY, "n").mapInPandas(draw, f"{KEY} {kind}, sim long, block long, start long")
+
+
+SUMS = ("_l", "_z", "_g")  # of the logarithms of the sizes of factors, of the zeros, of the negative ones
+
+
+def _placed(rows: DataFrame, by: Column | None) -> DataFrame:
+    """Rows with their place from 0, and the three sums up to each."""
+    f = 1 + F.col("_r")
+    parts = {"_l": F.when(f == 0, 0.0).otherwise(F.ln(F.abs(f))), "_z": (f == 0).cast("long"), "_g": (f < 0).cast("long")}
+    if by is None:
+        return rows.withColumn("_place", F.row_number().over(ordered()) - 1).withColumns({n: F.sum(c).over(sofar()) for n, c in parts.items()})
+    numbered = with_leads(rows, by, 0).where(~F.col("_lead")).withColumn(KEY, F.col("_own")).drop("_own", "_chunk", "_lead")
+    return running(numbered, by, **{n: ("sum", c) for n, c in parts.items()})
+
+
+def _gathered(series: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """Paths over one span of places: for each stretch of steps the values of those simulations that pass here then."""
+    if not len(series) or not len(asked):
+        return pd.DataFrame({KEY: [], "block": [], "part": [], "from": [], "width": [], "values": []})
+    series = series.sort_values("_place")
+    first, rows = int(series["_place"].iat[0]), []
+    log, zeros, negatives = (series[c].to_numpy() for c in SUMS)
+    for (block, part), some in asked.groupby(["block", "part"], sort=False):
+        width = int(some["width"].iat[0])
+        at = (some["place"].to_numpy() - first)[:, None] + np.arange(width)
+        size, zero, negative = (x[at] + some[f"base{c}"].to_numpy()[:, None] for x, c in zip((log, zeros, negatives), SUMS, strict=True))
+        with np.errstate(over="ignore"):
+            values = np.where(zero > 0, 0.0, np.exp(size) * np.where(negative % 2 == 1, -1.0, 1.0))
+        rows.append((asked[KEY].iat[0], block, part, int(some["from"].iat[0]), width, np.ascontiguousarray(values).tobytes()))
+    return pd.DataFrame(rows, columns=[KEY, "block", "part", "from", "width", "values"])
+
+
+def _bands(frame: pd.DataFrame) -> pd.DataFrame:
+    """Linear percentiles of each step; null where one lies beyond the range of a double, or between such values."""
+    width = int(frame["width"].iat[0])
+    every = np.concatenate([np.frombuffer(v, dtype=np.float64).reshape(-1, width) for v in frame["values"]])
+    with np.errstate(invalid="ignore", over="ignore"):
+        found = np.percentile(every, BANDS, axis=0)
+    found = np.where(np.isfinite(found), found, np.nan)
+    return pd.DataFrame({KEY: frame[KEY].iat[0], "step": np.arange(width) + int(frame["from"].iat[0])} | {f"p{b}": v for b, v in zip(BANDS, found, strict=True)})
+
+
+def monte_carlo(returns: DataFrame, sims: int = 1000, capital: float = CAPITAL, chunk: int = 50, x: str = "strategy_return", starts: DataFrame | None = None, by: Column | None = None) -> DataFrame:
     """(instrument_id, step, p5, p25, p50, p75, p95) of bootstrapped equity paths.
 
-    Blocks of returns are drawn with one seed for each instrument; the draws are made once for it and dealt out by
-    chunks of simulations, which make their paths in parallel. Bands are taken over blocks of steps, so a group holds
-    all simulations of a few steps, whatever a series' length.
+    A path is a row of blocks of the series, of about the root of its length. Products become sums of logarithms (signs and
+    zeros are counted beside), so a path's value is what its earlier blocks come to, scanned over blocks, and a difference of
+    two running sums of the series. Each stretch of STEPS steps of a path asks the span of SPAN places where it lies; the bands
+    are taken over all paths of a stretch. No task holds a series or a path, whatever their length; a band beyond the range of
+    a double is null.
+
+    starts: (instrument_id, sim, block, start), by default drawn with one seed for each instrument, ``chunk`` simulations at a
+    time; by: a chunk of a row's time, for series that are too long to be numbered in one task.
     """
     kind = returns.schema[KEY].dataType.simpleString()
-    rows = returns.where(F.col(x).isNotNull()).select(KEY, TIME, F.col(x).alias("_r"))
-    chunks = (sims - 1) // chunk + 1
-
-    def draw(frame: pd.DataFrame) -> pd.DataFrame:
-        starts = start_table(int(frame["n"].iat[0]), sims).astype(np.int64)
-        return pd.DataFrame({KEY: frame[KEY].iat[0], "_chunk": np.arange(chunks), "starts": [starts[k * chunk : (k + 1) * chunk].tobytes() for k in range(chunks)]})
-
-    def paths(series: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
-        if not len(series) or not len(drawn):
-            return pd.DataFrame({KEY: [], "block": [], "values": [], "width": []})
-        r = series.sort_values(TIME, kind="stable")["_r"].to_numpy()
-        n = len(r)
-        block = max(10, int(math.sqrt(n)))
-        starts = np.frombuffer(drawn["starts"].iat[0], dtype=np.int64).reshape(-1, -(-n // min(block, n)))
-        at = (starts[:, :, None] + np.arange(min(block, n))[None, None, :]).reshape(len(starts), -1)[:, :n]
-        equity = capital * np.cumprod(1 + r[at], axis=1)
-        cuts = range(0, n, STEPS)
-        return pd.DataFrame({KEY: series[KEY].iat[0], "block": np.arange(len(cuts)), "values": [np.ascontiguousarray(equity[:, a : a + STEPS]).tobytes() for a in cuts], "width": [min(STEPS, n - a) for a in cuts]})
-
-    def bands(frame: pd.DataFrame) -> pd.DataFrame:
-        width = int(frame["width"].iat[0])
-        every = np.concatenate([np.frombuffer(v, dtype=np.float64).reshape(-1, width) for v in frame["values"]])
-        step = np.arange(width) + STEPS * int(frame["block"].iat[0])
-        return pd.DataFrame({KEY: frame[KEY].iat[0], "step": step} | {f"p{b}": v for b, v in zip(BANDS, np.percentile(every, BANDS, axis=0), strict=True)})
-
-    drawn = rows.groupBy(KEY).agg(F.count("*").alias("n")).groupBy(KEY).applyInPandas(draw, f"{KEY} {kind}, _chunk long, starts binary")
-    dealt = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    made = dealt.groupBy(KEY, "_chunk").cogroup(drawn.groupBy(KEY, "_chunk")).applyInPandas(paths, f"{KEY} {kind}, block long, values binary, width int")
-    return made.groupBy(KEY, "block").applyInPandas(bands, f"{KEY} {kind}, step long, " + ", ".join(f"p{b} double" for b in BANDS))
+    placed = _placed(returns.where(F.col(x).isNotNull()).select(KEY, TIME, F.col(x).cast("double").alias("_r")), by).select(KEY, "_place", *SUMS)
+    sizes = placed.groupBy(KEY).agg(F.count("*").alias("n"))
+    long = sizes.withColumn("size", F.least(F.greatest(F.lit(10), F.floor(F.sqrt("n"))), F.col("n")))
+    blocks = (drawn(sizes, sims, chunk) if starts is None else starts.select(KEY, "sim", "block", "start")).join(long, KEY)
+    # the sums before a block's start, and at its end
+    for name, at in (("a", F.col("start") - 1), ("z", F.col("start") + F.col("size") - 1)):
+        known = placed.select(F.col(KEY).alias("_of"), F.col("_place").alias("_at"), *(F.col(c).alias(f"{name}{c}") for c in SUMS))
+        blocks = blocks.join(known, (F.col(KEY) == F.col("_of")) & (at == F.col("_at")), "left").drop("_of", "_at").fillna(0, [f"{name}{c}" for c in SUMS])
+    before = Window.partitionBy(KEY, "sim").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = {"_l": math.log(capital), "_z": 0, "_g": 0}
+    based = blocks.withColumns({f"base{c}": F.coalesce(F.sum(F.col(f"z{c}") - F.col(f"a{c}")).over(before), F.lit(0)) - F.col(f"a{c}") + start[c] for c in SUMS})
+    width = F.least("size", F.col("n") - F.col("block") * F.col("size"))
+    asked = (
+        based.where(width > 0)
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((width - 1) / STEPS))))
+        .select(
+            KEY, "block", "part", (F.col("block") * F.col("size") + F.col("part") * STEPS).alias("from"), F.least(F.lit(STEPS), width - F.col("part") * STEPS).alias("width"),
+            (F.col("start") + F.col("part") * STEPS).alias("place"), *(f"base{c}" for c in SUMS),
+        )
+        .withColumn("span", F.floor(F.col("place") / SPAN))
+    )
+    # a span also has the places that a stretch from its end reaches into
+    span = F.floor(F.col("_place") / SPAN)
+    spans = placed.withColumn("span", F.explode(F.when((F.col("_place") % SPAN < STEPS) & (span > 0), F.array(span - 1, span)).otherwise(F.array(span))))
+    made = spans.groupBy(KEY, "span").cogroup(asked.groupBy(KEY, "span")).applyInPandas(_gathered, f"{KEY} {kind}, block long, part long, `from` long, width int, values binary")
+    return made.groupBy(KEY, "block", "part").applyInPandas(_bands, f"{KEY} {kind}, step long, " + ", ".join(f"p{b} double" for b in BANDS))

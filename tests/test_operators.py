@@ -287,6 +287,29 @@ def test_monte_carlo_equals_one_generator(spark):
     assert [g.p5 for g in got] == pytest.approx(want[0].tolist()) and [g.p50 for g in got] == pytest.approx(want[1].tolist())
 
 
+def test_monte_carlo_over_spans_with_zeros_signs_and_overflow(spark, monkeypatch):
+    draw, sims = np.random.default_rng(5), 20
+    series = {1: draw.normal(0, 0.3, 150), 2: draw.normal(0, 1.2, 70), 3: np.full(60, 1e10), 4: draw.normal(0, 0.1, 7), 5: np.array([0.5])}
+    series[2][[10, 50]] = -1.0  # all is lost
+    rows = [(k, DAY + dt.timedelta(i), float(x)) for k, r in series.items() for i, x in enumerate(r)] + [(1, DAY - dt.timedelta(1), None), (6, DAY, None)]
+    df = spark.createDataFrame(rows, "instrument_id int, ts date, strategy_return double")
+    monkeypatch.setattr(validation, "SPAN", 16)
+    monkeypatch.setattr(validation, "STEPS", 5)
+    for by in (None, F.floor(F.datediff("ts", F.lit(DAY)) / 20)):
+        got = {(r.instrument_id, r.step): r for r in validation.monte_carlo(df, sims=sims, by=by).collect()}
+        assert len(got) == sum(map(len, series.values()))
+        for k, r in series.items():
+            n = len(r)
+            size = min(max(10, int(math.sqrt(n))), n)
+            at = (validation.start_table(n, sims)[:, :, None] + np.arange(size)).reshape(sims, -1)[:, :n]
+            with np.errstate(over="ignore", invalid="ignore"):
+                want = np.percentile(10_000 * np.cumprod(1 + r[at], axis=1), validation.BANDS, axis=0).T
+            for i in range(n):
+                for w, g in zip(want[i].tolist(), tuple(got[k, i])[2:], strict=True):
+                    assert g is None if not math.isfinite(w) else g == pytest.approx(w, rel=1e-9, abs=1e-9)
+    assert got[3, 59].p50 is None and got[3, 20].p50 > 1e200
+
+
 def test_deflated_ratio_is_below_the_plain_one(spark):
     row = spark.range(1).select(F.lit(0.1).alias("sr"), F.lit(250.0).alias("n"), F.lit(0.0).alias("sk"), F.lit(0.0).alias("k"))
     args = F.col("sr"), F.col("n"), F.col("sk"), F.col("k")
