@@ -64,29 +64,56 @@ def pieces(text: bytes) -> Iterator[bytes]:
             yield b" ".join(words)
 
 
-PIECES = "lang string, piece string, times long"
+PIECES = "chunk long, lang string, size long, pieces binary, times binary"
 
 
-def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, bytes], int] = defaultdict(int)
-    size = 0
+def _send_pieces(chunks: int):
+    """Distinct pieces of a task and how often they come, packed by the chunk that their hash names."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, bytes], int] = defaultdict(int)
+        size, codec = 0, pa.Codec("zstd", 3)
+
+        def rows() -> pa.RecordBatch:
+            dealt: dict[tuple[int, str], list[tuple[bytes, int]]] = defaultdict(list)
+            for (lang, p), n in held.items():
+                dealt[xxhash.xxh64_intdigest(p) % chunks, lang].append((p, n))
+            held.clear()
+            raw = [b"\n".join([p for p, _ in own]) for own in dealt.values()]
+            times = [np.array([n for _, n in own], dtype="<i8").tobytes() for own in dealt.values()]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([c for c, _ in dealt], type=pa.int64()), pa.array([lang for _, lang in dealt], type=pa.string()), pa.array(map(len, raw), type=pa.int64()),
+                    pa.array([codec.compress(x, asbytes=True) for x in raw], type=pa.binary()), pa.array([codec.compress(x, asbytes=True) for x in times], type=pa.binary()),
+                ],
+                names=[f.split()[0] for f in PIECES.split(", ")],
+            )
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                for p in pieces(text.as_py() or b""):
+                    if not held[lang, p]:
+                        size += len(p) + 100
+                    held[lang, p] += 1
+                if size >= HELD:
+                    yield rows()
+                    size = 0
+        yield rows()
+
+    return of
 
-    def rows() -> pa.RecordBatch:
-        keys = list(held)
-        out = [pa.array([k[0] for k in keys], type=pa.string()), pa.array([k[1] for k in keys], type=pa.binary()).cast(pa.string()), pa.array(list(held.values()), type=pa.int64())]
-        held.clear()
-        return pa.RecordBatch.from_arrays(out, names=["lang", "piece", "times"])
 
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            for p in pieces(text.as_py() or b""):
-                if not held[lang, p]:
-                    size += len(p) + 100
-                held[lang, p] += 1
-            if size >= HELD:
-                yield rows()
-                size = 0
-    yield rows()
+def _received(chunk: pa.Table, lang: str) -> tuple[pa.Array, np.ndarray]:
+    """The distinct pieces of a language in a chunk, and their multiplicities."""
+    codec, texts, times = pa.Codec("zstd"), [], []
+    own = chunk.filter(pc.equal(chunk["lang"], lang))
+    for size, packed, counted in zip(own["size"].to_pylist(), own["pieces"], own["times"], strict=True):
+        some = codec.decompress(packed.as_py(), size, asbytes=True).decode().split("\n")
+        texts.append(pa.array(some, type=pa.string()))
+        times.append(np.frombuffer(codec.decompress(counted.as_py(), 8 * len(some), asbytes=True), dtype="<i8"))
+    table = pa.table({"piece": pa.chunked_array(texts), "times": np.concatenate(times)})
+    distinct = table.group_by("piece", use_threads=False).aggregate([("times", "sum")])
+    return distinct["piece"].combine_chunks(), distinct["times_sum"].to_numpy()
 
 
 # ---- n-grams of a chunk
@@ -161,11 +188,8 @@ class Counted:
 
 
 def _by_lang(chunk: pa.Table) -> Iterator[Counted]:
-    """Equal pieces become one with the sum of their times."""
-    distinct = chunk.group_by(["lang", "piece"], use_threads=False).aggregate([("times", "sum")])
-    for lang in sorted(set(distinct["lang"].to_pylist())):
-        own = distinct.filter(pc.equal(distinct["lang"], lang))
-        counted = Counted(lang, own["piece"].combine_chunks(), own["times_sum"].to_numpy())
+    for lang in sorted(set(chunk["lang"].to_pylist())):
+        counted = Counted(lang, *_received(chunk, lang))
         counted.lang = lang
         yield counted
 
@@ -239,8 +263,7 @@ def counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     bytes_of = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, -(-bytes_of // DEAL))
-    chunk = F.pmod(F.xxhash64("lang", "piece"), F.lit(n)).cast("long").alias("chunk")
-    dealt = texts.mapInArrow(_piece_rows, PIECES).select(chunk, "lang", "piece", "times")
+    dealt = texts.mapInArrow(_send_pieces(n), PIECES)
     pairs = dealt.groupBy("chunk").applyInArrow(_send_pairs, PAIRS)
     told = pairs.repartition(n, "pair").mapInArrow(_in_duckdb("chunk BIGINT, pair BIGINT, times BIGINT", FREQUENT.format(least=least)), "chunk long, pair long")
     phrases = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_send_phrases, PHRASES)
