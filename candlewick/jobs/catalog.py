@@ -21,9 +21,12 @@ from candlewick.operators import lagged as L
 from candlewick.operators import lookups as look
 from candlewick.operators import metrics as M
 from candlewick.operators import returns as R
+from candlewick.operators import runs
+from candlewick.operators import selection
 from candlewick.operators import tsstats as TS
 from candlewick.operators import validation as V
 from candlewick.operators import writes as W
+from candlewick.sources.shared import kept
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -344,6 +347,7 @@ _ind(
     f"WITH {f.BARS}, l AS (SELECT instrument_id, ts, close, list(close) {_frame(252)} AS l FROM bars), c AS (SELECT *, len(list_filter(l[1:251], lambda x: x < close)) AS b, len(list_filter(l[1:251], lambda x: x <= close)) AS u FROM l) SELECT instrument_id, ts, CASE WHEN len(l) = 252 THEN round((b + u + (u > b)::INT) * 50.0 / 251 / 100, 6) END AS pct_rank FROM c",
 )
 _add("t19_percentile_rank_full", _queries["t19_percentile_rank"], _sql["t19_percentile_rank"])
+_ind("t19_percentile_rank_chunked", lambda b: R.percentile_rank_chunked(b, F.year("ts")), ["pct_rank"], 6, _sql["t19_percentile_rank"])
 _ind("t19_percentile_rank_60", lambda b: R.percentile_rank(b, p=60), ["pct_rank"], 6, _sql["t19_percentile_rank"].replace("252", "60").replace("251", "59"))
 _add(
     "t20_macro_changes",
@@ -471,6 +475,13 @@ _add(
     "round(mdd, 5) AS max_drawdown, round((pow(1 + tr, 252.0 / n) - 1) / nullif(abs(mdd), 0), 5) AS calmar, round(ulcer, 5) AS ulcer_index, dur AS max_dd_duration_bars, round(v5, 5) AS var_95, round(v1, 5) AS var_99, round(cvar, 5) AS cvar_95, round(sk, 5) AS skewness, round(k, 5) AS excess_kurtosis, "
     "round(n / 6 * (sk * sk + k * k / 4), 5) AS jarque_bera_stat, round(exp(-n / 12 * (sk * sk + k * k / 4)), 5) AS jarque_bera_pval, round(v95 / abs(v5), 5) AS tail_ratio, round(gp, 5) AS gain_pain_ratio, round(ac, 5) AS return_autocorr FROM mo JOIN cv USING (instrument_id) JOIN dur USING (instrument_id)",
 )
+# measures of groups of any size: percentiles by selection (with so few values held that rounds run), runs over chunks of time
+_add(
+    "p5_tails_selected",
+    lambda s, d: _rounded(selection.tails(R.simple_returns(f.daily_bars(s, d)), held=20), 6),
+    f"WITH {f.BARS}, {LR}, q AS (SELECT instrument_id, quantile_cont(sr, 0.05) AS v5, quantile_cont(sr, 0.01) AS v1, quantile_cont(sr, 0.95) AS v95 FROM lr GROUP BY 1) SELECT instrument_id, round(any_value(v5), 6) AS var_95, round(any_value(v1), 6) AS var_99, round(avg(sr) FILTER (sr <= v5), 6) AS cvar_95, round(any_value(v95 / abs(v5)), 6) AS tail_ratio FROM lr JOIN q USING (instrument_id) GROUP BY 1",
+)
+_add("p4_drawdown_duration_chunked", lambda s, d: runs.drawdown_duration(f.daily_bars(s, d), F.year("ts")), f"WITH {f.BARS}, {SHEET} SELECT instrument_id, dur AS max_dd_duration_bars FROM dur")
 _add(
     "p9_probabilistic_sharpe",
     lambda s, d: _rounded(M.with_psr(M.tearsheet(f.daily_bars(s, d))), 6, "instrument_id", "probabilistic_sharpe"),
@@ -505,6 +516,12 @@ _add(
     f"WITH {f.BARS}, {SIGNAL}, {TRADES}, wn AS {_streak('pnl > 0', 'max_consec_wins')}, ls AS {_streak('pnl < 0', 'max_consec_losses')} SELECT instrument_id, count(*) AS n_trades, round(count(*) FILTER (pnl > 0) / count(*), 6) AS win_rate, round(sum(pnl) FILTER (pnl > 0) / abs(sum(pnl) FILTER (pnl < 0)), 6) AS profit_factor, round(avg(pnl), 6) AS expectancy, round(avg(pnl) FILTER (pnl > 0) / abs(avg(pnl) FILTER (pnl < 0)), 6) AS payoff, "
     "round(avg(pnl) FILTER (pnl > 0), 6) AS avg_win, round(avg(pnl) FILTER (pnl < 0), 6) AS avg_loss, any_value(max_consec_wins) AS max_consec_wins, any_value(max_consec_losses) AS max_consec_losses FROM trd JOIN wn USING (instrument_id) JOIN ls USING (instrument_id) GROUP BY 1",
 )
+_add("b2_trades_chunked", lambda s, d: _rounded(runs.trades(_run(s, d), F.year("ts")), 8), _sql["b2_trades"])
+_add(
+    "p13_streaks_chunked",
+    lambda s, d: (lambda t: runs.streak(t, F.col("pnl") > 0, "max_consec_wins", F.year("entry")).join(runs.streak(t, F.col("pnl") < 0, "max_consec_losses", F.year("entry")), "instrument_id"))(kept(runs.trades(_run(s, d), F.year("ts")), "trades")),
+    f"WITH {f.BARS}, {SIGNAL}, {TRADES}, wn AS {_streak('pnl > 0', 'max_consec_wins')}, ls AS {_streak('pnl < 0', 'max_consec_losses')} SELECT instrument_id, max_consec_wins, max_consec_losses FROM wn JOIN ls USING (instrument_id)",
+)
 _event_days = lambda s, d: f.daily_bars(s, d).where("dayofmonth(ts) = 15").select(*ID)
 _add(
     "b3_event_study",

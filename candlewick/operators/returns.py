@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right, insort
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from candlewick.functions.windows import KEY, TIME, corr, last, ordered, prev, ratio, roll, running, sofar
+from candlewick.functions.windows import KEY, TIME, chunked, corr, last, ordered, prev, ratio, roll, running, sofar
 from candlewick.operators.bars import pair
 
 YEAR = 252
@@ -189,6 +192,36 @@ def percentile_rank(df: DataFrame, x: str = "close", p: int = 252) -> DataFrame:
     return got.withColumn("pct_rank", rank_in(F.col("_a"), p)).drop("_a")
 
 
+def percentile_rank_chunked(df: DataFrame, chunk: Column, x: str = "close", p: int = 252) -> DataFrame:
+    """The same for long series and wide windows: by chunks of time, each led by p - 1 rows. The window's values are kept in
+    order, so a row costs two searches, one value more and one less, and no array of p values."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(TIME, kind="stable").reset_index(drop=True)
+        values = frame[x].astype(float).tolist()
+        held: list[float] = []  # those of the p - 1 rows before that are known
+        ranks: list[float | None] = []
+        for i, v in enumerate(values):
+            if i >= p and not math.isnan(old := values[i - p]):
+                del held[bisect_left(held, old)]
+            known = not math.isnan(v)
+            if known and len(held) == p - 1:
+                below, upto = bisect_left(held, v), bisect_right(held, v)
+                ranks.append((below + upto + (upto > below)) * 50.0 / (p - 1) / 100)
+            else:
+                ranks.append(None)
+            if known:
+                insort(held, v)
+        frame["pct_rank"] = pd.Series(ranks, dtype=float)
+        return frame
+
+    def ranked(led: DataFrame) -> DataFrame:
+        return led.groupBy(KEY).applyInPandas(run, T.StructType([*led.schema.fields, T.StructField("pct_rank", T.DoubleType())]))
+
+    got = chunked(df, ranked, chunk, p - 1)
+    return got.withColumn("pct_rank", F.when(~F.isnan("pct_rank"), F.col("pct_rank")))
+
+
 def change_over(df: DataFrame, x: str, k: int, out: str) -> DataFrame:
     """Change over k rows, with gaps filled forward first."""
     filled = df.withColumn("_f", F.last(x, ignorenulls=True).over(sofar()))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +37,14 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read again: what follows doesn't repeat the work, and a lost executor costs its
+    running tasks."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clean(spark: SparkSession) -> None:
     """Remove all that this application wrote to the shared folder; what came of it can't be read afterwards."""
     delete(spark, own_dir(spark))
