@@ -5,9 +5,11 @@ thousand, which no choice of pigeonhole blocks reaches with keys that are long e
 
 1. SimHash: fingerprints over the sets' hashes that differ in at most DISTANCE bits, by operator 8's blocks.
 2. Shared shingles, which leave no alike pair out. A text's sketch is the least of its shingle hashes, so many that
-   two alike texts share at least ``enough`` of them (prefix filter with a margin). Texts with fewer hashes that
+   two alike texts share at least ``enough`` of them (prefix filter with a margin: of a set's n hashes an alike one lacks at
+   most a fifth, so their first ``enough`` common ones lie in both sketches). Texts with fewer hashes that
    another text has too are done. The others drop their ``enough - 1`` most frequent shared hashes, which leaves
-   each alike pair one in common, so what a common line brings together is let go.
+   each alike pair one in common, so what a common line brings together is let go. The margin is a fifth of a text's shingles, so
+that a line or two which many texts share are among those dropped, and don't chain unlike texts into blocks.
 
 Candidates are linked to the least of those that they meet; components of these links are blocks, and inside a block
 whole sets are compared. Copies are one set from the start. How often a hash occurs is counted as in operator 9: chunks
@@ -41,7 +43,7 @@ from candlewick.llm.common import deals, materialize, numbered, parts
 from candlewick.llm.components import components
 
 SHINGLE = 5
-MARGIN = 20  # a sketch has one hash more for each so many shingles
+MARGIN = 5  # a sketch has one hash more for each so many shingles
 DEAL = 32 << 20  # bytes of text whose sketches are a chunk
 HOT = 512  # sets of one block that a task compares with each other, and
 LOAD = 1 << 21  # the hashes that they have

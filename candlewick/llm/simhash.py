@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.llm.common import materialize, numbered, parts, table
+from candlewick.llm.common import joined_by_key, materialize, numbered, parts, table
 from candlewick.llm.components import components
 
 SHINGLE = 3
@@ -135,6 +135,8 @@ def links(distinct: DataFrame) -> DataFrame:
     # counted by partial sums, so a hot key is one row of each task; the keys that several have are few
     several = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keyed.join(several, ["mask", "key"])
+    # groups of about HOT rows, as many as the fingerprints ask for
+    deals = max(8 * parts(spark), distinct.count() * len(masks) // HOT)
     # a hot key's fingerprints fall into splits by hash; every pair of splits is a group
     split = F.ceil(F.col("n") / HOT).cast("int")
     mine = F.pmod(F.xxhash64("fp"), split).cast("int")
@@ -144,7 +146,7 @@ def links(distinct: DataFrame) -> DataFrame:
         .withColumn("mine", F.when(F.col("splits") == 1, F.lit(0)).otherwise(mine))
         .withColumn("pair", F.explode(pairs))
         .select("fp", "mask", "key", "pair.*", F.when(F.col("mine") == F.col("pair.first"), 0).otherwise(1).alias("side"))
-        .withColumn("deal", F.pmod(F.xxhash64("mask", "key", "first", "second"), F.lit(8 * parts(spark))))
+        .withColumn("deal", F.pmod(F.xxhash64("mask", "key", "first", "second"), F.lit(deals)))
     )
     return dealt.groupBy("deal").applyInPandas(_compare, "a long, b long")
 
@@ -152,12 +154,12 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     marked = materialize(docs.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "distinct")
     found = components(links(distinct))
     grouped = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = grouped.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = materialize(grouped.join(smallest, "root").select("fp", "component_id"), "components")
-    return marked.join(named, "fp")
+    named = materialize(grouped.join(smallest, "root").select("fp", "n", "component_id"), "components")
+    return joined_by_key(marked, named, "fp", "n")  # texts without a word, or one that is much copied, are one fingerprint
 
 
 def op8_simhash(spark, sf_dir):

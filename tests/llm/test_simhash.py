@@ -103,3 +103,25 @@ def test_stage_on_rows_that_come_from_no_file_place_of_their_own(spark, tmp_path
     for df in (docs.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))), docs.union(docs), docs.join(docs.select("doc_id"), "doc_id"), spark.read.parquet(f"{tmp_path}/d", f"{tmp_path}/d")):
         got = simhash.stage(spark, df, "")
         assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(brute_components([(i, brute_fingerprint(t)) for i, t, _ in rows])))
+
+
+def test_one_fingerprint_on_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr("candlewick.llm.common.HOT_KEYS", 8)
+    rows = [(k, "" if k % 3 == 0 else f"word{k} other{k % 50} more{k * 7 % 90} and so on {k % 11}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert sorted(found) == list(range(300))
+    fps = {k: simhash.fingerprint(t.encode()) for k, t in rows}
+    root = {k: k for k in fps}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(300):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= simhash.DISTANCE:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert all(found[k].component_id == find(k) for k in fps)
