@@ -156,8 +156,8 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     return out, inside
 
 
-RIVAL, BARE = 20, 3
-FEATURES = "words density before_words before_density after_words after_density article mark share heading item".split()
+RIVAL, BARE, MOST, LINE = 20, 3, 200, 10
+FEATURES = "words density before_words before_density after_words after_density article mark share heading item beside".split()
 
 
 def features(found: list, inside: list[int]) -> list[list[float]]:
@@ -166,18 +166,23 @@ def features(found: list, inside: list[int]) -> list[list[float]]:
     share: of the page's words outside of links those in the block's marked part; 0 without one. Words that no mark
     speaks against count more the likelier they are the page's text: RIVAL times in an article, BARE times in long
     blocks elsewhere. So a part is large only where it has no rival, however many comments it holds.
+
+    beside: for a block outside of all articles the words outside of links that the page has in articles, MOST at most: what
+    stands beside an article is not the page's text, whatever its class is called.
     """
     held, rival = [0] * len(inside), 0
     for b in found:
         held[b.part] += b.words - b.linked
         if b.mark < CLASS:
-            rival += (RIVAL if b.article else BARE if b.words >= 10 else 0) * (b.words - b.linked)
+            rival += (RIVAL if b.article else BARE if b.words >= LINE else 0) * (b.words - b.linked)
     for k in range(len(inside) - 1, 0, -1):
         held[inside[k]] += held[k]
     size = [(float(b.words), b.linked / b.words) for b in found]
     around = [(0.0, 0.0), *size, (0.0, 0.0)]
+    text = [b.words - b.linked for b in found]
+    article = min(MOST, sum(n for n, b in zip(text, found, strict=True) if b.article and b.mark < CLASS))
     share = [held[b.part] / max(held[0], held[b.part] + rival, 1) if b.part else 0.0 for b in found]
-    return [[*around[k + 1], *around[k], *around[k + 2], float(b.article), float(b.mark), share[k], float(b.heading), float(b.item)] for k, b in enumerate(found)]
+    return [[*around[k + 1], *around[k], *around[k + 2], float(b.article), float(b.mark), share[k], float(b.heading), float(b.item), 0.0 if b.article else float(article)] for k, b in enumerate(found)]
 
 
 # Labelled pages. A block is kind, words, words in links. Kinds: A in an article, B in the bare body;
@@ -230,6 +235,12 @@ Bt 3 3, Bwh 5 0 X, B 70 0 X, B 45 0 X, Bt 6 0
 Bt 1 1, Bwh 4 0 X, B 52 3 X, B 37 0 X, B 85 0 X
 B 2 2, Bh 5 0 X, B 60 0 X, B 80 2 X
 B 5 0 X, B 44 0 X, B 7 0 X, B 70 6 X, B 36 1 X
+Btl 1 1, Ah 6 0 X, A 60 0 X, A 45 0 X, B 90 0, B 30 0, B 12 0, B 140 0, Bt 9 0
+B 60 0, B 25 1, Ah 5 0 X, A 80 2 X, A 14 0 X, A 66 0 X, Bh 2 0, B 3 0, B 40 0, B 2 0, B 75 0, B 3 0, B 110 0, Bt 5 0
+B 14 0, Ah 9 0 X, A 120 3 X, A 33 0 X, B 22 0, B 8 4, B 51 0, Bt 12 1
+B 2 2, B 35 0, Ah 7 0 X, A 48 0 X, A 52 1 X, A 7 0 X, B 18 0, B 66 0, B 24 0, B 5 0, B 95 0
+Bh 5 0 X, B 60 0 X, B 1 0 X, B 2 0 X, B 75 0 X, B 3 0 X, B 1 0 X, B 44 0 X, Bt 8 0
+B 1 1, B 2 2, Bh 4 0 X, B 52 0 X, B 2 0 X, B 1 0 X, B 3 0 X, B 61 1 X, B 4 0 X, B 38 0 X, B 2 2, B 3 3
 A 2 0 X
 B 9 0 X
 B 4 0 X
@@ -307,9 +318,26 @@ def decide(tree, row: list[float]) -> bool:
     return tree
 
 
+def kept(found: list[Block], inside: list[int], tree) -> list[bool]:
+    """What the tree decides of each block; and short lines without links between two kept long blocks of their part (in an
+    article also behind one), which say less than what stands around them, are kept with those."""
+    keep = [decide(tree, row) for row in features(found, inside)]
+    last = None  # the long block that was kept last, with nothing behind it but such lines
+    for k, b in enumerate(found):
+        if b.words >= LINE:
+            if keep[k] and last is not None and (found[last].part, found[last].article) == (b.part, b.article):
+                keep[last:k] = [True] * (k - last)
+            last = k if keep[k] else None
+        elif b.linked or last is None or (found[last].part, found[last].article) != (b.part, b.article):
+            last = None
+        elif b.article:
+            keep[k] = True
+    return keep
+
+
 def main_text(page: str, tree) -> str:
     found, inside = blocks(page)
-    return "\n".join(b.text for b, row in zip(found, features(found, inside), strict=True) if decide(tree, row))
+    return "\n".join(b.text for b, keep in zip(found, kept(found, inside, tree), strict=True) if keep)
 
 
 def extract(pages: DataFrame, rows: list[list[float]] | None = None, main: list[bool] | None = None) -> DataFrame:

@@ -103,7 +103,7 @@ def test_held_out_pages_and_what_decides():
         return H.grow(blind, main)
 
     no_marks = _right(pages, without("mark", "share"))
-    no_text = _right(pages, without("words", "density", "before_words", "before_density", "after_words", "after_density"))
+    no_text = _right(pages, without("words", "density", "before_words", "before_density", "after_words", "after_density", "beside"))
     assert no_text < 0.8 * no_marks and no_marks <= _right(pages, TREE)
 
 
@@ -112,6 +112,21 @@ def test_comments_outweigh_no_article():
     assert text(page) == "Head line\n" + LONG.strip()
 
 
+def test_parts_of_unknown_classes_beside_an_article():
+    """Comments and notices outside of an article are none of it, whatever their class is called; held out: no class is known."""
+    names = "commentlist user-reviews disqus_thread respond kommentare comentarios thread opinions cookiebar adsense relatedposts topbar leftcol werbung xyz".split()
+    for name in names:
+        part = f"<div class='{name}'><p>{'said ' * 30}</p><p>{'told ' * 12}</p><p>{'once ' * 60}</p><p>Reply now</p></div>"
+        for before, after in ((part, ""), ("", part), (part, part)):
+            page = f"<body><nav>{NAV[0]}</nav>{before}<article><h1>Head line</h1><p>{LONG}</p><p>{LONG}</p></article>{after}<footer>by us</footer></body>"
+            assert text(page) == f"Head line\n{LONG.strip()}\n{LONG.strip()}", name
+
+
+def test_short_lines_between_long_ones():
+    page = f"<body><nav>{NAV[0]}</nav><div><h1>Head line</h1><p>{LONG}</p><p>Yes.</p><p>No shame.</p><p>{LONG}</p></div><ul><li>{NAV[1]}</li></ul><footer>by us</footer></body>"
+    assert text(page) == f"Head line\n{LONG.strip()}\nYes.\nNo shame.\n{LONG.strip()}"
+
+
 def test_against_a_plain_reading(spark):
     """Whole tables against the articles cut out by pattern: their pages have one form."""
     import html as h
