@@ -49,3 +49,66 @@ def test_repeated_rows_of_a_rated_id_change_nothing(spark):
     draw.shuffle(more)
     again = ordinal.train(docs(more).repartition(7), labels)
     assert (again[0] == w).all() and again[1] == cuts
+
+
+def plain_fit(rows, grades, steps=4000, rate=0.5, ridge=1e-3):
+    """Full likelihood by plain gradient steps on a dense table: no lasso, no sampling, no weights of grades."""
+    names = sorted({int(k) for r in rows for k in r})
+    at = {k: i for i, k in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        x[i, [at[int(k)] for k in r]] = 1
+    y, w, cuts = np.array(grades), np.zeros(len(names)), np.array([-1.0, 0.0])
+    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    scale = np.sqrt((x * x).sum(axis=1).mean())
+    for _ in range(steps):
+        s = x @ w / scale
+        above = np.stack([np.ones(len(y)), *(logistic(s - c) for c in cuts), np.zeros(len(y))])
+        p = np.maximum(above[y, range(len(y))] - above[y + 1, range(len(y))], 1e-9)
+        slope = above * (1 - above)
+        up, down = slope[y, range(len(y))] / p, slope[y + 1, range(len(y))] / p
+        w += rate * (x.T @ (up - down) / scale / len(y) - ridge * w)
+        for k in (0, 1):
+            cuts[k] += rate * (np.where(y == k, down, 0).sum() - np.where(y == k + 1, up, 0).sum()) / len(y)
+    weight = np.zeros(1 << ordinal.BITS)
+    weight[names] = w / scale
+    return weight, cuts.tolist()
+
+
+def likelihood(rows, grades, w, cuts):
+    total = 0.0
+    for r, g in zip(rows, grades, strict=True):
+        above = [1.0, *ordinal.chances(float(w[r].sum()), cuts), 0.0]
+        total += np.log(max(above[g] - above[g + 1], 1e-9))
+    return total / len(rows)
+
+
+def test_fit_beside_the_full_likelihood():
+    draw = random.Random(8)
+    grades = [draw.choice([0, 1, 2, 2, 2]) for _ in range(900)]
+    rows = [np.array(ordinal.text_features(made(draw, g))) for g in grades]
+    (w, cuts), (plain, plain_cuts) = ordinal.fit(rows[:600], grades[:600]), plain_fit(rows[:600], grades[:600])
+    assert plain_cuts == sorted(plain_cuts)
+    kept = lambda w, cuts: [ordinal.chances(float(w[r].sum()), cuts)[1] >= 0.5 for r in rows[600:]]
+    same = sum(a == b for a, b in zip(kept(w, cuts), kept(plain, plain_cuts), strict=True))
+    assert same >= 0.95 * 300
+    # on held-out ratings as likely as the plain fit, or more, and far more than the grades' shares alone
+    shares = [np.log(grades[:600].count(g) / 600) for g in grades[600:]]
+    assert likelihood(rows[600:], grades[600:], w, cuts) >= likelihood(rows[600:], grades[600:], plain, plain_cuts) - 0.05
+    assert likelihood(rows[600:], grades[600:], w, cuts) >= 0.5 * sum(shares) / 300
+
+
+def test_query_scores_as_a_plain_sum(spark):
+    """The whole table, scored by the definition with the fitted weights."""
+    from tests.conftest import SF
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    w, cuts = ordinal.train(docs, labels)
+    want = []
+    for r in docs.collect():
+        s = sum(float(w[k]) for k in ordinal.text_features(r.text or ""))
+        p = [1 / (1 + np.exp(-(s - c))) for c in cuts]
+        want.append((r.doc_id, p[0] + p[1], p[1], p[1] >= 0.5))
+    got = sorted(map(tuple, ordinal.op6_ordinal_quality(spark, SF).collect()))
+    for g, x in zip(got, sorted(want), strict=True):
+        assert g[0] == x[0] and g[3] == x[3] and abs(g[1] - x[1]) < 1e-9 and abs(g[2] - x[2]) < 1e-9
