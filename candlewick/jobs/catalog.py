@@ -504,7 +504,7 @@ SIGNAL = f"""sg AS (SELECT *, CASE WHEN row_number() OVER w < 50 THEN 0 WHEN avg
 po AS (SELECT *, coalesce(lag(signal) OVER w, 0)::DOUBLE AS pos, coalesce(close / lag(close) OVER w - 1, 0) AS pr FROM sg WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)),
 sr AS (SELECT *, pos * pr - abs(pos - coalesce(lag(pos) OVER w, 0)) * 0.0015 AS sr FROM po WINDOW w AS (PARTITION BY instrument_id ORDER BY ts))"""
 _run = lambda s, d: bt.run_backtest(bt.cross_signal(f.daily_bars(s, d)), short=True)
-_add("b1_backtest", lambda s, d: _rounded(_run(s, d).withColumn("log_equity", F.ln(F.abs("equity"))), 5, *ID, "position", "price_return", "strategy_return", "log_equity"), f"WITH {f.BARS}, {SIGNAL} SELECT instrument_id, ts, pos AS position, round(pr, 5) AS price_return, round(sr, 5) AS strategy_return, round(ln(10000) + sum(ln(abs(1 + sr))) {RUN}, 5) AS log_equity FROM sr")
+_add("b1_backtest", lambda s, d: _rounded(_run(s, d).withColumn("log_equity", F.ln(F.abs("equity"))).withColumn("equity_sign", F.signum("equity")), 5, *ID, "position", "price_return", "strategy_return", "log_equity", "equity_sign"), f"WITH {f.BARS}, {SIGNAL} SELECT instrument_id, ts, pos AS position, round(pr, 5) AS price_return, round(sr, 5) AS strategy_return, round(ln(10000) + sum(ln(abs(1 + sr))) {RUN}, 5) AS log_equity, CASE WHEN sum((1 + sr = 0)::INT) {RUN} > 0 THEN 0 WHEN sum((1 + sr < 0)::INT) {RUN} % 2 = 1 THEN -1 ELSE 1 END::DOUBLE AS equity_sign FROM sr")
 TRADES = f"""ch AS (SELECT *, sign(pos) AS side, coalesce(sign(pos) <> lag(sign(pos)) OVER (PARTITION BY instrument_id ORDER BY ts), true) AS new FROM sr),
 ru AS (SELECT instrument_id, ts AS entry, close AS entry_price, side, lead(ts) OVER w AS exit, lead(close) OVER w AS exit_price FROM ch WHERE new WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)),
 trd AS (SELECT instrument_id, entry, exit, CASE WHEN side > 0 THEN 'long' ELSE 'short' END AS side, entry_price, exit_price, side * (exit_price / entry_price - 1) - 0.003 AS pnl FROM ru WHERE side <> 0 AND exit IS NOT NULL)"""
