@@ -294,6 +294,7 @@ for _name, _op, _cols in (
 ):
     _ind(f"{_name}_chunked", (lambda op: lambda b: op(b, F.year("ts")))(_op), _cols, 4, _sql[_name])
 _by_year = lambda op, back: lambda b: chunked(b, op, F.year("ts"), back)
+_ind("i6_parabolic_sar_chunked", lambda b: ind.parabolic_sar_chunked(b, F.year("ts")), ["sar"], 6, _sql["i6_parabolic_sar"])
 _ind("i1_sma_chunked", _by_year(ind.sma, 19), ["sma"], 6, _sql["i1_sma"])
 _ind("i15_bollinger_chunked", _by_year(ind.bollinger, 19), ["bb_mid", "bb_upper", "bb_lower", "bb_pct", "bb_width"], 4, _sql["i15_bollinger"])
 _ind("i20_obv_chunked", lambda b: ind.obv_chunked(b, F.year("ts")), ["obv"], 4, _sql["i20_obv"])

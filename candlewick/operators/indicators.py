@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from candlewick.functions.windows import KEY, TIME, chunked, last, ordered, prev, ratio, roll, running, sofar
+from candlewick.functions.windows import KEY, TIME, chunked, last, ordered, prev, ratio, roll, running, sofar, with_leads
 from candlewick.operators.ewm import affine_scan, ewm
+from candlewick.sources.shared import kept
 
 
 def _typical() -> Column:
@@ -83,10 +85,19 @@ def adx_chunked(df: DataFrame, chunk: Column, p: int = 14) -> DataFrame:
     return affine_scan(got, [("_dx", a, "adx")], chunk).drop("_tr", "_pdm", "_mdm", "_t", "_p", "_m", "_dx")
 
 
-def sar_of(high: list[float], low: list[float], step: float, most: float) -> list[float]:
-    """Parabolic SAR: starts rising from the first high with the first low as its extreme."""
-    rising, speed, sar, extreme, out = True, step, high[0], low[0], [high[0]]
-    for i in range(1, len(high)):
+State = tuple[bool, float, float, float]  # of the parabolic SAR: rising, speed, the stop and the extreme
+
+
+def sar_from(high: list[float], low: list[float], state: State | None, first: int, step: float, most: float) -> tuple[list[float], State]:
+    """The stops from row ``first`` on, given the state behind the row before it, and the state behind the last row.
+
+    Without a state the series starts at ``first``: rising from its high, with its low as the extreme.
+    """
+    out = []
+    if state is None:
+        state, out, first = (True, step, high[first], low[first]), [high[first]], first + 1
+    rising, speed, sar, extreme = state
+    for i in range(first, len(high)):
         sar += speed * (extreme - sar)
         back = range(max(i - 2, 0), i)
         sar = min([sar, *(low[k] for k in back)]) if rising else max([sar, *(high[k] for k in back)])
@@ -96,7 +107,12 @@ def sar_of(high: list[float], low: list[float], step: float, most: float) -> lis
         elif (high[i] > extreme) if rising else (low[i] < extreme):
             extreme, speed = high[i] if rising else low[i], min(speed + step, most)
         out.append(sar)
-    return out
+    return out, (rising, speed, sar, extreme)
+
+
+def sar_of(high: list[float], low: list[float], step: float, most: float) -> list[float]:
+    """Parabolic SAR: starts rising from the first high with the first low as its extreme."""
+    return sar_from(high, low, None, 0, step, most)[0]
 
 
 def parabolic_sar(df: DataFrame, step: float = 0.02, most: float = 0.2) -> DataFrame:
@@ -108,6 +124,56 @@ def parabolic_sar(df: DataFrame, step: float = 0.02, most: float = 0.2) -> DataF
     return df.groupBy(KEY).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField("sar", T.DoubleType())]))
 
 
+SAR_STATE = "rising boolean, speed double, stop double, extreme double"
+
+
+def parabolic_sar_chunked(df: DataFrame, chunk: Column, step: float = 0.02, most: float = 0.2) -> DataFrame:
+    """The same for series too long for one task, whose state no chunk knows ahead.
+
+    At first each chunk runs as if the series began with it. Then each runs again from the state in which the chunk before it
+    has ended, until no chunk ends otherwise than before. Turns make different states meet, so a chunk's end hardly depends on
+    its start and a round or two are enough; a round that changes nothing proves all states, whatever their number. Rounds pass
+    on one small row a chunk.
+    """
+    led = kept(with_leads(df, chunk, 2), "sar")
+    kind = led.schema[KEY].dataType.simpleString()
+    chunks = led.where("not _lead").groupBy("_own", "_chunk", KEY).agg(F.min("_place").alias("_from"))
+    before = F.lag(KEY).over(Window.partitionBy("_own").orderBy("_chunk"))
+    chunks = kept(chunks.select(F.col(KEY).alias("name"), before.alias("follows")), "chunks")
+
+    def walked(frame: pd.DataFrame, starts: pd.DataFrame) -> tuple[pd.DataFrame, list[float], State]:
+        frame = frame.sort_values(TIME, kind="stable").reset_index(drop=True)
+        known = len(starts) and not pd.isna(starts["speed"].iat[0])
+        state = tuple(starts[["rising", "speed", "stop", "extreme"]].iloc[0]) if known else None
+        lead = int(frame["_lead"].sum())
+        return frame, *sar_from(frame["high"].tolist(), frame["low"].tolist(), state, lead, step, most)
+
+    def end(frame: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        _, _, state = walked(frame, starts)
+        return pd.DataFrame([(frame[KEY].iat[0], *state)], columns=["name", "rising", "speed", "stop", "extreme"])
+
+    def rows(frame: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        frame, stops, _ = walked(frame, starts)
+        return frame[~frame["_lead"].astype(bool)].assign(sar=stops)
+
+    def starts_of(ends: DataFrame) -> DataFrame:
+        """The state in which each chunk starts; null for a series' first."""
+        return chunks.join(ends.withColumnRenamed("name", "follows"), "follows", "left").select("name", "rising", "speed", "stop", "extreme")
+
+    def met(starts: DataFrame, what, schema) -> DataFrame:
+        return led.groupBy(KEY).cogroup(starts.groupBy("name")).applyInPandas(what, schema)
+
+    nothing = chunks.select("name", *(F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in SAR_STATE.split(", "))))
+    ends = kept(met(nothing, end, f"name {kind}, {SAR_STATE}"), "ends")
+    while True:
+        again = kept(met(starts_of(ends), end, f"name {kind}, {SAR_STATE}"), "ends")
+        if not again.exceptAll(ends).limit(1).count():
+            break
+        ends = again
+    done = met(starts_of(ends), rows, T.StructType([*led.schema.fields, T.StructField("sar", T.DoubleType())]))
+    return done.withColumn(KEY, F.col("_own")).drop("_own", "_chunk", "_place", "_lead")
+
+
 def ichimoku(df: DataFrame, conversion: int = 9, base: int = 26, span: int = 52, shift: int = 26) -> DataFrame:
     """chikou looks ahead by design; it is not for signals."""
     mid = lambda p: (roll(F.max, "high", p) + roll(F.min, "low", p)) / 2

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewick.functions.joins import joined_by_keys
-from candlewick.operators import backtest, metrics, returns, runs, selection
+from candlewick.operators import backtest, indicators, metrics, returns, runs, selection
 
 DAY = dt.date(2020, 1, 1)
 
@@ -96,3 +96,19 @@ def test_percentile_ranks_over_chunks(spark, p, every):
     got = null_first((r.instrument_id, r.ts, r.pct_rank) for r in returns.percentile_rank_chunked(df, of_days(every), p=p).collect())
     want = null_first((r.instrument_id, r.ts, r.pct_rank) for r in returns.percentile_rank(df, p=p).collect())
     assert [r[:2] for r in sorted(got)] == [r[:2] for r in sorted(want)] and [r[2] for r in sorted(got)] == pytest.approx([r[2] for r in sorted(want)])
+
+
+@pytest.mark.parametrize("every", [7, 40])
+def test_parabolic_sar_over_chunks(spark, every):
+    draw, rows = np.random.default_rng(every), []
+    for one, drift in enumerate((0.0, 1.0, -1.0, 0.1)):  # a steady rise never turns, so all its chunks depend on the first
+        x = 100.0
+        for k in range(60):
+            x += drift + (draw.normal(0, 2) if one in (0, 3) else 0.0)
+            rows.append((one, DAY + dt.timedelta(days=k), x + 1 + draw.random() * (one != 1), x - 1, x))
+    rows.append((9, DAY, 5.0, 4.0, 4.5))
+    df = spark.createDataFrame(rows, "instrument_id int, ts date, high double, low double, close double")
+    got = indicators.parabolic_sar_chunked(df, of_days(every))
+    assert got.columns == [*df.columns, "sar"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, indicators.parabolic_sar(df).collect()))
+    assert indicators.parabolic_sar_chunked(df.limit(0), of_days(every)).count() == 0
