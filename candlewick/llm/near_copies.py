@@ -20,7 +20,7 @@ connected already are not compared. A block of several splits is first held agai
 many; after that only those sets that are not with the most are compared with the other splits, never all with all.
 
 Defined cases: upper-case A-Z and white space make no difference, as in operator 8; fewer than five words are one
-shingle; texts without a word are copies of each other; of alike rows the one with the smallest doc_id stays (null last),
+shingle; texts are read whole, however long; texts without a word are copies of each other; of alike rows the one with the smallest doc_id stays (null last),
 then the one with the least row name; other columns are carried; an empty table stays empty; shingles are compared by
 64-bit hashes, sets of them likewise.
 """

@@ -10,7 +10,7 @@ a sample of at most TRAIN ratings (those with the smallest hashes of their ids),
 document is then scored where it is read, with the weights that are not zero, at most 2^BITS, sent along with the
 function. No text is shuffled, only the features of the rated documents, one row for each rating.
 
-Defined cases: a null or empty text has only the features of its length; documents without a rating are scored like
+Defined cases: texts are read whole, however long; a null or empty text has only the features of its length; documents without a rating are scored like
 others; ratings that are null, or of no document, don't count; the same rating of a document counts once, unlike ones
 count each; of rows with one rated id the least features count, so that row order and repeated rows change nothing;
 without any rating all tail probabilities are 1; repeated rows are scored alike; an empty table gives an empty

@@ -11,7 +11,7 @@ each pair of its splits becomes a group of its own. Links become components by j
 joined back to the documents.
 
 Defined cases: texts without a word (null, empty or white space) have fingerprint zero and link like others;
-fewer than three words are one shingle; a null doc_id never names a component unless all its ids are null;
+fewer than three words are one shingle; texts are read whole, and a very long one costs memory in proportion to its words; a null doc_id never names a component unless all its ids are null;
 repeated rows return as often as they come; an empty table gives an empty result; other columns are ignored.
 """
 

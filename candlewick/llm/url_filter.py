@@ -6,7 +6,8 @@ a rule that makes hosts and paths of them, alike for both labels, so that only t
 nothing is shuffled or joined.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, which no rule fits and the
-model allows; repeated rows are judged alike; other columns are ignored.
+model allows; repeated rows are judged alike; urls are judged whole, however long; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
