@@ -317,6 +317,7 @@ _add("t10_beta", lambda s, d: _rounded(R.beta(f.daily_bars(s, d), f.bench(s, d))
 _ALL = "al AS (SELECT a.instrument_id AS l, b.instrument_id AS r, a.close AS a, b.close AS b FROM bars a JOIN bars b ON a.ts = b.ts AND a.instrument_id < b.instrument_id)"
 _names_ = 'SELECT l AS "left", r AS "right", '
 _add("t11_pearson", lambda s, d: _rounded(R.correlations(f.daily_bars(s, d)), 6), f'WITH {f.BARS}, {_ALL} {_names_} round(corr(a, b), 6) AS corr FROM al GROUP BY 1, 2')
+_add("t11_pearson_blocked", lambda s, d: _rounded(R.correlations_blocked(f.daily_bars(s, d), F.year("ts"), size=3), 6), _sql["t11_pearson"])
 _add(
     "t11_spearman",
     lambda s, d: _rounded(R.correlations(f.daily_bars(s, d), "spearman"), 6),

@@ -131,6 +131,57 @@ def correlations(df: DataFrame, method: str = "pearson", x: str = "close") -> Da
     return both.groupBy("left", "right").agg(corr("a", "b").alias("corr"))
 
 
+SLICE = 4096  # times that are multiplied together
+
+
+def _pair_sums(frame: pd.DataFrame) -> pd.DataFrame:
+    """Sums of all pairs of one group's instruments over the times that both have: products of matrices, times by instruments."""
+    i, j = int(frame["_i"].iat[0]), int(frame["_j"].iat[0])
+    block = frame["_block"].to_numpy()
+    ids, who = np.unique(frame[KEY].to_numpy(), return_inverse=True)
+    _, when = np.unique(frame[TIME].to_numpy(), return_inverse=True)
+    of_block = np.zeros(len(ids), dtype=np.int64)
+    of_block[who] = block
+    one, other = np.flatnonzero(of_block == i), np.flatnonzero(of_block == j)
+    order = np.argsort(when, kind="stable")
+    who, when, value = who[order], when[order], frame["_v"].to_numpy()[order]
+    total = np.zeros((6, len(one), len(other)))
+    for start in range(0, int(when[-1]) + 1, SLICE):
+        a, z = np.searchsorted(when, [start, start + SLICE])
+        known, v = np.zeros((2, SLICE, len(ids)))
+        known[when[a:z] - start, who[a:z]] = 1.0
+        v[when[a:z] - start, who[a:z]] = value[a:z]
+        (p, x), (q, y) = (known[:, one], v[:, one]), (known[:, other], v[:, other])
+        total += np.stack([p.T @ q, x.T @ q, p.T @ y, (x * x).T @ q, p.T @ (y * y), x.T @ y])
+    left, right = np.nonzero((total[0] > 0) & ((i != j) | (one[:, None] < other[None, :])))
+    n, sx, sy, sxx, syy, sxy = total[:, left, right]
+    a, b = one[left], other[right]
+    turn = a > b  # ids are in order, so their places are too
+    pick = lambda p, q: np.where(turn, q, p)
+    return pd.DataFrame({"left": ids[pick(a, b)], "right": ids[pick(b, a)], "n": n.astype(np.int64), "sx": pick(sx, sy), "sy": pick(sy, sx), "sxx": pick(sxx, syy), "syy": pick(syy, sxx), "sxy": sxy})
+
+
+def correlations_blocked(df: DataFrame, chunk: Column, x: str = "close", size: int = 256) -> DataFrame:
+    """Pearson's correlations as :func:`correlations` gives them, for many instruments: instruments fall into blocks of about
+    ``size``, and a group is a pair of blocks in a chunk of time. A value goes to as many groups as there are blocks, and sums of
+    pairs leave a group once, in place of a row for each pair and time."""
+    known = df.where(F.col(x).isNotNull()).select(KEY, TIME, F.col(x).cast("double").alias("_x"), chunk.alias("_chunk"))
+    least = known.groupBy(KEY).agg(F.min("_x").alias("_least"))  # levels are held against it: a flat series is zero
+    blocks = -(-least.count() // size) or 1
+    rows = known.join(least, KEY).select(KEY, TIME, "_chunk", (F.col("_x") - F.col("_least")).alias("_v"), F.pmod(F.xxhash64(KEY), F.lit(blocks)).cast("int").alias("_block"))
+    dealt = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")})
+    kind = df.schema[KEY].dataType.simpleString()
+    sums = dealt.drop("_other").groupBy("_i", "_j", "_chunk").applyInPandas(_pair_sums, f"left {kind}, right {kind}, n long, sx double, sy double, sxx double, syy double, sxy double")
+    one = sums.groupBy("left", "right").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
+
+    def spread(square: str, total: str) -> Column:
+        v = F.col(square) - F.col(total) * F.col(total) / F.col("n")
+        return F.when(v > 1e-13 * F.col(square), v)  # of equal values rounding is left
+
+    together = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    return one.select("left", "right", ratio(together, F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy"))).alias("corr"))
+
+
 def rolling_correlation(both: DataFrame, p: int = 60) -> DataFrame:
     whole = F.count(F.col("a") + F.col("b")).over(last(p)) == p
     return both.withColumn("corr", F.when(whole, corr("a", "b", last(p))))

@@ -112,3 +112,23 @@ def test_parabolic_sar_over_chunks(spark, every):
     assert got.columns == [*df.columns, "sar"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, indicators.parabolic_sar(df).collect()))
     assert indicators.parabolic_sar_chunked(df.limit(0), of_days(every)).count() == 0
+
+
+@pytest.mark.parametrize("size,every", [(2, 7), (100, 10_000)])
+def test_correlations_by_blocks(spark, monkeypatch, size, every):
+    monkeypatch.setattr(returns, "SLICE", 5)
+    draw = np.random.default_rng(size)
+    rows = []
+    for one in ("a", "b", "c", "d", "flat", "late", "none"):
+        for k in range(60):
+            x = {"flat": 0.1, "none": None}.get(one, float(1e6 + draw.normal()))
+            if one == "late" and k < 59 or draw.random() < 0.2:
+                continue
+            rows.append((one, DAY + dt.timedelta(days=k), x))
+    df = spark.createDataFrame(rows, "instrument_id string, ts date, close double")
+    want = {(r.left, r.right): r["corr"] for r in returns.correlations(df).collect()}
+    got = {(r.left, r.right): r["corr"] for r in returns.correlations_blocked(df, of_days(every), size=size).collect()}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] is None if v is None else got[k] == pytest.approx(v, abs=1e-7), k
+    assert returns.correlations_blocked(df.limit(0), of_days(every)).count() == 0
