@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from candlewick.jobs import frames as f
 from candlewick.operators import bars as B
 from candlewick.operators import writes as W
-from candlewick.sources import candles, equity, macro, tables
+from candlewick.sources import candles, equity, macro, tables, versions
 from candlewick.sources.shared import fresh
 from candlewick.streaming import candles as stream
 
 ID = ["instrument_id", "ts"]
+ALL = 1 << 30  # files of a batch: as many as there are
 VALUES = ["open", "high", "low", "close", "volume", "quote_volume", "trades"]
 
 
@@ -166,6 +167,36 @@ def stream_rollup(s, d) -> DataFrame:
     return s.read.parquet(out).where("instrument_id >= 0").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def stream_late(s, d) -> DataFrame:
+    """X2's late rows: rows of every tenth minute come last, when the watermark has passed most hours' ends."""
+    path, out, came = fresh(s, "late"), fresh(s, "hours"), fresh(s, "arrivals")
+    kinds = [x.split(" ") for x in stream.SCHEMA.split(", ")]
+    m = f.minutes(s, d).withColumn("ts", F.col("ts").cast("timestamp")).select(*(F.col(n).cast(t).alias(n) for n, t in kinds))
+    ahead = lambda days: m.agg(F.max("ts").alias("ts")).select(F.lit(-1).alias("instrument_id"), (F.col("ts") + F.make_interval(days=F.lit(days))).alias("ts"), *(F.lit(0.0).alias(c) for c in VALUES[:-1]), F.lit(0).alias("trades"))
+    late = F.minute("ts") % 10 == 0
+    kept_in, counted_in = fresh(s, "checkpoint"), fresh(s, "checkpoint")
+    # rows in time, one that lets their watermark take effect, late rows, and two far ahead; the queries go on where they ended
+    for wave in (m.where(~late), ahead(0), m.where(late), ahead(9), ahead(10)):
+        wave.write.mode("append").parquet(path)
+        bars = stream.rollup(stream.read(s, path, ALL), "1h", counted=True).writeStream.format("parquet").option("checkpointLocation", kept_in).trigger(availableNow=True).start(out)
+        counts = stream.arrivals(stream.read(s, path, ALL), "1h", came, counted_in).trigger(availableNow=True).start()
+        bars.awaitTermination()
+        counts.awaitTermination()
+    got = stream.late_rows(s.read.parquet(came), s.read.parquet(out), F.timestamp_seconds(F.lit(1 << 40)))
+    return got.where("instrument_id >= 0").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def versioned(s, d) -> DataFrame:
+    """W3, W5 on a table with versions: half of the daily bars, the others appended, then a roll-up written over some dates."""
+    daily, path = B.daily(f.minutes(s, d)), fresh(s, "versions")
+    daily = daily.withColumn("adj_close", F.col("close") * 2)
+    versions.append_new(s, path, daily.where("dayofmonth(ts) < 20"), ID, [F.col("open")])
+    versions.append_new(s, path, daily.where("dayofmonth(ts) >= 10").withColumn("close", F.lit(-2.0)), ID, [F.col("open")])
+    versions.rewrite(s, path, daily.where("dayofmonth(ts) >= 25").withColumn("close", F.lit(-1.0)), ID, ["close"])
+    first, last = versions.read(s, path, 0), versions.read(s, path)
+    return last.join(first.select(*ID, F.lit(True).alias("first")), ID, "left").select(*ID, "open", "close", "adj_close", F.coalesce("first", F.lit(False)).alias("in_first"))
+
+
 _BAR = "instrument_id::INT AS instrument_id, ts, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, volume, round(quote_volume, 8) AS quote_volume, trades::INT AS trades"
 _MINUTES = f"WITH {f.MINUTES} SELECT {_BAR} FROM minutes"
 _SEEN = f"WITH {f.MACRO} SELECT series_id, ts, CASE WHEN floor(value)::BIGINT % 7 <> 0 THEN round(value, 4) END AS value FROM macro"
@@ -185,4 +216,6 @@ QUERIES = [
     ("w6_log_upsert", log_upsert, 0, "WITH o AS (SELECT 'S' || (o_custkey % 5) AS symbol, strftime(o_orderdate, '%Y-%m-%d') AS period, o_orderkey AS n, year(o_orderdate) AS y FROM orders) SELECT symbol, period, CASE WHEN max(y) >= 1995 THEN max(n) ELSE min(n) END::INT AS rows, CASE WHEN max(y) >= 1995 THEN 'ok' ELSE 'error' END AS status FROM o GROUP BY 1, 2"),
     ("x1_stream_load", stream_load, 8, _MINUTES),
     ("x2_stream_rollup", stream_rollup, 8, f"WITH {f.MINUTES} SELECT instrument_id::INT AS instrument_id, time_bucket(INTERVAL 1 hour, ts) AS ts, round(arg_min(open, minutes.ts), 8) AS open, round(max(high), 8) AS high, round(min(low), 8) AS low, round(arg_max(close, minutes.ts), 8) AS close, sum(volume) AS volume, round(sum(quote_volume), 8) AS quote_volume, sum(trades)::BIGINT AS trades FROM minutes GROUP BY 1, 2"),
+    ("x2_stream_late", stream_late, 0, f"WITH {f.MINUTES}, seen AS (SELECT max(ts) FILTER (minute(ts) % 10 <> 0) - INTERVAL 1 hour AS mark FROM minutes), h AS (SELECT instrument_id::INT AS instrument_id, time_bucket(INTERVAL 1 hour, minutes.ts) AS hour, count(*) AS arrived, count(*) FILTER (minute(minutes.ts) % 10 = 0) AS behind FROM minutes GROUP BY 1, 2) SELECT instrument_id, hour AS ts, arrived, arrived - CASE WHEN hour + INTERVAL 1 hour <= mark THEN behind ELSE 0 END AS in_bar, CASE WHEN hour + INTERVAL 1 hour <= mark THEN behind ELSE 0 END AS late FROM h, seen"),
+    ("w3_versioned", versioned, 8, f"WITH {_DAILY} SELECT instrument_id, day AS ts, round(open, 8) AS open, round(CASE WHEN day(day) >= 25 THEN -1 WHEN day(day) >= 20 THEN -2 ELSE close END, 8) AS close, round(2 * close, 8) AS adj_close, day(day) < 20 AS in_first FROM daily"),
 ]

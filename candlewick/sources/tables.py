@@ -66,7 +66,7 @@ def rewrite(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], c
 
     The dates' folders are replaced one after the other when all are written, so a reader may see some of them new and
     some old, and so does a table after a crash in between; the staging folder still has all, and running it again
-    with the same batch ends alike.
+    with the same batch ends alike. :mod:`candlewick.sources.versions` has tables that change all at once.
     """
     merged = upsert(_touched(spark, path, batch).drop("date"), batch, keys, columns, order)
     merged.withColumn("date", F.to_date("ts")).write.mode("overwrite").parquet(staging)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewick.operators import bars
-from candlewick.sources import candles, equity, macro, shared, tables
+from candlewick.sources import candles, equity, macro, shared, tables, versions
 from candlewick.streaming import candles as stream
 
 T0 = 1502928000000
@@ -166,3 +166,66 @@ def test_the_shared_folder_must_be_named_off_one_machine():
     for master in ("local", "local[8]", "local[*]"):
         one = Session(master)
         assert shared.shared_dir(one) == one.found
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """Five rows of a bar in time, three late; a bar whose rows are all late; one in time."""
+    kind = stream.SCHEMA
+    waves = [minute_rows(5) + minute_rows(200, 120), minute_rows(1, 330), minute_rows(3, 30) + minute_rows(4, 60) + minute_rows(2, 300), minute_rows(1, 9000), minute_rows(1, 12000)]
+    for wave in waves:
+        spark.createDataFrame([(1, *r[1:]) for r in wave], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        bars_out = stream.rollup(stream.read(spark, f"{tmp_path}/in"), "1h", counted=True).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start(f"{tmp_path}/bars")
+        bars_out.awaitTermination()
+        counts = stream.arrivals(stream.read(spark, f"{tmp_path}/in"), "1h", f"{tmp_path}/came", f"{tmp_path}/c2").trigger(availableNow=True).start()
+        counts.awaitTermination()
+    got = stream.late_rows(spark.read.parquet(f"{tmp_path}/came"), spark.read.parquet(f"{tmp_path}/bars"), F.lit("2020-01-03").cast("timestamp")).orderBy("ts").collect()
+    assert [(r.ts.hour, r.arrived, r.in_bar, r.late) for r in got] == [(0, 8, 5, 3), (1, 4, 0, 4), (2, 60, 60, 0), (3, 60, 60, 0), (4, 60, 60, 0), (5, 23, 23, 0)]
+
+
+def day_rows(spark, days, close, n=3):
+    t = dt.datetime(2020, 1, 1)
+    rows = [(i, t + dt.timedelta(days=d) if d is not None else None, 1.0, close) for d in days for i in range(n)]
+    return spark.createDataFrame(rows, "instrument_id int, ts timestamp_ntz, open double, close double")
+
+
+def test_a_rewrite_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path, keys = f"{tmp_path}/v", ["instrument_id", "ts"]
+    with pytest.raises(ValueError):
+        versions.read(spark, path)
+    assert versions.append_new(spark, path, day_rows(spark, range(10), 1.0), keys, [F.col("open")]) == 0
+    assert versions.append_new(spark, path, day_rows(spark, range(12), 2.0), keys, [F.col("open")]) == 1
+    closes = lambda df: sorted((r.close, r["count"]) for r in df.groupBy("close").count().collect())
+    old = versions.read(spark, path)
+    assert closes(old) == [(1.0, 30), (2.0, 6)]
+    # a crash after the rows, before the swap
+    with monkeypatch.context() as m:
+        m.setattr(versions, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            versions.rewrite(spark, path, day_rows(spark, range(5, 15), 3.0), keys, ["close"])
+    assert closes(versions.read(spark, path)) == [(1.0, 30), (2.0, 6)]
+    # another writer is first: the merge is done again on what it has left
+    publish, raced = versions._publish, []
+
+    def slow(*a):
+        if not raced:
+            raced.append(True)
+            versions.rewrite(spark, path, day_rows(spark, [0, 14], 9.0), keys, ["close"])
+        publish(*a)
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "_publish", slow)
+        assert versions.rewrite(spark, path, day_rows(spark, range(5, 15), 3.0), keys, ["close"]) == 3
+    assert closes(versions.read(spark, path)) == [(1.0, 12), (3.0, 30), (9.0, 3)]
+    assert closes(old) == closes(versions.read(spark, path, 1)) == [(1.0, 30), (2.0, 6)]  # who has an old version keeps it
+    # rows without a time stay; an empty batch and another column change nothing
+    versions.rewrite(spark, path, day_rows(spark, [None], 5.0), keys, ["close"])
+    versions.rewrite(spark, path, day_rows(spark, [None], 6.0).withColumn("write", F.lit(1)), keys, ["close"])
+    versions.rewrite(spark, path, day_rows(spark, [1], 6.0).limit(0), keys, ["close"])
+    last = versions.read(spark, path)
+    assert closes(last) == [(1.0, 12), (3.0, 30), (5.0, 3), (6.0, 3), (9.0, 3)] and last.columns == ["instrument_id", "ts", "open", "close", "date"]
+    assert versions.vacuum(spark, path, 1) >= 2 and versions.versions(spark, path) == [6]
+    assert closes(versions.read(spark, path)) == closes(last)
+    assert versions.append_new(spark, f"{tmp_path}/none", day_rows(spark, [], 1.0), keys, [F.col("open")]) == 0
+    assert versions.read(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(versions.Taken):
+        versions._publish(spark, path, 6, {})
