@@ -11,7 +11,7 @@ atomic, as it is on HDFS and on a local disk.
 
 Defined cases: a table without a version can't be read, and is empty to a write; rows without a ``ts`` are of no known date, so a
 rewrite keeps those that are there and adds its own; an empty batch gives a version that equals the last; columns of a batch
-that the table has not are left out.
+that the table has not are left out, and so is its ``date``, which is that of ``ts``.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def _commit(spark: SparkSession, path: str, batch: DataFrame, merge: Callable[[D
     days = {f"date={r[0]}" for r in batch.select(F.to_date("ts").alias("d")).where("d is not null").distinct().toLocalIterator()}
     for _ in range(TRIES):
         have = versions(spark, path)
-        base = _version(spark, path, have[-1]) if have else {"schema": batch.schema.jsonValue(), "folders": {}}
+        base = _version(spark, path, have[-1]) if have else {"schema": batch.drop("date").schema.jsonValue(), "folders": {}}
         target = _rows(spark, path, base, days).drop("date")
         folder, dates = _written(spark, path, merge(target))
         folders = {d: list(ws) for d, ws in base["folders"].items()}

@@ -227,5 +227,10 @@ def test_a_rewrite_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert closes(versions.read(spark, path)) == closes(last)
     assert versions.append_new(spark, f"{tmp_path}/none", day_rows(spark, [], 1.0), keys, [F.col("open")]) == 0
     assert versions.read(spark, f"{tmp_path}/none").count() == 0
+    # what was read may be written to a new table, or again to its own
+    assert versions.append_new(spark, f"{tmp_path}/copy", last, keys, [F.col("open")]) == 0
+    versions.rewrite(spark, path, last.withColumn("close", F.lit(7.0)).where("ts is not null"), keys, ["close"])
+    assert closes(versions.read(spark, f"{tmp_path}/copy").where("ts is not null")) == [(1.0, 12), (3.0, 30), (9.0, 3)]
+    assert closes(versions.read(spark, path)) == [(5.0, 3), (6.0, 3), (7.0, 45)]
     with pytest.raises(versions.Taken):
         versions._publish(spark, path, 6, {})
