@@ -109,6 +109,57 @@ def test_damaged_files_give_what_came_before():
         gif.read_gif(bytes(bad[: draw.integers(0, len(data) + 1)]))
 
 
+def test_texts_abreast_have_the_codes_of_each_by_itself(monkeypatch):
+    draw = np.random.default_rng(5)
+    texts = [draw.integers(0, most, n).astype(np.uint8).tobytes() for most in (1, 2, 20, 256) for n in (1, 2, 63, 700, 5000, 9000)]
+    texts += [b"", b"a line that comes again\n" * 400, bytes(range(256)) * 30, draw.integers(0, 256, 40_000).astype(np.uint8).tobytes()]
+    alone = [gif.lzw_encode(x) for x in texts]
+    assert [slow_decode(x, 8) for x in alone] == texts
+    single, plain = [], gif.lzw_encode
+    monkeypatch.setattr(gif, "lzw_encode", lambda x: single.append(len(x)) or plain(x))
+    monkeypatch.setattr(gif, "ABREAST", 1)
+    monkeypatch.setattr(gif, "ENTRIES", 1 << 16)
+    monkeypatch.setattr(gif, "CELLS", 2_000)
+    assert gif.lzw_encode_all(texts) == alone and sorted(single) == [0, 40_000]  # by themselves: the empty and the very long
+    assert gif.lzw_encode_all([]) == []
+
+
+def test_a_batch_is_not_encoded_one_by_one(monkeypatch):
+    draw = np.random.default_rng(6)
+    payloads = [draw.integers(97, 105, 64 * n).astype(np.uint8).tobytes() for n in draw.integers(1, 9, 900)]
+    files = [gif.write_gif(x) for x in payloads[:5]]
+    monkeypatch.setattr(gif, "lzw_encode", None)
+    got = gif.write_gifs(payloads)
+    assert got[:5] == files
+    assert all(b"".join(f["samples"].tobytes() for f in gif.read_gif(g)) == x for g, x in zip(got, payloads, strict=True))
+
+
+def test_counted_samples_are_those_of_the_pictures(monkeypatch):
+    draw = np.random.default_rng(7)
+    palette = draw.integers(0, 256, 12).tolist()
+    for _ in range(60):
+        frames = []
+        for _ in range(draw.integers(1, 7)):
+            whole = draw.random() < 0.5
+            left, top, w, h = (0, 0, 5, 6) if whole else (int(x) for x in draw.integers((0, 0, 1, 1), (5, 6, 6, 7)))
+            frames.append((left, top, draw.integers(0, 7, (h, w)), int(draw.integers(0, 4)), [None, 0, 2][draw.integers(0, 3)], bool(draw.integers(0, 2))))
+        data = picture(frames, palette, (5, 6))
+        want = [(f["delay"], f["samples"].tobytes(), gif.histogram(f["picture"])) for f in gif.shots(data)]
+        assert [(f["delay"], f["samples"].tobytes(), colours) for f, colours in gif.counted(data)] == want
+    monkeypatch.setattr(gif, "histogram", None)  # frames that hide all behind them need no picture
+    data = gif.write_gif(bytes(64) + b"a" * 64)
+    assert [colours for _, colours in gif.counted(data)] == [[64, *[0] * 20, 64, *[0] * 42]]
+
+
+def test_long_stretches_in_pieces(monkeypatch):
+    monkeypatch.setattr(gif, "PIECE", 100)
+    draw = np.random.default_rng(8)
+    for data in (bytes(20_000), b"words and words " * 900, draw.integers(0, 3, 12_000).astype(np.uint8).tobytes()):
+        packed = gif.lzw_encode(data)
+        for most in (1, 99, 5_000, len(data) + 1):
+            assert gif.lzw_decode(packed, 8, most) == data[:most]
+
+
 def test_query_on_odd_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(gif, "ROWS", 3)
     rows = [(1, None, "x"), (2, "", "y"), (3, "é" * 500, "z"), (3, "é" * 500, "z"), (None, "abc", "m"), (5, "x" * 64, "n")]
