@@ -42,6 +42,14 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parsed(raw.withColumn("symbol", told(1, "symbol")).withColumn("period", told(2, "period")))
 
 
+def read_packed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(bars, rejects) of CSV files in folders period={period} that hold many symbols: a line's first cell is its symbol, the
+    others are those of a candle line. Their number follows from their size, not from how many symbols there are."""
+    text = T.StringType()
+    packed = T.StructType([T.StructField("symbol", text), *RAW.fields, T.StructField("period", text)])
+    return parsed(spark.read.schema(packed).option("mode", "PERMISSIVE").csv(path))
+
+
 def files(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
     """(symbol, period, name, content) of candle files."""
     got = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)

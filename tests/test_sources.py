@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from candlewick.jobs import frames, loads
 from candlewick.operators import bars
 from candlewick.sources import candles, equity, macro, shared, tables, versions
 from candlewick.streaming import candles as stream
@@ -44,6 +45,32 @@ def test_plain_candles(spark, tmp_path):
     assert [(r.symbol, r.period) for r in good.collect()] == [("ETH", "2020-01")] and rejects.count() == 0
 
 
+def test_packed_candles(spark, tmp_path):
+    """Symbols share a file, with headers, blank and short lines and both units; the folder tells the period."""
+    for period, lines in (("2017-08", ["symbol," + HEAD, "ETH," + line(T0), "", "BTC," + line((T0 + 60_999) * 1000, 7.5), "ETH,1,2,3", "BTC,bad," + line(T0), "BTC," + line(T0, "x")]), ("2017-09", ["symbol," + HEAD, "ETH," + line(T0 + 120_000)])):
+        (tmp_path / f"period={period}").mkdir()
+        (tmp_path / f"period={period}/part-0.csv").write_text("\n".join(lines))
+    good, rejects = candles.read_packed(spark, str(tmp_path))
+    start = dt.datetime(2017, 8, 17)
+    rows = sorted((r.symbol, r.period, r.ts, r.open, r.quote_volume, r.trades) for r in good.collect())
+    assert rows == [("BTC", "2017-08", start + dt.timedelta(minutes=1), 7.5, 15.0, 3), ("ETH", "2017-08", start, 1.0, 15.0, 3), ("ETH", "2017-09", start + dt.timedelta(minutes=2), 1.0, 15.0, 3)]
+    assert [(r.symbol, r.period, r.open_time) for r in rejects.collect()] == [("BTC", "2017-08", str(T0))]
+
+
+@pytest.mark.parametrize("users", [0, 300])
+def test_candle_files_are_as_many_as_their_size_asks_for(spark, tmp_path, monkeypatch, users):
+    """Three hundred instruments in two months: two folders of few files, and every minute comes back."""
+    t = dt.datetime(2024, 1, 31, 23, 59, 30)
+    rows = [(3 * u + i, t + dt.timedelta(seconds=20 * i), u, 1 / (1 + u + i)) for u in range(users) for i in range(3)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(loads, "fresh", lambda spark, name: f"{tmp_path}/{name}")
+    got = loads.candle_csv(spark, str(tmp_path))
+    want = frames.minutes(spark, str(tmp_path))
+    assert len(list((tmp_path / "csv").rglob("part-*.csv"))) <= 8
+    assert sorted(x.name for x in (tmp_path / "csv").glob("*=*")) == ["period=2024-01", "period=2024-02"][: users and 2]
+    assert got.count() == 2 * users and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+
+
 def test_macro(spark, tmp_path):
     (tmp_path / "DGS10.csv").write_text("date,value\n2024-12-31, 4.5 \n2025-01-02,.\n2025-01-03,\n,3\n2025-01-06\n2025-01-07,4.7\n")
     (tmp_path / "CPI.csv").write_text("date,value\n2020-01-01,1\n")
